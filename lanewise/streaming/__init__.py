@@ -1,0 +1 @@
+"""Deliberately empty: the covered workload is batch only, so nothing is claimed here."""
