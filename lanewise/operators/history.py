@@ -1,87 +1,78 @@
-"""Leak-free expanding history of the rate per mile, and its frozen form for later rows."""
+"""Leak-free expanding history of the rate per mile, and its frozen form for later rows.
+
+Loads are folded once to cells of (keys, day). Every level (route, pickup, ...) is derived and
+looked up on the cells, so the loads themselves take part in a single join, however skewed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lanewise.functions.sizing import lookup
+from lanewise.functions.sizing import lookup, null_safe
 from lanewise.schema import DATE, HISTORY, HISTORY_KEYS, RPM
-from lanewise.session import write_table
-
 
-def _names(level: str) -> list[str]:
-    return [c for c in HISTORY if c.startswith(f"hist_{level}_")]
+LEVEL = ["__level", "__k1", "__k2"]
 
 
 def _key_columns(levels: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(k for level in levels for k in HISTORY_KEYS[level]))
 
 
-def _features(level: str, total: str, rows: str) -> list:
-    mean = F.try_divide(F.col(total), F.col(rows)).alias(f"hist_{level}_rpm_mean")
-    count = F.coalesce(F.col(rows), F.lit(0)).cast("long").alias(f"hist_{level}_rpm_count")
-    return [mean, count] if level != "global" else [mean]
-
+def _by_level(df: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """One row per level, addressed by (level, first key, second key)."""
+    entries = []
+    for level in levels:
+        keys = [F.col(k) for k in HISTORY_KEYS[level]] + [F.lit(None).cast("string")] * 2
+        entries.append(F.struct(F.lit(level).alias(LEVEL[0]), keys[0].alias(LEVEL[1]), keys[1].alias(LEVEL[2])))
+    return df.select("*", F.inline(F.array(*entries)))
+
+
+def _feature_columns(levels: Sequence[str], total: Column, rows: Column) -> list[Column]:
+    """History columns of each level; without history the mean is missing and the count is 0."""
+    out = []
+    for name in HISTORY:
+        level = name.split("_")[1]
+        if level in levels:
+            here = F.col(LEVEL[0]) == level
+            if name.endswith("_mean"):
+                out.append(F.max(F.when(here, F.try_divide(total, rows))).alias(name))
+            else:
+                out.append(F.coalesce(F.max(F.when(here, rows)), F.lit(0)).cast("long").alias(name))
+    return out
 
-def _prior_by_day(cells: DataFrame, level: str) -> DataFrame:
-    """(keys, date) -> history over strictly earlier days.
 
-    Each window holds one row per day of one key, so its length is bounded by the calendar
-    however many loads the key has.
-    """
-    keys = HISTORY_KEYS[level]
-    daily = cells.groupBy(*keys, DATE).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    earlier = (
-        (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
-        .orderBy(DATE)
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
-    prior = daily.select(*keys, DATE, F.sum("s").over(earlier).alias("s"), F.sum("n").over(earlier).alias("n"))
-    return prior.select(*keys, DATE, *_features(level, "s", "n"))
+def _addressed(wanted: DataFrame, found: DataFrame, keys: list[str], levels: Sequence[str], on: list[str]) -> DataFrame:
+    """Look every level of ``wanted`` up in ``found`` and fold back to one row per ``keys``."""
+    left = _by_level(wanted.select(*keys), levels)
+    right = found.select(*[F.col(c).alias(f"r_{c}") for c in on], "s", "n")
+    joined = left.join(right, null_safe(left, right, {c: f"r_{c}" for c in on}), "left")
+    return joined.groupBy(*keys).agg(*_feature_columns(levels, F.col("s"), F.col("n")))
 
 
 def expanding_history(train: DataFrame, levels: Sequence[str] = tuple(HISTORY_KEYS)) -> DataFrame:
-    """Adds the history columns of ``levels``; loads of the same day never see each other.
+    """Adds the history of strictly earlier days; loads of one day never see each other.
 
-    Loads are folded once to cells of (keys, day). All levels are derived and joined on the
-    cells, so the loads themselves take part in a single join.
+    A window holds one row per day of one key, so its length is bounded by the calendar.
     """
-    keys = _key_columns(levels)
-    cells = train.groupBy(*keys, DATE).agg(F.sum(RPM).alias("s"), F.count("*").alias("n"))
-    if len(levels) == 1:
-        return lookup(train, _prior_by_day(cells, levels[0]), [*keys, DATE])
-    cells = write_table(cells, "history-cells")  # read once per level
-    features = cells.select(*keys, DATE)
-    for level in levels:
-        features = lookup(features, _prior_by_day(cells, level), [*HISTORY_KEYS[level], DATE])
-    return lookup(train, features, [*keys, DATE])
+    keys = [*_key_columns(levels), DATE]
+    cells = train.groupBy(*keys).agg(F.sum(RPM).alias("s"), F.count("*").alias("n"))
+    daily = _by_level(cells, levels).groupBy(*LEVEL, DATE).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    earlier = W.partitionBy(*LEVEL).orderBy(DATE).rowsBetween(W.unboundedPreceding, -1)
+    prior = daily.select(*LEVEL, DATE, F.sum("s").over(earlier).alias("s"), F.sum("n").over(earlier).alias("n"))
+    return lookup(train, _addressed(cells, prior, keys, levels, [*LEVEL, DATE]), keys)
 
 
 def frozen_history(train: DataFrame, later: DataFrame, levels: Sequence[str] = tuple(HISTORY_KEYS)) -> DataFrame:
-    """Adds the training totals to ``later``; an unseen key has no mean and a count of 0.
-
-    The targets of ``later`` are never read.
-    """
-    cells = train.groupBy(*_key_columns(levels)).agg(F.sum(RPM).alias("s"), F.count("*").alias("n"))
-    if len(levels) > 1:
-        cells = write_table(cells, "history-totals")  # read once per level
-    out = later
-    for level in levels:
-        keys = HISTORY_KEYS[level]
-        totals = cells.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        features = totals.select(*keys, *_features(level, "s", "n"))
-        if keys:
-            out = lookup(out, features, keys)
-            for name in _names(level):
-                if name.endswith("_count"):
-                    out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
-        else:
-            out = out.withColumn("hist_global_rpm_mean", features.select("hist_global_rpm_mean").scalar())
-    return out
+    """Adds the training totals to ``later``, whose own targets are never read."""
+    keys = _key_columns(levels)
+    cells = train.groupBy(*keys).agg(F.sum(RPM).alias("s"), F.count("*").alias("n"))
+    totals = _by_level(cells, levels).groupBy(*LEVEL).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    wanted = later.select(*keys).distinct()
+    return lookup(later, _addressed(wanted, totals, keys, levels, LEVEL), keys)
 
 
 def history_coverage(df: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,17 @@ from lanewise.operators.grouped_mean import GroupedMean
 from lanewise.operators.prep import Imputer, category_codes, column_medians, column_modes, encoding
 from lanewise.operators.scenario import scenario_inputs, scenario_rates
 from lanewise.plans import tables
+from lanewise.plans.experiment import (
+    RUNS,
+    SELECTED,
+    leaderboard,
+    load_model,
+    run_final,
+    run_folds,
+    run_holdout,
+    run_log,
+    small,
+)
 from lanewise.schema import (
     CALENDAR,
     CATEGORICAL,
@@ -26,17 +40,20 @@ from lanewise.schema import (
     NUMERIC,
     RATE_BINS,
     RPM,
+    STAR_FOLDS,
     STAR_HOLDOUT_START,
     STAR_SPLIT,
     TARGET,
     WEIGHT_BINS,
     Scenario,
 )
+from lanewise.session import shared_folder
 from lanewise.sources.star import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
+BY_NAME = {s.name: s for s in RUNS}
 
 STAR_SCENARIO = Scenario("CANADA", "BRAZIL", 360.0, "Dry Van", 32000.0, date(2001, 12, 1), date(2001, 12, 31))
 
@@ -553,8 +570,6 @@ def _(spark, sf):
 @query("onehot_rows")
 def _(spark, sf):
     """Active one-hot slot per validation row and category, read back from the sparse vectors."""
-    from pyspark.ml.functions import vector_to_array
-
     train, later = imputed(spark, sf)
     coded = encoding(NUMERIC, CATEGORICAL).fit(train).transform(later)
     blocks = [
@@ -571,8 +586,6 @@ def _(spark, sf):
 @query("feature_vector")
 def _(spark, sf):
     """Assembled vector per validation row: length, active entries, numeric block and one-hot sum."""
-    from pyspark.ml.functions import vector_to_array
-
     train, later = imputed(spark, sf)
     coded = encoding(NUMERIC, CATEGORICAL).fit(train).transform(later)
     rows = coded.select(ID, vector_to_array("features").alias("x"))
@@ -583,3 +596,68 @@ def _(spark, sf):
         *[F.get("x", F.lit(i)).alias(f"x_{c}") for i, c in enumerate(NUMERIC)],
         F.aggregate(F.slice("x", n + 1, F.size("x") - n), F.lit(0.0), lambda a, v: a + v).cast("int").alias("active"),
     )
+
+
+# Models and runs. Few trees, so that a check takes seconds; the specs default to 100.
+
+
+@query("rf_predictions")
+def _(spark, sf):
+    spec = replace(BY_NAME["log_rate_per_mile_forest"], trees=5, max_depth=8)
+    return run_holdout(spec, tables.labelled(spark, sf), STAR_SPLIT).predictions
+
+
+@query("extratrees_predictions")
+def _(spark, sf):
+    return run_holdout(replace(SELECTED, trees=5), tables.labelled(spark, sf), STAR_SPLIT).predictions
+
+
+@query("cv_extratrees")
+def _(spark, sf):
+    return run_folds(replace(SELECTED, trees=3), tables.labelled(spark, sf), STAR_FOLDS).fold_metrics
+
+
+@query("submission_extratrees")
+def _(spark, sf):
+    spec = replace(SELECTED, trees=5)
+    return run_final(spec, tables.labelled(spark, sf), tables.holdout(spark, sf), STAR_SPLIT).submission
+
+
+@query("model_roundtrip")
+def _(spark, sf):
+    """Both ensembles saved, loaded and compared on the validation rows."""
+    out = []
+    for spec in (small(BY_NAME["log_rate_per_mile_forest"], 2, 5), small(SELECTED, 2, 6)):
+        model = spec.model().fit(tables.train(spark, sf))
+        path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/model-{uuid.uuid4().hex[:12]}"
+        model.save(spark, path)
+        rows = tables.validation(spark, sf)
+        before = model.transform(rows).select(ID, F.col("prediction").alias("before"))
+        after = load_model(spark, spec, path).transform(rows).select(ID, F.col("prediction").alias("after"))
+        same = before.join(after, ID)
+        out.append(
+            same.agg(
+                F.lit(spec.estimator).alias("estimator"),
+                F.count("*").alias("rows"),
+                F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("differences"),
+            )
+        )
+    return out[0].unionByName(out[1])
+
+
+def small_runs(spark, sf) -> DataFrame:
+    def build() -> DataFrame:
+        loads = tables.labelled(spark, sf)
+        return run_log([run_holdout(small(s), loads, STAR_SPLIT) for s in RUNS])
+
+    return tables.once(spark, sf, "runs", build)
+
+
+@query("run_log")
+def _(spark, sf):
+    return small_runs(spark, sf)
+
+
+@query("leaderboard")
+def _(spark, sf):
+    return leaderboard(small_runs(spark, sf))

@@ -645,4 +645,12 @@ LEFT JOIN codes e ON e.column_name = 'equipment' AND e.category = f.equipment"""
         WIDTHS,
         FILLED,
     ),
+    "model_roundtrip": _with(
+        _union(
+            [
+                f"SELECT '{e}' AS estimator, COUNT(*) AS rows, CAST(0 AS BIGINT) AS differences FROM validation"
+                for e in ("forest", "extra_trees")
+            ]
+        )
+    ),
 }

@@ -18,6 +18,7 @@ def local_session(cores: str = "8", app: str = "lanewise", **conf: str) -> Spark
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in settings.items():
