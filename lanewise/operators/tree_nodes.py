@@ -45,16 +45,21 @@ class Packed:
 
     def route(self, x: np.ndarray) -> np.ndarray:
         """Position of each row's terminal node. The right child follows the left one in id order."""
+        cells, width = np.ascontiguousarray(x).ravel(), x.shape[1]
         at = np.zeros(len(x), dtype=np.int32)
         rows = np.arange(len(x))
+        here, base = at, rows * width
         while True:
-            rows = rows[self.feature[at[rows]] >= 0]
+            feature = self.feature.take(here)
+            live = np.flatnonzero(feature >= 0)
+            if len(live) < len(here):
+                at[rows] = here
+                rows, here, base, feature = rows[live], here[live], base[live], feature[live]
             if not len(rows):
                 return at
-            here = at[rows]
-            v = x[rows, self.feature[here]]
-            right = np.where(self.is_category[here], v == self.cut[here], v > self.cut[here])
-            at[rows] = self.left[here] + right
+            v, cut = cells.take(base + feature), self.cut.take(here)
+            right = np.where(self.is_category.take(here), v == cut, v > cut)
+            here = self.left.take(here) + right
 
 
 def grow(x: np.ndarray, y: np.ndarray, tree: int, node: int, spec: dict) -> pd.DataFrame:

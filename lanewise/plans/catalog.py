@@ -305,9 +305,7 @@ for _column, _key in (("distance", "distance"), ("weight", "weight"), ("market_i
 
     @query(f"resid_by_{_key}_q")
     def _(spark, sf, column=_column):
-        return rounded(
-            analysis.residuals_by_quantile(tables.scored(spark, sf), column), exact=("lower_edge", "upper_edge")
-        )
+        return rounded(analysis.residuals_by_quantile(tables.scored(spark, sf), column))
 
 
 @query("resid_by_equipment")

@@ -185,7 +185,7 @@ placed AS (
   SELECT s.*, CAST(GREATEST(1, LEN(LIST_FILTER(q.e, lambda v: v < s.{column}))) AS INTEGER) AS bin, q.e
   FROM scored s, q WHERE s.{column} IS NOT NULL)
 SELECT bin, {RESIDUAL_STATS}, ROUND(AVG(actual_rate), 6) AS actual_rate,
-  ANY_VALUE(e[bin]) AS lower_edge, ANY_VALUE(e[bin + 1]) AS upper_edge
+  ROUND(ANY_VALUE(e[bin]), 6) AS lower_edge, ROUND(ANY_VALUE(e[bin + 1]), 6) AS upper_edge
 FROM placed GROUP BY bin"""
 
 
