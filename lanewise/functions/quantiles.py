@@ -9,7 +9,7 @@ whatever they are.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +25,13 @@ def _fits(df: DataFrame, small_rows: int) -> bool:
     return df.count() <= small_rows
 
 
+def _doubles(values: Iterable[float]) -> Column:
+    """Constant array; one literal instead of one call to the JVM per element."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def _splitters(value: str, buckets: int) -> Column:
-    wanted = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    return F.percentile_approx(value, wanted, 10 * buckets)
+    return F.percentile_approx(value, _doubles([i / buckets for i in range(1, buckets)]), 4 * buckets)
 
 
 def _bucket(value: Column, splitters: Column, buckets: int) -> Column:
@@ -61,8 +65,7 @@ def exact_quantiles(
     by, probs = list(by), [float(p) for p in probs]
     facts = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     if _fits(facts, small_rows):
-        wanted = F.array(*[F.lit(p) for p in probs])
-        return facts.groupBy(*by).agg(F.percentile("__v", wanted).alias("quantiles"))
+        return facts.groupBy(*by).agg(F.percentile("__v", _doubles(probs)).alias("quantiles"))
     return _by_buckets(facts, probs, by, buckets)
 
 
@@ -86,7 +89,6 @@ def _by_buckets(facts: DataFrame, probs: list[float], by: list[str], buckets: in
     last = counts.withColumn("__upto", F.sum("__n").over(_running(keys, "__b"))).withColumn(
         "__all", F.sum("__n").over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
     )
-    position = F.lit(0.0)
     ranks = []
     for i, p in enumerate(probs):
         position = F.lit(p) * (F.col("__all") - 1)
@@ -151,12 +153,15 @@ def grouped_stats(
     and are joined to the other aggregates, one row per group on both sides.
     """
     by = list(by)
+    columns = {c: {a: p for a, (d, p) in quantiles.items() if d == c} for c, _ in quantiles.values()}
     if _fits(df, small_rows):
-        extra = [F.percentile(c, F.lit(p)).alias(a) for a, (c, p) in quantiles.items()]
-        return df.groupBy(*by).agg(*aggs, *extra)
+        stats = df.groupBy(*by).agg(
+            *aggs, *[F.percentile(c, _doubles(wanted.values())).alias(f"__{c}") for c, wanted in columns.items()]
+        )
+        picked = {a: F.get(f"__{c}", F.lit(i)) for c, wanted in columns.items() for i, a in enumerate(wanted)}
+        return stats.withColumns(picked).drop(*[f"__{c}" for c in columns])
     out = df.groupBy(*by).agg(*aggs)
-    for column in dict.fromkeys(c for c, _ in quantiles.values()):
-        wanted = {a: p for a, (c, p) in quantiles.items() if c == column}
+    for column, wanted in columns.items():
         q = exact_quantiles(df, column, list(wanted.values()), by, small_rows)
         q = q.select(
             *[F.col(k).alias(f"__{k}") for k in by],
@@ -178,10 +183,8 @@ def average_ranks(counts: DataFrame, value: str, count: str = "n", buckets: int
     near-equal size and shifted by the totals of the lower buckets, so no window is global.
     """
     facts = counts.select(F.col(value).alias("__v"), F.col(count).alias("__n")).where("__v is not null")
-    # One row each: the splitters, then one total per bucket.
-    splits = F.broadcast(facts.agg(_splitters("__v", buckets).alias("__s")))
-    splitters = F.lit([float(s) for s in (splits.first()["__s"] or [])])
-    placed = facts.withColumn("__b", _bucket(F.col("__v"), splitters, buckets))
+    splitters = facts.agg(_splitters("__v", buckets).alias("__s")).first()["__s"]  # ``buckets`` - 1 numbers
+    placed = facts.withColumn("__b", _bucket(F.col("__v"), _doubles(splitters), buckets) if splitters else F.lit(0))
     totals = placed.groupBy("__b").agg(F.sum("__n").alias("__t"))
     offsets = F.broadcast(  # at most ``buckets`` rows
         totals.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -29,11 +29,13 @@ def null_safe(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column
     return condition
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Left join that keeps ``left``'s columns and adds ``right``'s non-key columns."""
-    renamed = small_side(
-        right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys]),
-        max_rows,
-    )
+def left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Null-safe left join that keeps ``left``'s columns and adds ``right``'s non-key columns."""
+    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
     joined = left.join(renamed, null_safe(left, renamed, {k: f"__{k}" for k in keys}), "left")
     return joined.drop(*[f"__{k}" for k in keys])
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``left_join`` with ``right`` broadcast if it is measured to be small."""
+    return left_join(left, small_side(right, max_rows), keys)

@@ -25,6 +25,7 @@ from lanewise.schema import (
     WORST_ROWS,
     Bins,
 )
+from lanewise.session import write_table
 
 RESIDUAL_INPUTS = ["distance", "weight", "market_index", "quote_signal", "actual_rate_per_mile"]
 
@@ -244,9 +245,10 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     of average ranks is (n + 1) / 2 on both sides.
     """
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("n"))
+    pairs = write_table(pairs, "rank-pairs")  # read once per column and once for the result
     ranked = pairs
     for column, name in ((x, "rx"), (y, "ry")):
-        counts = pairs.groupBy(column).agg(F.sum("n").alias("n"))
+        counts = write_table(pairs.groupBy(column).agg(F.sum("n").alias("n")), "rank-counts")
         ranked = ranked.join(average_ranks(counts, column).withColumnRenamed("rank", name), column)
     total = pairs.agg(F.sum("n")).scalar()
     dx, dy = F.col("rx") - (total + 1) / 2.0, F.col("ry") - (total + 1) / 2.0

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from lanewise.functions.quantiles import SMALL_ROWS, exact_quantiles
 
 
-def melt(df: DataFrame, columns: Sequence[str], dtype: str) -> DataFrame:
+def melt(df: DataFrame, columns: Sequence[str], dtype: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One (column_name, value) row per listed column."""
     entries = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast(dtype).alias("value")) for c in columns]
-    return df.select(F.inline(F.array(*entries)))
+    return df.select(*keep, F.inline(F.array(*entries)))
 
 
 def column_medians(df: DataFrame, columns: Sequence[str], small_rows: int = SMALL_ROWS) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from lanewise.functions.columns import calendar_columns, error_columns, residual_columns, route
 from lanewise.operators import analysis, history, metrics, quality, splits
 from lanewise.operators.grouped_mean import GroupedMean
-from lanewise.operators.prep import Imputer, category_codes, column_medians, column_modes, encoding
+from lanewise.operators.prep import Imputer, category_codes, column_medians, column_modes, encoding, melt
 from lanewise.operators.scenario import scenario_inputs, scenario_rates
 from lanewise.plans import tables
 from lanewise.plans.experiment import (
@@ -320,9 +320,9 @@ def _(spark, sf):
 
 @query("target_describe")
 def _(spark, sf):
-    both = splits.tagged(tables.clean(spark, sf), STAR_SPLIT)
-    parts = [metrics.describe(both, c, ["split"]).withColumn("target", F.lit(c)) for c in (TARGET, RPM, LOG_RPM)]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 5)
+    both = melt(splits.tagged(tables.clean(spark, sf), STAR_SPLIT), [TARGET, RPM, LOG_RPM], "double", ["split"])
+    described = metrics.describe(both, "value", ["split", "column_name"])
+    return rounded(described.withColumnRenamed("column_name", "target"), 5)
 
 
 @query("calendar_ranges")
