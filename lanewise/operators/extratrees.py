@@ -14,16 +14,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.operators.forest import load_fill, save_fill
 from lanewise.operators.prep import Imputer, ImputerModel, code, indexer
-from lanewise.operators.tree_nodes import NODE_COLUMNS, Packed, cut_points, draw, grow
+from lanewise.operators import tree_nodes
+from lanewise.operators.tree_nodes import NODE_COLUMNS, cut_points, draw, grow, pack, route
 from lanewise.schema import SEED
 
+# Tasks get these helpers with the closure, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(tree_nodes)
+
 LABEL = "__y"
 NODE_SCHEMA = "tree int, node long, feature int, is_category boolean, cut double, n long, value double"
 DENSE_CELLS = 8_000_000
@@ -130,8 +134,8 @@ class ExtraTrees:
     def _leaves(level: pd.DataFrame, mean: float) -> pd.DataFrame:
         return level.assign(feature=-1, is_category=False, cut=0.0, value=mean + level["total"] / level["n"])
 
-    def _router(self, done: pd.DataFrame, targets: pd.DataFrame) -> list[tuple[int, Packed, np.ndarray]]:
-        """(tree, arrays, target number per position or -1) for every tree with a target node.
+    def _router(self, done: pd.DataFrame, targets: pd.DataFrame) -> list[tuple[dict, np.ndarray]]:
+        """(arrays, target number per position or -1) for every tree with a target node.
 
         A child that is not split yet is a tip of the tree, whether or not it is a target now.
         """
@@ -142,10 +146,10 @@ class ExtraTrees:
             parents = grown.loc[grown["feature"] >= 0, "node"].to_numpy(np.int64)
             tips = np.setdiff1d(np.concatenate([2 * parents, 2 * parents + 1, [1]]), grown["node"].to_numpy(np.int64))
             ends = pd.DataFrame({"node": tips, "feature": -1, "is_category": False, "cut": 0.0, "value": 0.0})
-            packed = Packed(pd.concat([grown[ends.columns], ends]) if len(grown) else ends)
-            number = np.full(len(packed.ids), -1, dtype=np.int64)
-            number[np.searchsorted(packed.ids, wanted["node"].to_numpy(np.int64))] = wanted.index.to_numpy()
-            out.append((int(tree), packed, number))
+            packed = pack(pd.concat([grown[ends.columns], ends]) if len(grown) else ends)
+            number = np.full(len(packed["ids"]), -1, dtype=np.int64)
+            number[np.searchsorted(packed["ids"], wanted["node"].to_numpy(np.int64))] = wanted.index.to_numpy()
+            out.append((packed, number))
         return out
 
     def _split(
@@ -157,8 +161,8 @@ class ExtraTrees:
 
         def rows_by_slot(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             x, y = pdf[columns].to_numpy(np.float64), pdf[LABEL].to_numpy(np.float64) - spec["mean"]
-            for _tree, packed, number in router.value:
-                slot = number[packed.route(x)]
+            for packed, number in router.value:
+                slot = number[route(packed, x)]
                 keep = np.flatnonzero(slot >= 0)
                 if len(keep):
                     yield slot[keep], x[keep], y[keep]
@@ -298,8 +302,8 @@ class ExtraTrees:
             """Rows of one node in one batch, packed into one cell."""
             for pdf in batches:
                 data = np.column_stack([pdf[columns].to_numpy(np.float64), pdf[LABEL].to_numpy(np.float64) - spec["mean"]])
-                for tree, packed, number in router.value:
-                    slot = number[packed.route(data)]
+                for packed, number in router.value:
+                    slot = number[route(packed, data)]
                     order = np.argsort(slot, kind="stable")
                     order = order[np.searchsorted(slot[order], 0) :]
                     at = slot[order]
@@ -328,14 +332,14 @@ class ExtraTreesModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction``, the mean of the trees; other columns keep their raw values."""
-        forest = df.sparkSession.sparkContext.broadcast([Packed(g) for _, g in self.nodes.groupby("tree")])
+        forest = df.sparkSession.sparkContext.broadcast([pack(g) for _, g in self.nodes.groupby("tree")])
 
         @F.pandas_udf("double")
         def predict(x: pd.DataFrame) -> pd.Series:
             data = x.to_numpy(np.float64)
             total = np.zeros(len(data))
             for tree in forest.value:
-                total += tree.value[tree.route(data)]
+                total += tree["value"][route(tree, data)]
             return pd.Series(total / len(forest.value))
 
         raw = [*self.imputer.numeric, *self.imputer.categorical]

@@ -30,36 +30,37 @@ def cut_points(lo: np.ndarray, hi: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.where(cut >= hi, lo, cut)
 
 
-class Packed:
+def pack(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
     """One tree as flat arrays. Node ids are heap numbers: the root is 1, children 2i and 2i+1."""
+    nodes = nodes.sort_values("node")
+    ids = nodes["node"].to_numpy(np.int64)
+    return {
+        "ids": ids,
+        "feature": nodes["feature"].to_numpy(np.int32),
+        "is_category": nodes["is_category"].to_numpy(bool),
+        "cut": nodes["cut"].to_numpy(np.float64),
+        "value": nodes["value"].to_numpy(np.float64),
+        "left": np.searchsorted(ids, ids * 2).astype(np.int32),  # only read for inner nodes
+    }
 
-    def __init__(self, nodes: pd.DataFrame):
-        nodes = nodes.sort_values("node")
-        self.ids = nodes["node"].to_numpy(np.int64)
-        self.feature = nodes["feature"].to_numpy(np.int32)
-        self.is_category = nodes["is_category"].to_numpy(bool)
-        self.cut = nodes["cut"].to_numpy(np.float64)
-        self.value = nodes["value"].to_numpy(np.float64)
-        # A terminal node leads to itself, so the child lookups below are never used for it.
-        self.left = np.searchsorted(self.ids, self.ids * 2).astype(np.int32)
 
-    def route(self, x: np.ndarray) -> np.ndarray:
-        """Position of each row's terminal node. The right child follows the left one in id order."""
-        cells, width = np.ascontiguousarray(x).ravel(), x.shape[1]
-        at = np.zeros(len(x), dtype=np.int32)
-        rows = np.arange(len(x))
-        here, base = at, rows * width
-        while True:
-            feature = self.feature.take(here)
-            live = np.flatnonzero(feature >= 0)
-            if len(live) < len(here):
-                at[rows] = here
-                rows, here, base, feature = rows[live], here[live], base[live], feature[live]
-            if not len(rows):
-                return at
-            v, cut = cells.take(base + feature), self.cut.take(here)
-            right = np.where(self.is_category.take(here), v == cut, v > cut)
-            here = self.left.take(here) + right
+def route(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Position of each row's terminal node. The right child follows the left one in id order."""
+    cells, width = np.ascontiguousarray(x).ravel(), x.shape[1]
+    at = np.zeros(len(x), dtype=np.int32)
+    rows = np.arange(len(x))
+    here, base = at, rows * width
+    while True:
+        feature = tree["feature"].take(here)
+        live = np.flatnonzero(feature >= 0)
+        if len(live) < len(here):
+            at[rows] = here
+            rows, here, base, feature = rows[live], here[live], base[live], feature[live]
+        if not len(rows):
+            return at
+        v, cut = cells.take(base + feature), tree["cut"].take(here)
+        right = np.where(tree["is_category"].take(here), v == cut, v > cut)
+        here = tree["left"].take(here) + right
 
 
 def grow(x: np.ndarray, y: np.ndarray, tree: int, node: int, spec: dict) -> pd.DataFrame:

@@ -174,7 +174,7 @@ def _(spark, sf):
 @query("dq_duplicates")
 def _(spark, sf):
     """Loads that occur in more than one validation fold: the windows overlap."""
-    return quality.duplicates(tables.fold_rows(spark, sf).where("role = 'validation'"))
+    return quality.duplicates(tables.fold_predictions(spark, sf))
 
 
 @query("dq_duplicates_loads")
@@ -469,12 +469,12 @@ def _(spark, sf):
 
 @query("cv_assign")
 def _(spark, sf):
-    return tables.fold_rows(spark, sf).select("fold", "role", ID)
+    return splits.assign_folds(tables.labelled(spark, sf), STAR_FOLDS).select("fold", "role", ID)
 
 
 @query("cv_predictions")
 def _(spark, sf):
-    return money(tables.fold_rows(spark, sf).where("role = 'validation'").drop("role"))
+    return money(tables.fold_predictions(spark, sf))
 
 
 @query("cv_fold_metrics")

@@ -108,19 +108,27 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Priced rows of every fold and role. All folds are fitted by one aggregate."""
+    """Priced rows of every fold and role, not stored: a load occurs in several of them.
+
+    All folds are fitted by one aggregate.
+    """
+    rows = assign_folds(clean(spark, sf_dir), STAR_FOLDS)
+    model = GroupedMean(within=["fold"]).fit(rows.where("role = 'train'"))
+    return priced(model.transform(rows)).select(
+        "fold",
+        "role",
+        ID,
+        F.col(TARGET).alias("actual_rate"),
+        "predicted_rate",
+        F.col(RPM).alias("actual_rate_per_mile"),
+        "predicted_rate_per_mile",
+    )
+
+
+def fold_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled validation predictions of all folds."""
 
     def build() -> DataFrame:
-        rows = assign_folds(clean(spark, sf_dir), STAR_FOLDS)
-        model = GroupedMean(within=["fold"]).fit(rows.where("role = 'train'"))
-        return priced(model.transform(rows)).select(
-            "fold",
-            "role",
-            ID,
-            F.col(TARGET).alias("actual_rate"),
-            "predicted_rate",
-            F.col(RPM).alias("actual_rate_per_mile"),
-            "predicted_rate_per_mile",
-        )
-
-    return once(spark, sf_dir, "folds", build)
+        return fold_rows(spark, sf_dir).where("role = 'validation'").drop("role")
+
+    return once(spark, sf_dir, "fold-predictions", build)

@@ -76,7 +76,7 @@ def test_prediction_files(spark, sf, tmp_path, width):
 def test_other_sinks(spark, sf, tmp_path):
     write_submission(tables.predictions(spark, sf), str(tmp_path / "s"))
     assert read_delivery(spark, str(tmp_path / "s"), "submission").columns == ["load_id", "predicted_rate"]
-    write_fold_predictions(tables.fold_rows(spark, sf).where("role = 'validation'"), str(tmp_path / "f"))
+    write_fold_predictions(tables.fold_predictions(spark, sf), str(tmp_path / "f"))
     assert {p.name for p in (tmp_path / "f").iterdir() if p.is_dir()} == {"fold=fold_1", "fold=fold_2", "fold=fold_3"}
     write_reports({"one": spark.range(3)}, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r/one")).count() == 3

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lanewise.operators.extratrees import ExtraTrees, ExtraTreesModel
 from lanewise.operators.forest import Forest, ForestModel
 from lanewise.operators.metrics import regression_metrics
-from lanewise.operators.tree_nodes import Packed, draw
+from lanewise.operators.tree_nodes import draw, pack, route
 from lanewise.plans import tables
 from lanewise.schema import CATEGORICAL, LOG_RPM, NUMERIC
 
@@ -110,7 +110,7 @@ def test_prediction_is_the_mean_of_the_leaves(spark, train, model):
     rows = train.limit(50)
     coded = model.codes.transform(model.imputer.transform(rows)).select("load_id", *model.columns).toPandas()
     x = coded[model.columns].to_numpy(float)
-    want = np.mean([p.value[p.route(x)] for p in (Packed(g) for _, g in model.nodes.groupby("tree"))], axis=0)
+    want = np.mean([p["value"][route(p, x)] for p in (pack(g) for _, g in model.nodes.groupby("tree"))], axis=0)
     got = {r["load_id"]: r["prediction"] for r in model.transform(rows).select("load_id", "prediction").collect()}
     assert [got[i] for i in coded["load_id"]] == pytest.approx(list(want))
 
