@@ -74,15 +74,13 @@ def _by_buckets(facts: DataFrame, probs: list[float], by: list[str], buckets: in
     facts = facts.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], "__v")
 
     # Pass 1: one bounded sketch per group.
-    splits = small_side(
-        facts.groupBy(*keys).agg(_splitters("__v", buckets).alias("__s")).select(
-            *[F.col(k).alias(f"{k}s") for k in keys], "__s"
-        ),
-        max_rows=4096,
-    )
-    placed = facts.join(splits, null_safe(facts, splits, {k: f"{k}s" for k in keys})).select(
-        *keys, _bucket(F.col("__v"), F.col("__s"), buckets).alias("__b"), "__v"
-    )
+    splits = facts.groupBy(*keys).agg(_splitters("__v", buckets).alias("__s"))
+    if keys:
+        splits = small_side(splits.withColumnsRenamed({k: f"{k}s" for k in keys}), max_rows=4096)
+        facts = facts.join(splits, null_safe(facts, splits, {k: f"{k}s" for k in keys}))
+    else:
+        facts = facts.withColumn("__s", _doubles(splits.first()["__s"]))
+    placed = facts.select(*keys, _bucket(F.col("__v"), F.col("__s"), buckets).alias("__b"), "__v")
 
     # Pass 2: bucket counts, at most ``buckets`` rows per group, give each rank's bucket.
     counts = placed.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))

@@ -28,7 +28,10 @@ def frame(spark):
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_bucketed_quantiles_are_exact(frame, buckets, by):
     pdf, df = frame
-    got = exact_quantiles(df, "v", PROBS, by, small_rows=10, buckets=buckets).collect()
+    out = exact_quantiles(df, "v", PROBS, by, small_rows=10, buckets=buckets)
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = out.collect()
     groups = pdf.assign(v=pdf["v"].astype(float)).groupby("g", dropna=False)["v"] if by else [(None, pdf["v"].astype(float))]
     want = {None if pd.isna(k) else k: np.quantile(v.dropna(), PROBS) for k, v in groups}
     assert {r["g"] if by else None for r in got} == set(want)
