@@ -137,18 +137,26 @@ class ExtraTrees:
     def _router(self, done: pd.DataFrame, targets: pd.DataFrame) -> list[tuple[dict, np.ndarray]]:
         """(arrays, target number per position or -1) for every tree with a target node.
 
-        A child that is not split yet is a tip of the tree, whether or not it is a target now.
+        Only the paths down to the targets are kept, so a row stops as soon as it leaves them.
         """
         out = []
-        inner = {t: g for t, g in done.groupby("tree")} if len(done) else {}
+        inner = {t: g for t, g in done[done["feature"] >= 0].groupby("tree")} if len(done) else {}
+        shape = ["node", "feature", "is_category", "cut", "value"]
         for tree, wanted in targets.groupby("tree"):
-            grown = inner.get(tree, wanted.iloc[:0].assign(feature=-1, is_category=False, cut=0.0, value=0.0))
-            parents = grown.loc[grown["feature"] >= 0, "node"].to_numpy(np.int64)
-            tips = np.setdiff1d(np.concatenate([2 * parents, 2 * parents + 1, [1]]), grown["node"].to_numpy(np.int64))
-            ends = pd.DataFrame({"node": tips, "feature": -1, "is_category": False, "cut": 0.0, "value": 0.0})
-            packed = pack(pd.concat([grown[ends.columns], ends]) if len(grown) else ends)
+            ends = wanted["node"].to_numpy(np.int64)
+            above, up = [], np.unique(ends >> 1)
+            while len(up) and up[-1]:
+                above.append(up)
+                up = np.unique(up >> 1)
+            path = np.unique(np.concatenate(above)) if above else ends[:0]
+            tips = np.setdiff1d(np.concatenate([2 * path, 2 * path + 1, [1]]), path)
+            tips = pd.DataFrame({"node": tips, "feature": -1, "is_category": False, "cut": 0.0, "value": 0.0})
+            if len(path):
+                kept = inner[tree]
+                tips = pd.concat([kept.loc[kept["node"].isin(path), shape], tips])
+            packed = pack(tips)
             number = np.full(len(packed["ids"]), -1, dtype=np.int64)
-            number[np.searchsorted(packed["ids"], wanted["node"].to_numpy(np.int64))] = wanted.index.to_numpy()
+            number[np.searchsorted(packed["ids"], ends)] = wanted.index.to_numpy()
             out.append((packed, number))
         return out
 
@@ -159,24 +167,25 @@ class ExtraTrees:
         spark, k, size = ready.sparkSession, spec["numeric"], len(chunk)
         router = spark.sparkContext.broadcast(self._router(done, chunk))
 
-        def rows_by_slot(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        def rows_by_slot(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
+            """Per tree: slot of each row in slot order, where each slot starts, features, labels."""
             x, y = pdf[columns].to_numpy(np.float64), pdf[LABEL].to_numpy(np.float64) - spec["mean"]
             for packed, number in router.value:
                 slot = number[route(packed, x)]
-                keep = np.flatnonzero(slot >= 0)
-                if len(keep):
-                    yield slot[keep], x[keep], y[keep]
+                order = np.argsort(slot, kind="stable")
+                order = order[np.searchsorted(slot[order], 0) :]
+                if len(order):
+                    at = slot[order]
+                    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    yield at, starts, x.take(order, axis=0), y.take(order)
 
         def ranges(batches):
             lo, hi = np.full((size, k), np.inf), np.full((size, k), -np.inf)
             for pdf in batches:
-                for slot, x, _y in rows_by_slot(pdf):
-                    order = np.argsort(slot, kind="stable")
-                    at = slot[order]
-                    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                    here, xs = at[starts], x[order, :k]
-                    lo[here] = np.minimum(lo[here], np.minimum.reduceat(xs, starts))
-                    hi[here] = np.maximum(hi[here], np.maximum.reduceat(xs, starts))
+                for at, starts, x, _y in rows_by_slot(pdf):
+                    here, numbers = at[starts], x[:, :k]
+                    lo[here] = np.minimum(lo[here], np.minimum.reduceat(numbers, starts))
+                    hi[here] = np.maximum(hi[here], np.maximum.reduceat(numbers, starts))
             slot, feature = np.nonzero(lo <= hi)
             yield pd.DataFrame({"slot": slot, "feature": feature, "lo": lo[slot, feature], "hi": hi[slot, feature]})
 
@@ -200,15 +209,14 @@ class ExtraTrees:
             n, s = np.zeros((size, k)), np.zeros((size, k))
             dense = {j: np.zeros((2, size * w)) for j, w in enumerate(widths) if size * w <= DENSE_CELLS}
             for pdf in batches:
-                for slot, x, y in rows_by_slot(pdf):
-                    first = slot.min()
-                    span = int(slot.max() - first) + 1
-                    here = slot - first
-                    below = x[:, :k] <= at_cut[slot]
-                    for f in range(k):
-                        left = below[:, f]
-                        n[first : first + span, f] += np.bincount(here[left], minlength=span)
-                        s[first : first + span, f] += np.bincount(here[left], weights=y[left], minlength=span)
+                for at, starts, x, y in rows_by_slot(pdf):
+                    first = at[0]
+                    span = int(at[-1] - first) + 1
+                    here = at - first
+                    if k:
+                        below = (x[:, :k] <= at_cut[at]).astype(np.float64)
+                        n[at[starts]] += np.add.reduceat(below, starts)
+                        s[at[starts]] += np.add.reduceat(below * y[:, None], starts)
                     for j, width in enumerate(widths):
                         codes = x[:, k + j].astype(np.int64)
                         known = codes < width
