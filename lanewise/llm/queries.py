@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lanewise.llm.decontaminate import items_of, leaks
 from lanewise.llm.exact_dedup import exact_duplicates
+from lanewise.llm.mixing import mix
+from lanewise.llm.sharding import shard_rows
 from lanewise.llm.simhash import near_duplicate_rows
+from lanewise.llm.toxicity import toxic_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_rows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_rows(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +35,23 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(_table(spark, sf_dir, "documents"), items_of(_table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "item_id", "score", "first_word", "question_overlap", "answer_overlap")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_simhash, op9_exact_dedup)
+    f.__name__: f
+    for f in (
+        op5_mixing,
+        op6_toxicity,
+        op7_simhash,
+        op8_sharding,
+        op9_exact_dedup,
+        op10_decontamination,
+    )
 }
