@@ -22,7 +22,7 @@ from lanewise.llm.rows import FILE, KEY, ROW, keyed, ship, utf8
 from lanewise.session import write_table
 
 K1, B = 1.2, 0.75
-BLOCK = 8  # entries of a block
+BLOCK = 4  # entries of a block
 PART = 64  # words of an index entry at most, and the step between passages
 PASSAGE = 2 * PART  # so a part lies in one passage as a whole
 SHARD_BYTES = 16 << 20
@@ -42,7 +42,7 @@ class Index:
     items: list[int]  # entry -> item
     texts: dict[int, tuple[list[str], list[str]]]  # item -> words of question, answer
     vocabulary: dict[str, int] = field(default_factory=dict)
-    postings: list[list[tuple[int, float]]] = field(default_factory=list)  # term -> (entry, share), by entry
+    lists: list[dict[int, list[tuple[int, float]]]] = field(default_factory=list)  # term -> block -> (entry, share), by entry
     rare: np.ndarray = None  # term -> its blocks count in the first bound
     starts: np.ndarray = None  # term -> where its blocks start
     blocks: np.ndarray = None
@@ -74,17 +74,17 @@ def build_index(rows: list[tuple[int, str, str]], threshold: float, shortest: in
     mean = sum(len(w) for _, w in parts) / max(len(parts), 1)
     for t in sorted(found):
         index.vocabulary[t] = len(index.vocabulary)
-    index.postings = [[] for _ in found]
+    postings: list[list[tuple[int, float]]] = [[] for _ in found]
     for e, c in enumerate(counts):
         length = K1 * (1 - B + B * sum(c.values()) / mean)
         weight = {t: math.log(1 + (len(parts) - found[t] + 0.5) / (found[t] + 0.5)) * n * (K1 + 1) / (n + length) for t, n in c.items()}
         whole = sum(weight.values())
         for t, w in weight.items():
-            index.postings[index.vocabulary[t]].append((e, w / whole))
+            postings[index.vocabulary[t]].append((e, w / whole))
     frequent = max(len(parts) / 8, 1)
-    index.rare = np.array([len(p) <= frequent for p in index.postings] or [False])
+    index.rare = np.array([len(p) <= frequent for p in postings] or [False])
     shares: list[list[tuple[float, int]]] = [[] for _ in parts]
-    for t, posting in enumerate(index.postings):
+    for t, posting in enumerate(postings):
         for e, s in posting:
             shares[e].append((s, t))
     for own in shares:
@@ -93,14 +93,15 @@ def build_index(rows: list[tuple[int, str, str]], threshold: float, shortest: in
             index.rare[common.pop(0)[1]] = True
     rest = np.zeros(len(parts))
     starts, blocks, bounds = [0], [], []
-    for t, posting in enumerate(index.postings):
-        best: dict[int, float] = defaultdict(float)
+    for t, posting in enumerate(postings):
+        own: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for e, s in posting:
-            best[e // BLOCK] = max(best[e // BLOCK], s)
+            own[e // BLOCK].append((e, s))
             if not index.rare[t]:
                 rest[e] += s
-        blocks += best
-        bounds += best.values()
+        index.lists.append(dict(own))
+        blocks += own
+        bounds += (max(s for _, s in x) for x in own.values())
         starts.append(len(blocks))
     index.starts, index.blocks, index.bounds = np.array(starts), np.array(blocks, np.int64), np.array(bounds)
     index.rest = np.array([rest[b : b + BLOCK].max() for b in range(0, len(parts), BLOCK)])
@@ -133,18 +134,13 @@ def promising(index: Index, terms: np.ndarray, threshold: float) -> Iterator[tup
         yield key // index.n_blocks, key % index.n_blocks
 
 
-def wand(index: Index, terms: set[int], block: int, threshold: float) -> list[tuple[int, float]]:
+def wand(index: Index, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
     """Entries of the block with a score at or above the threshold, by pivoting over the lists.
 
     Lists are kept in the order of their current entry; the pivot is the first one at which the
     sum of bounds reaches the threshold, and lists before it jump there.
     """
-    low, high = block * BLOCK, (block + 1) * BLOCK
-    lists = []
-    for t in terms:
-        own = [p for p in index.postings[t] if low <= p[0] < high]
-        if own:
-            lists.append([own, 0, max(s for _, s in own)])
+    lists = [[own, 0, max(s for _, s in own)] for t in terms if (own := index.lists[t].get(block))]
     found = []
     while lists:
         lists.sort(key=lambda x: x[0][x[1]][0])
@@ -190,8 +186,10 @@ def search(index: Index, text: bytes, threshold: float, question: float, answer:
     get = index.vocabulary.get
     terms = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
     best: dict[int, tuple[float, int]] = {}
+    inside, last = [], -1
     for passage, block in promising(index, terms, threshold):
-        inside = set(terms[passage * PART : passage * PART + PASSAGE].tolist()) - {-1}
+        if passage != last:
+            inside, last = list(set(terms[passage * PART : passage * PART + PASSAGE].tolist()) - {-1}), passage
         for entry, score in wand(index, inside, block, threshold):
             item = index.items[entry]
             if item not in best or score > best[item][0]:
@@ -237,7 +235,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: f
     found = []
     for shard in range(shards):
         rows = known.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()
-        index = docs.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in rows], threshold))
+        index = docs.sparkSession.sparkContext.broadcast(vars(build_index([tuple(r) for r in rows], threshold)))
         found.append(_scan(slim, index, threshold, question, answer))
     return reduce(DataFrame.unionAll, found)
 
@@ -247,11 +245,12 @@ def _scan(slim: DataFrame, index, threshold: float, question: float, answer: flo
     schema = pa.schema([("doc_id", pa.int64()), (FILE, pa.int64()), (ROW, pa.int64()), *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Index(**index.value)
         for batch in batches:
             out = []
-            if index.value.items:
+            if own.items:
                 for i, text in enumerate(utf8(batch["text"])):
-                    for hit in search(index.value, text, threshold, question, answer):
+                    for hit in search(own, text, threshold, question, answer):
                         out.append({c: batch[c][i].as_py() for c in ("doc_id", *KEY)} | hit)
             yield pa.RecordBatch.from_pylist(out, schema)
 
