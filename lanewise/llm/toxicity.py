@@ -22,8 +22,11 @@ BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)
 CACHED_WORDS = 300_000
 EULER = 0.5772156649015329
+LIMIT = 12.0
 _BINS, _BIN, _LOW = 80, 0.25, -4.0
 
+_HALF = "cast(pmod(xxhash64(doc_id, 'half'), 2) as int) AS half"
+
 _words = re.compile(r"\w+").findall
 
 
@@ -98,9 +101,13 @@ class Toxicity:
         return self.rate * score - np.log(self.scale * np.maximum(words, 1))
 
     def evidence(self, segments: list[tuple[int, int, float]], words: int) -> float:
-        """Sum over the segments rarer than chance; without any, the best one's (negative) value."""
+        """Sum over the segments rarer than chance; without any, the best one's (negative) value.
+
+        Held within LIMIT: beyond it nothing becomes surer, and a few odd texts or wrong labels
+        can't bend the curve that is fitted to it.
+        """
         each = [float(self.bits(s, words)) for _, _, s in segments] or [float(self.bits(0.0, words))]
-        return min(max(sum(x for x in each if x > 0) or max(each), -30.0), 60.0)
+        return min(max(sum(x for x in each if x > 0) or max(each), -LIMIT), LIMIT)
 
     def probability(self, evidence):
         return 1 / (1 + np.exp(-(self.intercept + self.slope * np.asarray(evidence))))
@@ -136,31 +143,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def unit_counts(docs: DataFrame, sample: DataFrame) -> dict[str, np.ndarray]:
-    """Per bucket: occurrences in all documents, and documents of each class in the sample.
+    """Per bucket: occurrences in all documents, and documents of each class and half of the sample.
 
     Every text is read; a task sends a line for each bucket it met, and the sums are BUCKETS
     lines at most, which is what the driver gets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, classes = np.zeros(BUCKETS, np.int64), np.zeros((2, BUCKETS), np.int64)
+        corpus, classes = np.zeros(BUCKETS, np.int64), np.zeros((4, BUCKETS), np.int64)
         for batch in batches:
             met: Counter = Counter()
-            for text, label in zip(utf8(batch["text"]), batch["label"].to_pylist()):
+            for text, label, half in zip(utf8(batch["text"]), batch["label"].to_pylist(), batch["half"].to_pylist()):
                 words = words_of(text)
                 met.update(words)
                 if label is not None:
-                    classes[label][np.unique([u for w in set(words) for u in units_of(w)]).astype(np.int64)] += 1
+                    classes[2 * half + label][np.unique([u for w in set(words) for u in units_of(w)]).astype(np.int64)] += 1
                 if len(met) > CACHED_WORDS:
                     _add(corpus, met)
             _add(corpus, met)
         at = np.flatnonzero(corpus)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(x[at]) for x in (corpus, *classes))], ["bucket", "corpus", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(x[at]) for x in (corpus, *classes))], ["bucket", *names])
 
-    labelled = docs.join(sample, "doc_id", "left").select("text", "label")
-    sums = labelled.mapInArrow(run, "bucket int, corpus long, clean long, toxic long").groupBy("bucket").sum("corpus", "clean", "toxic").toArrow()
+    names = ["corpus", "clean0", "toxic0", "clean1", "toxic1"]
+    labelled = docs.join(sample, "doc_id", "left").selectExpr("text", "label", _HALF)
+    sums = labelled.mapInArrow(run, "bucket int, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").sum(*names).toArrow()
     out = {}
-    for name, column in zip(("corpus", "clean", "toxic"), sums.columns[1:]):
+    for name, column in zip(names, sums.columns[1:]):
         out[name] = np.zeros(BUCKETS)
         out[name][sums.column(0).to_numpy()] = column.to_numpy()
     return out
@@ -182,45 +190,51 @@ def fit(
     labels: DataFrame,
     limit: int = 20_000,
     strength: float = 5_000.0,
-    floor: float = 0.2,
-    caution: float = 2.0,
+    floor: float = 1.0,
+    caution: float = 3.0,
     drift: float = 0.1,
 ) -> Toxicity:
     """Learn from at most ``limit`` labelled rows whose crc32(doc_id) mod 3 is not 1.
 
-    The prior counts all of ``docs``. Rate and scale are those of clean sample texts, so that
-    rate * score - ln(scale * words) is the log rarity of a segment. Without labels of both
-    classes nothing is known: no unit has weight and every text gets the same low score.
+    The prior counts all of ``docs``. For the calibration each half of the sample is scored
+    with what the other half has taught, so that evidence is as strong as on unseen texts. Rate
+    and scale are those of the clean texts: rate * score - ln(scale * words) is the log rarity
+    of a segment. Without labels of both classes in both halves nothing is known: no unit has
+    weight and every text gets the same low score.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = training_sample(slim, labels, "toxic", remainder("doc_id", 3) != 1, limit)
     counts = unit_counts(slim, sample)
-    model = Toxicity(log_odds(counts["toxic"], counts["clean"], counts["corpus"], strength, floor, caution), drift, 1.0, 1.0)
-    if not counts["toxic"].any() or not counts["clean"].any():
+    learn = lambda toxic, clean: log_odds(toxic, clean, counts["corpus"], strength, floor, caution)
+    model = Toxicity(learn(counts["toxic0"] + counts["toxic1"], counts["clean0"] + counts["clean1"]), drift, 1.0, 1.0)
+    if not all(counts[c].any() for c in ("toxic0", "toxic1", "clean0", "clean1")):
         model.weights[:] = 0
         return model
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast([learn(counts[f"toxic{h}"], counts[f"clean{h}"]) for h in (1, 0)])
+    doubles = pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(shared.value.weights, shared.value.drift)
+        of_half = [WordScores(w, drift) for w in shared.value]
         for batch in batches:
             out = []
-            for text, label in zip(utf8(batch["text"]), batch["label"].to_pylist()):
-                values = np.array([scores[w] for w in words_of(text)], float)
+            for text, label, half in zip(utf8(batch["text"]), batch["label"].to_pylist(), batch["half"].to_pylist()):
+                values = np.array([of_half[half][w] for w in words_of(text)], float)
                 bins = np.clip(((values - _LOW) / _BIN).round().astype(int), 0, _BINS - 1)
+                count, total = (np.bincount(bins, weights=w, minlength=_BINS).tolist() for w in (np.ones(len(values)), values))
                 best = sorted((s for _, _, s in maximal_segments(values)), reverse=True)[:64]
-                out.append({"label": label, "words": len(values), "best": best, "bins": np.bincount(bins, minlength=_BINS).tolist()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("label", pa.int32()), ("words", pa.int64()), ("best", pa.list_(pa.float64())), ("bins", pa.list_(pa.int64()))]))
-
-    seen = slim.join(sample, "doc_id").select("text", "label").mapInArrow(run, "label int, words long, best array<double>, bins array<bigint>").collect()
-    clean = [r for r in seen if r.label == 0]
-    share = np.sum([r.bins for r in clean], axis=0).astype(float)
-    model.rate = _solve_rate(share / max(share.sum(), 1), _LOW + _BIN * np.arange(_BINS))
-    top = np.array([max(r.best, default=0.0) for r in clean])
-    size = np.maximum([r.words for r in clean], 1)
+                out.append({"label": label, "words": len(values), "best": best, "count": count, "sum": total})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("label", pa.int32()), ("words", pa.int64()), ("best", doubles), ("count", doubles), ("sum", doubles)]))
+
+    seen = slim.join(sample, "doc_id").selectExpr("text", "label", _HALF)
+    seen = seen.mapInArrow(run, "label int, words long, best array<double>, count array<double>, sum array<double>").collect()
+    clean = [r for r in seen if r["label"] == 0]
+    share, value = (np.sum([r[c] for r in clean], axis=0) for c in ("count", "sum"))
+    model.rate = _solve_rate(share / max(share.sum(), 1), value / np.maximum(share, 1))
+    top = np.array([max(r["best"], default=0.0) for r in clean])
+    size = np.maximum([r["words"] for r in clean], 1)
     model.scale = float(np.exp(np.mean(model.rate * top - np.log(size)) - EULER))
-    x = np.array([model.evidence([(0, 0, s) for s in r.best], r.words) for r in seen])
-    model.intercept, model.slope = _logistic(x, np.array([r.label for r in seen], float))
+    x = np.array([model.evidence([(0, 0, s) for s in r["best"]], r["words"]) for r in seen])
+    model.intercept, model.slope = _logistic(x, np.array([r["label"] for r in seen], float))
     return model
 
 
@@ -232,12 +246,12 @@ def scores(docs: DataFrame, model: Toxicity, rare: float = 0.01) -> DataFrame:
     that expected number. Null and empty texts have no passage and the score of no evidence.
     Extra columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     passage = "array<struct<first:int,last:int,score:double,expected:double>>"
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Toxicity(**shared.value)
         values_of = WordScores(model.weights, model.drift)
         for batch in batches:
             evidence, passages = [], []
