@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lanewise.llm.decontaminate import items_of, leaks
 from lanewise.llm.exact_dedup import exact_duplicates
 from lanewise.llm.mixing import mix
+from lanewise.llm.quality import quality_rows
 from lanewise.llm.sharding import shard_rows
 from lanewise.llm.simhash import near_duplicate_rows
 from lanewise.llm.toxicity import toxic_rows
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -47,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_quality,
         op5_mixing,
         op6_toxicity,
         op7_simhash,
