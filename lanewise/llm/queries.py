@@ -13,12 +13,17 @@ from lanewise.llm.quality import quality_rows
 from lanewise.llm.sharding import shard_rows
 from lanewise.llm.simhash import near_duplicate_rows
 from lanewise.llm.toxicity import toxic_rows
+from lanewise.llm.warc import archived_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,6 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_warc,
         op3_quality,
         op5_mixing,
         op6_toxicity,

@@ -20,12 +20,13 @@ from lanewise.session import write_table
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 EULER = 0.5772156649015329
 LIMIT = 12.0
 _BINS, _BIN, _LOW = 80, 0.25, -4.0
 
-_HALF = "cast(pmod(xxhash64(doc_id, 'half'), 2) as int) AS half"
+FOLDS = 4
+_FOLD = f"cast(pmod(xxhash64(doc_id, 'fold'), {FOLDS}) as int) AS fold"
 
 _words = re.compile(r"\w+").findall
 
@@ -77,11 +78,29 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(first, end, right - left) for first, end, left, right, _ in found]
 
 
+def fresh_scores(words: list[str], values: np.ndarray, segments: list[tuple[int, int, float]]) -> list[float]:
+    """The segments' scores if each distinct word counts only once in the text.
+
+    The weights come from counts of documents, so a word said again is no new evidence.
+    """
+    seen, again = set(), np.zeros(len(values), bool)
+    for i in np.flatnonzero(values > 0).tolist():
+        again[i] = words[i] in seen
+        seen.add(words[i])
+    sums = np.concatenate([[0.0], np.cumsum(np.where(again, 0.0, values))])
+    return [float(sums[b] - sums[a]) for a, b, _ in segments]
+
+
 def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray, strength: float, floor: float, caution: float) -> np.ndarray:
-    """Log-odds ratio of each unit under a Dirichlet prior that follows the corpus, drawn to zero by ``caution`` standard errors."""
-    prior = np.maximum(strength * corpus / max(corpus.sum(), 1), floor)
-    a, b = toxic + prior, clean + prior
-    delta = np.log(a / np.maximum(toxic.sum() + strength - a, 1)) - np.log(b / np.maximum(clean.sum() + strength - b, 1))
+    """Log ratio of the shares of toxic and clean documents that have each unit.
+
+    All three count documents; their last entry is the number of documents. The prior is worth
+    ``strength`` documents in which units are as common as in the corpus, ``floor`` at least,
+    and the ratio is drawn to zero by ``caution`` standard errors.
+    """
+    prior = np.maximum(strength * corpus[:-1] / max(corpus[-1], 1), floor)
+    a, b = toxic[:-1] + prior, clean[:-1] + prior
+    delta = np.log(a / (toxic[-1] + strength)) - np.log(b / (clean[-1] + strength))
     return (np.sign(delta) * np.maximum(np.abs(delta) - caution * np.sqrt(1 / a + 1 / b), 0)).astype(np.float32)
 
 
@@ -100,13 +119,13 @@ class Toxicity:
         """Normalised score: ln of 1 over the expected number of such segments in clean text."""
         return self.rate * score - np.log(self.scale * np.maximum(words, 1))
 
-    def evidence(self, segments: list[tuple[int, int, float]], words: int) -> float:
+    def evidence(self, scores: list[float], words: int) -> float:
         """Sum over the segments rarer than chance; without any, the best one's (negative) value.
 
         Held within LIMIT: beyond it nothing becomes surer, and a few odd texts or wrong labels
         can't bend the curve that is fitted to it.
         """
-        each = [float(self.bits(s, words)) for _, _, s in segments] or [float(self.bits(0.0, words))]
+        each = [float(self.bits(s, words)) for s in scores] or [float(self.bits(0.0, words))]
         return min(max(sum(x for x in each if x > 0) or max(each), -LIMIT), LIMIT)
 
     def probability(self, evidence):
@@ -143,33 +162,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def unit_counts(docs: DataFrame, sample: DataFrame) -> dict[str, np.ndarray]:
-    """Per bucket: occurrences in all documents, and documents of each class and half of the sample.
+    """Per bucket: documents with the unit in all of ``docs``, and in each class and fold of the sample.
 
-    Every text is read; a task sends a line for each bucket it met, and the sums are BUCKETS
-    lines at most, which is what the driver gets.
+    The last entry counts the documents themselves. A corpus document counts once for each of
+    its distinct words. Every text is read; a task sends a line for each bucket it met, and the
+    sums are BUCKETS + 1 lines at most, which is what the driver gets.
     """
+    names = ["corpus", *(f"{c}{f}" for f in range(FOLDS) for c in ("clean", "toxic"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, classes = np.zeros(BUCKETS, np.int64), np.zeros((4, BUCKETS), np.int64)
+        corpus, classes = np.zeros(BUCKETS + 1, np.int64), np.zeros((2 * FOLDS, BUCKETS + 1), np.int32)
+        met: Counter = Counter()
         for batch in batches:
-            met: Counter = Counter()
-            for text, label, half in zip(utf8(batch["text"]), batch["label"].to_pylist(), batch["half"].to_pylist()):
-                words = words_of(text)
+            for text, label, fold in zip(utf8(batch["text"]), batch["label"].to_pylist(), batch["fold"].to_pylist()):
+                words = set(words_of(text))
                 met.update(words)
                 if label is not None:
-                    classes[2 * half + label][np.unique([u for w in set(words) for u in units_of(w)]).astype(np.int64)] += 1
+                    classes[2 * fold + label][list({u for w in words for u in units_of(w)} | {BUCKETS})] += 1
                 if len(met) > CACHED_WORDS:
                     _add(corpus, met)
-            _add(corpus, met)
+            corpus[BUCKETS] += batch.num_rows
+        _add(corpus, met)
         at = np.flatnonzero(corpus)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(x[at]) for x in (corpus, *classes))], ["bucket", *names])
 
-    names = ["corpus", "clean0", "toxic0", "clean1", "toxic1"]
-    labelled = docs.join(sample, "doc_id", "left").selectExpr("text", "label", _HALF)
-    sums = labelled.mapInArrow(run, "bucket int, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").sum(*names).toArrow()
+    labelled = docs.join(sample, "doc_id", "left").selectExpr("text", "label", _FOLD)
+    sums = labelled.mapInArrow(run, "bucket int, " + ", ".join(f"{n} {'int' if n[-1].isdigit() else 'long'}" for n in names)).groupBy("bucket").sum(*names).toArrow()
     out = {}
     for name, column in zip(names, sums.columns[1:]):
-        out[name] = np.zeros(BUCKETS)
+        out[name] = np.zeros(BUCKETS + 1)
         out[name][sums.column(0).to_numpy()] = column.to_numpy()
     return out
 
@@ -181,7 +202,7 @@ def _add(corpus: np.ndarray, met: Counter) -> None:
         units += own
         counts += [n] * len(own)
     if units:
-        corpus += np.bincount(units, weights=counts, minlength=BUCKETS).astype(np.int64)
+        corpus += np.bincount(units, weights=counts, minlength=BUCKETS + 1).astype(np.int64)
     met.clear()
 
 
@@ -189,43 +210,45 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     limit: int = 20_000,
-    strength: float = 5_000.0,
+    strength: float = 10.0,
     floor: float = 1.0,
-    caution: float = 3.0,
+    caution: float = 2.5,
     drift: float = 0.1,
 ) -> Toxicity:
     """Learn from at most ``limit`` labelled rows whose crc32(doc_id) mod 3 is not 1.
 
-    The prior counts all of ``docs``. For the calibration each half of the sample is scored
-    with what the other half has taught, so that evidence is as strong as on unseen texts. Rate
-    and scale are those of the clean texts: rate * score - ln(scale * words) is the log rarity
-    of a segment. Without labels of both classes in both halves nothing is known: no unit has
-    weight and every text gets the same low score.
+    The prior counts all of ``docs``. For the calibration each fold of the sample is scored
+    with what the other folds have taught, so that evidence is as strong as on unseen texts.
+    Rate and scale are those of the clean texts: rate * score - ln(scale * words) is the log
+    rarity of a segment. Without labels of both classes in two folds nothing is known: no unit
+    has weight and every text gets the same low score.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = training_sample(slim, labels, "toxic", remainder("doc_id", 3) != 1, limit)
     counts = unit_counts(slim, sample)
     learn = lambda toxic, clean: log_odds(toxic, clean, counts["corpus"], strength, floor, caution)
-    model = Toxicity(learn(counts["toxic0"] + counts["toxic1"], counts["clean0"] + counts["clean1"]), drift, 1.0, 1.0)
-    if not all(counts[c].any() for c in ("toxic0", "toxic1", "clean0", "clean1")):
+    toxic, clean = ([counts[f"{c}{f}"] for f in range(FOLDS)] for c in ("toxic", "clean"))
+    model = Toxicity(learn(sum(toxic), sum(clean)), drift, 1.0, 1.0)
+    if min(sum(x.any() for x in toxic), sum(x.any() for x in clean)) < 2:
         model.weights[:] = 0
         return model
-    shared = docs.sparkSession.sparkContext.broadcast([learn(counts[f"toxic{h}"], counts[f"clean{h}"]) for h in (1, 0)])
+    shared = docs.sparkSession.sparkContext.broadcast([learn(sum(toxic) - toxic[f], sum(clean) - clean[f]) for f in range(FOLDS)])
     doubles = pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_half = [WordScores(w, drift) for w in shared.value]
+        of_fold = [WordScores(w, drift) for w in shared.value]
         for batch in batches:
             out = []
-            for text, label, half in zip(utf8(batch["text"]), batch["label"].to_pylist(), batch["half"].to_pylist()):
-                values = np.array([of_half[half][w] for w in words_of(text)], float)
+            for text, label, fold in zip(utf8(batch["text"]), batch["label"].to_pylist(), batch["fold"].to_pylist()):
+                words = words_of(text)
+                values = np.array([of_fold[fold][w] for w in words], float)
                 bins = np.clip(((values - _LOW) / _BIN).round().astype(int), 0, _BINS - 1)
                 count, total = (np.bincount(bins, weights=w, minlength=_BINS).tolist() for w in (np.ones(len(values)), values))
-                best = sorted((s for _, _, s in maximal_segments(values)), reverse=True)[:64]
+                best = sorted(fresh_scores(words, values, maximal_segments(values)), reverse=True)[:64]
                 out.append({"label": label, "words": len(values), "best": best, "count": count, "sum": total})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("label", pa.int32()), ("words", pa.int64()), ("best", doubles), ("count", doubles), ("sum", doubles)]))
 
-    seen = slim.join(sample, "doc_id").selectExpr("text", "label", _HALF)
+    seen = slim.join(sample, "doc_id").selectExpr("text", "label", _FOLD)
     seen = seen.mapInArrow(run, "label int, words long, best array<double>, count array<double>, sum array<double>").collect()
     clean = [r for r in seen if r["label"] == 0]
     share, value = (np.sum([r[c] for r in clean], axis=0) for c in ("count", "sum"))
@@ -233,7 +256,7 @@ def fit(
     top = np.array([max(r["best"], default=0.0) for r in clean])
     size = np.maximum([r["words"] for r in clean], 1)
     model.scale = float(np.exp(np.mean(model.rate * top - np.log(size)) - EULER))
-    x = np.array([model.evidence([(0, 0, s) for s in r["best"]], r["words"]) for r in seen])
+    x = np.array([model.evidence(r["best"], r["words"]) for r in seen])
     model.intercept, model.slope = _logistic(x, np.array([r["label"] for r in seen], float))
     return model
 
@@ -256,9 +279,10 @@ def scores(docs: DataFrame, model: Toxicity, rare: float = 0.01) -> DataFrame:
         for batch in batches:
             evidence, passages = [], []
             for text in utf8(batch["text"]):
-                values = np.array([values_of[w] for w in words_of(text)], float)
+                words = words_of(text)
+                values = np.array([values_of[w] for w in words], float)
                 segments = maximal_segments(values)
-                evidence.append(model.evidence(segments, len(values)))
+                evidence.append(model.evidence(fresh_scores(words, values, segments), len(values)))
                 expected = [(a, b, s, math.exp(-float(model.bits(s, len(values))))) for a, b, s in segments]
                 passages.append([{"first": a, "last": b, "score": s, "expected": e} for a, b, s, e in expected if e < rare])
             yield pa.RecordBatch.from_arrays(
