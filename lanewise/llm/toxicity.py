@@ -22,7 +22,7 @@ BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)
 CACHED_WORDS = 100_000
 EULER = 0.5772156649015329
-LIMIT = 12.0
+LIMIT = 16.0
 _BINS, _BIN, _LOW = 80, 0.25, -4.0
 
 FOLDS = 4
@@ -212,8 +212,8 @@ def fit(
     limit: int = 20_000,
     strength: float = 10.0,
     floor: float = 1.0,
-    caution: float = 2.5,
-    drift: float = 0.1,
+    caution: float = 2.0,
+    drift: float = 0.3,
 ) -> Toxicity:
     """Learn from at most ``limit`` labelled rows whose crc32(doc_id) mod 3 is not 1.
 
