@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lanewise.llm.decontaminate import items_of, leaks
 from lanewise.llm.exact_dedup import exact_duplicates
+from lanewise.llm.line_dedup import line_dedup_rows
 from lanewise.llm.mixing import mix
 from lanewise.llm.quality import quality_rows
 from lanewise.llm.sharding import shard_rows
 from lanewise.llm.simhash import near_duplicate_rows
+from lanewise.llm.substring_dedup import deduplicated
 from lanewise.llm.toxicity import toxic_rows
 from lanewise.llm.warc import archived_pages
 
@@ -20,6 +23,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document that loses a passage; the others stay as they are."""
+    lost = deduplicated(_table(spark, sf_dir, "documents"))
+    digest = F.sha2("text", 256).alias("rest_sha256")
+    return lost.select("doc_id", "first_doc_ids", F.size("passages").alias("passages"), "removed_sentences", F.octet_length("text").alias("rest_bytes"), digest)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(_table(spark, sf_dir, "pages"))
 
@@ -28,6 +38,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_rows(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -57,8 +71,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_substring_dedup,
         op2_warc,
         op3_quality,
+        op4_line_dedup,
         op5_mixing,
         op6_toxicity,
         op7_simhash,
