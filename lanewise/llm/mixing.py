@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
         .select(*[F.col(f"best.{c}").alias(f"last_{c}") for c in KEY])
     )
     chosen = first.join(last, (F.col(f"last_{FILE}") == F.col(FILE)) & (F.col(f"last_{ROW}") == F.col(ROW)), "left")
-    copies = F.col("whole") + (F.col("extra") | F.col(f"last_{ROW}").isNotNull()).cast("int")
+    copies = F.col("whole") + ((F.col("extra") & (F.col("need") > 0)) | F.col(f"last_{ROW}").isNotNull()).cast("int")
     return chosen.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *KEY)
 
 
