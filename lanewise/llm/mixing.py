@@ -106,7 +106,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it is taken, with its columns."""
-    counts = write_table(mix(docs).where("copies > 0").select(*[F.col(c).alias(f"mix_{c}") for c in KEY], F.col("copies").alias("mix_copies")), "copies")
     rows = keyed(docs, *docs.columns)
+    counts = write_table(mix(rows).where("copies > 0").select(*[F.col(c).alias(f"mix_{c}") for c in KEY], F.col("copies").alias("mix_copies")), "copies")
     joined = rows.join(counts, (F.col(f"mix_{FILE}") == F.col(FILE)) & (F.col(f"mix_{ROW}") == F.col(ROW)))
     return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)

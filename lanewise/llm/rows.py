@@ -36,7 +36,8 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns`` of ``docs`` with a stable, unique key of each row.
 
     The key is (hash of the file's path, row number in the file), so two passes over the same
-    table agree whatever the splits. A frame that is no plain parquet scan is written first.
+    table agree whatever the splits. A frame that is no plain parquet scan is written first;
+    whoever needs its keys twice keys it once and goes on from the result.
     """
     number = [F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)]
     if "_metadata" not in docs.columns and _is_scan(docs):

@@ -118,8 +118,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with all its columns, then shard and slot; own columns of these names are replaced."""
-    places = shard(docs, shards).select(*[F.col(c).alias(f"shard_{c}") for c in KEY], F.struct("shard", "slot").alias("shard_place"))
     rows = keyed(docs, *docs.columns)
+    places = shard(rows, shards).select(*[F.col(c).alias(f"shard_{c}") for c in KEY], F.struct("shard", "slot").alias("shard_place"))
     joined = rows.join(places, reduce(and_, (F.col(f"shard_{c}") == F.col(c) for c in KEY)))
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     return joined.select(*kept, F.col("shard_place.shard").alias("shard"), F.col("shard_place.slot").alias("slot"))
