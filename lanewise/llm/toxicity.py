@@ -11,7 +11,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm.labelled import remainder, training_sample
@@ -91,17 +91,17 @@ def fresh_scores(words: list[str], values: np.ndarray, segments: list[tuple[int,
     return [float(sums[b] - sums[a]) for a, b, _ in segments]
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray, strength: float, floor: float, caution: float) -> np.ndarray:
-    """Log ratio of the shares of toxic and clean documents that have each unit.
+def log_odds(toxic: Column, clean: Column, share: Column, sizes: tuple[int, int], strength: float, floor: float, caution: float) -> Column:
+    """Log ratio of the shares of toxic and clean documents that have a unit.
 
-    All three count documents; their last entry is the number of documents. The prior is worth
-    ``strength`` documents in which units are as common as in the corpus, ``floor`` at least,
-    and the ratio is drawn to zero by ``caution`` standard errors.
+    ``share`` is the unit's share of all documents, ``sizes`` are the toxic and clean documents
+    counted. The prior is worth ``strength`` documents in which units are as common as in the
+    corpus, ``floor`` at least; the ratio is drawn to zero by ``caution`` standard errors.
     """
-    prior = np.maximum(strength * corpus[:-1] / max(corpus[-1], 1), floor)
-    a, b = toxic[:-1] + prior, clean[:-1] + prior
-    delta = np.log(a / (toxic[-1] + strength)) - np.log(b / (clean[-1] + strength))
-    return (np.sign(delta) * np.maximum(np.abs(delta) - caution * np.sqrt(1 / a + 1 / b), 0)).astype(np.float32)
+    prior = F.greatest(share * strength, F.lit(floor))
+    a, b = toxic + prior, clean + prior
+    delta = F.log(a / (sizes[0] + strength)) - F.log(b / (sizes[1] + strength))
+    return F.signum(delta) * F.greatest(F.abs(delta) - caution * F.sqrt(1 / a + 1 / b), F.lit(0.0))
 
 
 @dataclass
@@ -161,12 +161,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(beta[0]), max(float(beta[1]), 0.0)
 
 
-def unit_counts(docs: DataFrame, sample: DataFrame) -> dict[str, np.ndarray]:
-    """Per bucket: documents with the unit in all of ``docs``, and in each class and fold of the sample.
+def unit_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """Per bucket: documents with the unit in all of ``docs``, and in each class and fold of the sample; stored.
 
-    The last entry counts the documents themselves. A corpus document counts once for each of
-    its distinct words. Every text is read; a task sends a line for each bucket it met, and the
-    sums are BUCKETS + 1 lines at most, which is what the driver gets.
+    Bucket BUCKETS counts the documents themselves. A corpus document counts once for each of
+    its distinct words. Every text is read; a task sends a line for each bucket it met.
     """
     names = ["corpus", *(f"{c}{f}" for f in range(FOLDS) for c in ("clean", "toxic"))]
 
@@ -187,12 +186,8 @@ def unit_counts(docs: DataFrame, sample: DataFrame) -> dict[str, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(x[at]) for x in (corpus, *classes))], ["bucket", *names])
 
     labelled = docs.join(sample, "doc_id", "left").selectExpr("text", "label", _FOLD)
-    sums = labelled.mapInArrow(run, "bucket int, " + ", ".join(f"{n} {'int' if n[-1].isdigit() else 'long'}" for n in names)).groupBy("bucket").sum(*names).toArrow()
-    out = {}
-    for name, column in zip(names, sums.columns[1:]):
-        out[name] = np.zeros(BUCKETS + 1)
-        out[name][sums.column(0).to_numpy()] = column.to_numpy()
-    return out
+    kinds = ", ".join(f"{n} {'int' if n[-1].isdigit() else 'long'}" for n in names)
+    return write_table(labelled.mapInArrow(run, f"bucket int, {kinds}").groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]), "units")
 
 
 def _add(corpus: np.ndarray, met: Counter) -> None:
@@ -226,32 +221,48 @@ def fit(
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = training_sample(slim, labels, "toxic", remainder("doc_id", 3) != 1, limit)
     counts = unit_counts(slim, sample)
-    learn = lambda toxic, clean: log_odds(toxic, clean, counts["corpus"], strength, floor, caution)
-    toxic, clean = ([counts[f"{c}{f}"] for f in range(FOLDS)] for c in ("toxic", "clean"))
-    model = Toxicity(learn(sum(toxic), sum(clean)), drift, 1.0, 1.0)
-    if min(sum(x.any() for x in toxic), sum(x.any() for x in clean)) < 2:
-        model.weights[:] = 0
+    of = lambda kind, out: [f"{kind}{f}" for f in range(FOLDS) if f != out]
+    totals = counts.where(F.col("bucket") == BUCKETS).first()
+    model = Toxicity(np.zeros(BUCKETS, np.float32), drift, 1.0, 1.0)
+    if totals is None or min(sum(totals[c] > 0 for c in of(kind, None)) for kind in ("toxic", "clean")) < 2:
         return model
-    shared = docs.sparkSession.sparkContext.broadcast([learn(sum(toxic) - toxic[f], sum(clean) - clean[f]) for f in range(FOLDS)])
+    learnt = []
+    for out in (None, *range(FOLDS)):
+        toxic, clean = of("toxic", out), of("clean", out)
+        sizes = tuple(sum(totals[c] for c in side) for side in (toxic, clean))
+        count = lambda side: F.expr(" + ".join(side))
+        odds = log_odds(count(toxic), count(clean), F.col("corpus") / totals["corpus"], sizes, strength, floor, caution)
+        learnt.append(odds.cast("float").alias(f"w{len(learnt)}"))
+    # Most units say nothing; the driver gets the others, BUCKETS lines at most.
+    weights = counts.where(F.col("bucket") < BUCKETS).select("bucket", *learnt)
+    weights = weights.where(" OR ".join(f"w{i} <> 0" for i in range(len(learnt)))).toArrow()
+    dense = np.zeros((len(learnt), BUCKETS), np.float32)
+    dense[:, weights["bucket"].to_numpy()] = np.stack([weights[f"w{i}"].to_numpy() for i in range(len(learnt))])
+    model.weights = dense[0].copy()
+    shared = docs.sparkSession.sparkContext.broadcast(dense[1:])
     doubles = pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_fold = [WordScores(w, drift) for w in shared.value]
         for batch in batches:
-            out = []
+            out, count, total = [], np.zeros(_BINS), np.zeros(_BINS)
             for text, label, fold in zip(utf8(batch["text"]), batch["label"].to_pylist(), batch["fold"].to_pylist()):
                 words = words_of(text)
                 values = np.array([of_fold[fold][w] for w in words], float)
-                bins = np.clip(((values - _LOW) / _BIN).round().astype(int), 0, _BINS - 1)
-                count, total = (np.bincount(bins, weights=w, minlength=_BINS).tolist() for w in (np.ones(len(values)), values))
+                if label == 0:
+                    bins = np.clip(((values - _LOW) / _BIN).round().astype(int), 0, _BINS - 1)
+                    count += np.bincount(bins, minlength=_BINS)
+                    total += np.bincount(bins, weights=values, minlength=_BINS)
                 best = sorted(fresh_scores(words, values, maximal_segments(values)), reverse=True)[:64]
-                out.append({"label": label, "words": len(values), "best": best, "count": count, "sum": total})
+                out.append({"label": label, "words": len(values), "best": best})
+            out.append({"count": count.tolist(), "sum": total.tolist()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("label", pa.int32()), ("words", pa.int64()), ("best", doubles), ("count", doubles), ("sum", doubles)]))
 
     seen = slim.join(sample, "doc_id").selectExpr("text", "label", _FOLD)
-    seen = seen.mapInArrow(run, "label int, words long, best array<double>, count array<double>, sum array<double>").collect()
+    seen = seen.mapInArrow(run, "label int, words long, best array<double>, count array<double>, sum array<double>").toArrow().to_pylist()
+    bins, seen = [r for r in seen if r["label"] is None], [r for r in seen if r["label"] is not None]
+    share, value = (np.sum([r[c] for r in bins], axis=0) for c in ("count", "sum"))
     clean = [r for r in seen if r["label"] == 0]
-    share, value = (np.sum([r[c] for r in clean], axis=0) for c in ("count", "sum"))
     model.rate = _solve_rate(share / max(share.sum(), 1), value / np.maximum(share, 1))
     top = np.array([max(r["best"], default=0.0) for r in clean])
     size = np.maximum([r["words"] for r in clean], 1)
