@@ -1,10 +1,10 @@
 """Exact quantiles and average ranks that no single task has to hold.
 
 Spark's own ``percentile`` is exact, but it keeps every distinct value of a group in one
-task's memory. It is used while the table is known to be small. Beyond that, values are
-bucketed by approximate splitters, bucket counts locate the bucket of each wanted rank, and
-only those buckets are ordered. The splitters only balance the buckets: the result is exact
-whatever they are.
+task's memory. Here values are folded to one row each, bucketed by approximate splitters, and
+bucket counts locate the bucket of each wanted rank, and only those buckets are put in order.
+The splitters only balance the buckets: the result is exact whatever they are, and the plan is
+the same at every size.
 """
 
 from __future__ import annotations
@@ -15,14 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lanewise.functions.sizing import null_safe, small_side
+from lanewise.functions.sizing import null_safe
 
-SMALL_ROWS = 1_000_000
-BUCKETS = 1024
-
-
-def _fits(df: DataFrame, small_rows: int) -> bool:
-    return df.count() <= small_rows
+BUCKETS = 4096
 
 
 def _doubles(values: Iterable[float]) -> Column:
@@ -54,113 +49,90 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     by: Sequence[str] = (),
-    small_rows: int = SMALL_ROWS,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """(by..., quantiles: array<double>), linearly interpolated, aligned with ``probs``.
 
     Missing values are ignored; a group without values has no row. A missing group key is a
-    group of its own.
+    group of its own. Of d distinct values of a group the last ordering sees about d / buckets
+    for each rank.
     """
     by, probs = list(by), [float(p) for p in probs]
-    facts = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    if _fits(facts, small_rows):
-        return facts.groupBy(*by).agg(F.percentile("__v", _doubles(probs)).alias("quantiles"))
-    return _by_buckets(facts, probs, by, buckets)
-
-
-def _by_buckets(facts: DataFrame, probs: list[float], by: list[str], buckets: int) -> DataFrame:
     keys = [f"__g{i}" for i in range(len(by))]
-    facts = facts.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], "__v")
-
-    # Pass 1: one bounded sketch per group.
-    splits = facts.groupBy(*keys).agg(_splitters("__v", buckets).alias("__s"))
-    if keys:
-        splits = small_side(splits.withColumnsRenamed({k: f"{k}s" for k in keys}), max_rows=4096)
-        facts = facts.join(splits, null_safe(facts, splits, {k: f"{k}s" for k in keys}))
-    else:
-        facts = facts.withColumn("__s", _doubles(splits.first()["__s"]))
-    placed = facts.select(*keys, _bucket(F.col("__v"), F.col("__s"), buckets).alias("__b"), "__v")
-
-    # Pass 2: bucket counts, at most ``buckets`` rows per group, give each rank's bucket.
-    counts = placed.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
-    last = counts.withColumn("__upto", F.sum("__n").over(_running(keys, "__b"))).withColumn(
-        "__all", F.sum("__n").over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
-    )
+    facts = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("__v"))
+    values = facts.where("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+
+    sizes = values.groupBy(*keys).agg(F.sum("__n").alias("__all"))
     ranks = []
     for i, p in enumerate(probs):
         position = F.lit(p) * (F.col("__all") - 1)
-        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            ranks.append(
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.lit(side).alias("side"),
-                    rank.cast("long").alias("rank"),
-                    (position - F.floor(position)).alias("part"),
-                )
-            )
-    before = F.col("__upto") - F.col("__n")
-    targets = small_side(
-        last.select("*", F.explode(F.array(*ranks)).alias("t"))
-        .where((F.col("t.rank") >= before) & (F.col("t.rank") < F.col("__upto")))
-        .select(
-            *[F.col(k).alias(f"{k}t") for k in keys],
-            F.col("__b").alias("__bt"),
-            F.col("t.i").alias("i"),
-            F.col("t.side").alias("side"),
-            F.col("t.part").alias("part"),
-            (F.col("t.rank") - before).alias("inner_rank"),
-        )
-    )
-
-    # Pass 3: order only the values of the wanted buckets, folded to one row per value.
-    match = {k: f"{k}t" for k in keys} | {"__b": "__bt"}
-    wanted = targets.select(*[f"{k}t" for k in keys], "__bt").distinct()
-    wanted = small_side(wanted)
-    values = (
-        placed.join(wanted, null_safe(placed, wanted, match), "left_semi")
-        .groupBy(*keys, "__b", "__v")
-        .agg(F.count("*").alias("__n"))
-        .withColumn("__upto", F.sum("__n").over(_running([*keys, "__b"], "__v")))
-    )
-    found = values.join(targets, null_safe(values, targets, match)).where(
-        (F.col("inner_rank") >= F.col("__upto") - F.col("__n")) & (F.col("inner_rank") < F.col("__upto"))
-    )
-    points = found.groupBy(*keys, "i").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("__v"))).alias("lo"),
-        F.max(F.when(F.col("side") == "hi", F.col("__v"))).alias("hi"),
-        F.max("part").alias("part"),
-    )
+        part = position - F.floor(position)
+        ranks += [F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.cast("long").alias("rank"), part.alias("part")) for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position)))]
+    # All start in bucket 0; a literal would be folded away, and the joins on it would pair rows.
+    targets = sizes.where("__all IS NOT NULL").select(*keys, F.shiftright("__all", 63).alias("__path"), F.inline(F.array(*ranks)))
+    values = values.withColumn("__path", F.shiftright("__n", 63))
+    values, targets = _narrow(values, targets, keys, buckets)
+
+    upto = F.sum("__n").over(_running([*keys, "__path"], "__v"))
+    wanted = _renamed(targets, keys)
+    ordered = values.withColumn("__upto", upto)
+    inside = (F.col("rank") >= F.col("__upto") - F.col("__n")) & (F.col("rank") < F.col("__upto"))
+    found = ordered.join(wanted, _same(ordered, wanted, keys) & inside)
+    side = lambda name: F.max(F.when(F.col("side") == name, F.col("__v"))).alias(name)
+    points = found.groupBy(*keys, "i").agg(side("lo"), side("hi"), F.max("part").alias("part"))
     point = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
-    ordered = F.array_sort(F.collect_list(F.struct("i", point.alias("q"))))  # len(probs) entries
-    return points.groupBy(*keys).agg(F.transform(ordered, lambda s: s["q"]).alias("quantiles")).select(
+    in_order = F.array_sort(F.collect_list(F.struct("i", point.alias("q"))))  # len(probs) entries
+    return points.groupBy(*keys).agg(F.transform(in_order, lambda s: s["q"]).alias("quantiles")).select(
         *[F.col(k).alias(c) for c, k in zip(by, keys)], "quantiles"
     )
 
 
+def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"{k}t" for k in [*keys, "__path"]})
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    return null_safe(left, right, {k: f"{k}t" for k in keys}) & (left["__path"] == right["__patht"])
+
+
+def _narrow(values: DataFrame, targets: DataFrame, keys: list[str], buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Split every group into buckets; keep the buckets that hold a wanted rank.
+
+    A group's splitters are one bounded sketch of its distinct values, its counts are at most
+    ``buckets`` rows.
+    """
+    at = [*keys, "__path"]
+    splits = _renamed(values.groupBy(*at).agg(_splitters("__v", buckets).alias("__s")), keys)
+    split = values.join(splits, _same(values, splits, keys))
+    placed = split.select(*keys, (F.col("__path") * buckets + _bucket(F.col("__v"), F.col("__s"), buckets)).alias("__at"), "__path", "__v", "__n")
+    counts = placed.groupBy(*at, "__at").agg(F.sum("__n").alias("__n"))
+    upto = _renamed(counts.withColumn("__upto", F.sum("__n").over(_running(at, "__at"))), keys)
+    before = F.col("__upto") - F.col("__n")
+    inside = (F.col("rank") >= before) & (F.col("rank") < F.col("__upto"))
+    located = targets.join(upto, _same(targets, upto, keys) & inside).select(
+        *keys, F.col("__at").alias("__path"), "i", "side", (F.col("rank") - before).alias("rank"), "part"
+    )
+    kept = placed.drop("__path").withColumnRenamed("__at", "__path")
+    wanted = _renamed(located.select(*at).distinct(), keys)
+    return kept.join(wanted, _same(kept, wanted, keys), "left_semi"), located
+
+
 def grouped_stats(
     df: DataFrame,
     by: Sequence[str],
     aggs: Sequence[Column],
     quantiles: dict[str, tuple[str, float]],
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Aggregates plus exact quantiles, ``{alias: (column, probability)}``.
 
-    One aggregate on a small table; otherwise the quantiles come from ``exact_quantiles``
-    and are joined to the other aggregates, one row per group on both sides.
+    The quantiles come from ``exact_quantiles`` and are joined to the other aggregates, one
+    row per group on both sides.
     """
     by = list(by)
     columns = {c: {a: p for a, (d, p) in quantiles.items() if d == c} for c, _ in quantiles.values()}
-    if _fits(df, small_rows):
-        stats = df.groupBy(*by).agg(
-            *aggs, *[F.percentile(c, _doubles(wanted.values())).alias(f"__{c}") for c, wanted in columns.items()]
-        )
-        picked = {a: F.get(f"__{c}", F.lit(i)) for c, wanted in columns.items() for i, a in enumerate(wanted)}
-        return stats.withColumns(picked).drop(*[f"__{c}" for c in columns])
     out = df.groupBy(*by).agg(*aggs)
     for column, wanted in columns.items():
-        q = exact_quantiles(df, column, list(wanted.values()), by, small_rows)
+        q = exact_quantiles(df, column, list(wanted.values()), by)
         q = q.select(
             *[F.col(k).alias(f"__{k}") for k in by],
             *[F.get("quantiles", F.lit(i)).alias(a) for i, a in enumerate(wanted)],

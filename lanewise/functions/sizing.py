@@ -1,26 +1,10 @@
-"""Broadcast behind a measured size, shuffle join beyond it."""
+"""Null-safe joins. How a side travels is left to Spark, which knows its size at run time."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 50_000
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The same rows, marked for broadcast if there are at most ``max_rows`` of them.
-
-    At most ``max_rows + 1`` rows are fetched. If they are all there is, they become the
-    broadcast side, so they are computed once; otherwise ``df`` is returned unmarked and the
-    join shuffles, with adaptive execution splitting skewed partitions.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-
-
 def null_safe(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
     """Join condition in which a missing key matches a missing key."""
     condition = F.lit(True)
@@ -34,8 +18,3 @@ def left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
     joined = left.join(renamed, null_safe(left, renamed, {k: f"__{k}" for k in keys}), "left")
     return joined.drop(*[f"__{k}" for k in keys])
-
-
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``left_join`` with ``right`` broadcast if it is measured to be small."""
-    return left_join(left, small_side(right, max_rows), keys)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanewise.functions.columns import bin_number, error_columns, quantile_bin, residual_columns, route
 from lanewise.functions.quantiles import average_ranks, exact_quantiles, grouped_stats
-from lanewise.functions.sizing import lookup
+from lanewise.functions.sizing import left_join
 from lanewise.operators.quality import ContractError, reconcile_ids
 from lanewise.schema import (
     CATEGORICAL,
@@ -210,7 +210,7 @@ def route_coverage(train: DataFrame, later: DataFrame) -> DataFrame:
     known = train.select(route().alias("route")).distinct().withColumn("known", F.lit(True))
     wanted = later.groupBy(route().alias("route")).agg(F.count("*").alias("n"))
     seen = F.coalesce("known", F.lit(False))
-    return lookup(wanted, known, ["route"]).agg(
+    return left_join(wanted, known, ["route"]).agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)).alias("known_rows"),
         F.try_divide(
@@ -230,7 +230,7 @@ def unseen_high_rate(train: DataFrame, later: DataFrame, threshold: float = HIGH
     high = categories(later.where(F.col(TARGET) > threshold)).groupBy("column_name", "category").agg(
         F.count("*").alias("n")
     )
-    joined = lookup(high, known, ["column_name", "category"])
+    joined = left_join(high, known, ["column_name", "category"])
     return joined.groupBy("column_name").agg(
         F.sum("n").alias("high_rate_rows"),
         F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("unseen_rows"),

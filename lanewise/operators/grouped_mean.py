@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.functions.sizing import lookup
+from lanewise.functions.sizing import left_join
 from lanewise.schema import LOG_RPM
 
 
@@ -30,9 +30,9 @@ class GroupedMeanModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction`` on the log rate-per-mile scale."""
-        out = lookup(df, self.groups, [*self.within, *self.keys])
+        out = left_join(df, self.groups, [*self.within, *self.keys])
         if self.within:
-            out = lookup(out, self.overall, self.within)
+            out = left_join(out, self.overall, self.within)
         else:
             out = out.withColumn("overall_mean", self.overall.scalar())
         return out.withColumn("prediction", F.coalesce("group_mean", "overall_mean")).drop(

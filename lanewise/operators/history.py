@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lanewise.functions.sizing import left_join, lookup, null_safe
+from lanewise.functions.sizing import left_join, null_safe
 from lanewise.schema import DATE, HISTORY, HISTORY_KEYS, RPM
 
 LEVEL = ["__level", "__k1", "__k2"]
@@ -53,32 +53,26 @@ def _addressed(wanted: DataFrame, found: DataFrame, keys: list[str], levels: Seq
     return joined.groupBy(*keys).agg(*_feature_columns(levels, F.col("s"), F.col("n")))
 
 
-def _joined(df: DataFrame, features: DataFrame, keys: list[str], levels: Sequence[str]) -> DataFrame:
-    """One level may be tiny (equipment x days), so it is measured; all levels together have as
-    many rows as the table has key combinations, which is a shuffle join at any size that matters."""
-    return lookup(df, features, keys) if len(levels) == 1 else left_join(df, features, keys)
-
-
 def expanding_history(train: DataFrame, levels: Sequence[str] = tuple(HISTORY_KEYS)) -> DataFrame:
     """Adds the history of strictly earlier days; loads of one day never see each other.
 
     A window holds one row per day of one key, so its length is bounded by the calendar.
     """
     keys = [*_key_columns(levels), DATE]
-    cells = train.groupBy(*keys).agg(F.sum(RPM).alias("s"), F.count("*").alias("n"))
+    cells = train.groupBy(*keys).agg(F.sum(RPM).alias("s"), F.count(RPM).alias("n"))
     daily = _by_level(cells, levels).groupBy(*LEVEL, DATE).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     earlier = W.partitionBy(*LEVEL).orderBy(DATE).rowsBetween(W.unboundedPreceding, -1)
     prior = daily.select(*LEVEL, DATE, F.sum("s").over(earlier).alias("s"), F.sum("n").over(earlier).alias("n"))
-    return _joined(train, _addressed(cells, prior, keys, levels, [*LEVEL, DATE]), keys, levels)
+    return left_join(train, _addressed(cells, prior, keys, levels, [*LEVEL, DATE]), keys)
 
 
 def frozen_history(train: DataFrame, later: DataFrame, levels: Sequence[str] = tuple(HISTORY_KEYS)) -> DataFrame:
     """Adds the training totals to ``later``, whose own targets are never read."""
     keys = _key_columns(levels)
-    cells = train.groupBy(*keys).agg(F.sum(RPM).alias("s"), F.count("*").alias("n"))
+    cells = train.groupBy(*keys).agg(F.sum(RPM).alias("s"), F.count(RPM).alias("n"))
     totals = _by_level(cells, levels).groupBy(*LEVEL).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     wanted = later.select(*keys).distinct()
-    return _joined(later, _addressed(wanted, totals, keys, levels, LEVEL), keys, levels)
+    return left_join(later, _addressed(wanted, totals, keys, levels, LEVEL), keys)
 
 
 def history_coverage(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.functions.quantiles import SMALL_ROWS, exact_quantiles
+from lanewise.functions.quantiles import exact_quantiles
 
 
 def melt(df: DataFrame, columns: Sequence[str], dtype: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -18,9 +18,9 @@ def melt(df: DataFrame, columns: Sequence[str], dtype: str, keep: Sequence[str]
     return df.select(*keep, F.inline(F.array(*entries)))
 
 
-def column_medians(df: DataFrame, columns: Sequence[str], small_rows: int = SMALL_ROWS) -> DataFrame:
+def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, median), exact and interpolated, one row per column that has values."""
-    q = exact_quantiles(melt(df, columns, "double"), "value", [0.5], ["column_name"], small_rows)
+    q = exact_quantiles(melt(df, columns, "double"), "value", [0.5], ["column_name"])
     return q.select("column_name", F.get("quantiles", F.lit(0)).alias("median"))
 
 

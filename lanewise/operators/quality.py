@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanewise.functions.columns import is_close, not_finite, rate_per_mile, repaired_weight
-from lanewise.functions.sizing import lookup
+
 from lanewise.schema import DATE, ID, SCENARIO_COLUMNS, SUBMISSION_COLUMNS, TARGET, Scenario
 
 
@@ -257,11 +257,14 @@ def day_spine(spark, first, last) -> DataFrame:
 
 
 def check_days(df: DataFrame, first, last) -> DataFrame:
-    """Calendar days against the days present in the data: rows per expected day."""
-    per_day = df.where(F.col(DATE).between(F.lit(first), F.lit(last))).groupBy(F.col(DATE).alias("day")).agg(
-        F.count("*").alias("n")
-    )
+    """Calendar days against the days in the data, both ways: rows for each expected day, then
+    the days that should not be there, loads without a date among them (a null day)."""
+    per_day = df.groupBy(F.col(DATE).alias("found")).agg(F.count("*").alias("n"))
     spine = day_spine(df.sparkSession, first, last)
-    return lookup(spine, per_day, ["day"]).select(
-        "day", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("absent")
+    both = spine.join(per_day, F.col("day") == F.col("found"), "full_outer")
+    return both.select(
+        F.coalesce("day", "found").alias("day"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+        F.col("n").isNull().alias("absent"),
+        F.col("day").isNull().alias("unexpected"),
     )

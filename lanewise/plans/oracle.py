@@ -603,9 +603,9 @@ FROM scored ORDER BY scored.absolute_error DESC, load_id LIMIT 100""",
     "scenario_check_loads": _with(_scenario_rules("scored"), MODEL),
     "date_spine_check": _with(
         """, n AS (SELECT date, COUNT(*) AS n FROM all_loads GROUP BY date)
-SELECT CAST(u.day AS DATE) AS day, COALESCE(n.n, 0) AS n, n.n IS NULL AS absent
-FROM UNNEST(GENERATE_SERIES(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS u(day)
-LEFT JOIN n ON n.date = CAST(u.day AS DATE)"""
+SELECT COALESCE(CAST(u.day AS DATE), n.date) AS day, COALESCE(n.n, 0) AS n, n.n IS NULL AS absent, u.day IS NULL AS unexpected
+FROM UNNEST(GENERATE_SERIES(DATE '1995-01-01', DATE '2000-12-31', INTERVAL 1 DAY)) AS u(day)
+FULL JOIN n ON n.date = CAST(u.day AS DATE)"""
     ),
     "impute_median": _with(
         _union([f"SELECT '{c}' AS column_name, ROUND(MEDIAN({c}), 6) AS median FROM train" for c in NUMERIC])

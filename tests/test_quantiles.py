@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.functions.quantiles import average_ranks, exact_quantiles, grouped_stats
-from lanewise.functions.sizing import lookup, small_side
+from lanewise.functions.quantiles import _narrow, average_ranks, exact_quantiles, grouped_stats
+from lanewise.functions.sizing import left_join
 
 PROBS = [0, 0.1, 0.25, 0.5, 0.9, 0.99, 0.999, 1]
 
@@ -28,7 +28,7 @@ def frame(spark):
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_bucketed_quantiles_are_exact(frame, buckets, by):
     pdf, df = frame
-    out = exact_quantiles(df, "v", PROBS, by, small_rows=10, buckets=buckets)
+    out = exact_quantiles(df, "v", PROBS, by, buckets=buckets)
     plan = out._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     got = out.collect()
@@ -39,13 +39,28 @@ def test_bucketed_quantiles_are_exact(frame, buckets, by):
         assert r["quantiles"] == pytest.approx(list(want[r["g"] if by else None]), abs=1e-9)
 
 
-def test_both_paths_agree_in_grouped_stats(frame):
+def test_grouped_stats_agree_with_percentile(frame):
     _, df = frame
-    args = (["g"], [F.count("*").alias("n"), F.avg("v").alias("m")], {"q50": ("v", 0.5), "q90": ("v", 0.9)})
-    one, two = (grouped_stats(df, *args, small_rows=s).toPandas().sort_values("g").reset_index(drop=True) for s in (10, 10**6))
+    aggs = [F.count("*").alias("n"), F.avg("v").alias("m")]
+    exact = [F.percentile("v", 0.5).alias("q50"), F.percentile("v", 0.9).alias("q90")]
+    one = grouped_stats(df, ["g"], aggs, {"q50": ("v", 0.5), "q90": ("v", 0.9)})
+    one, two = (x.toPandas().sort_values("g").reset_index(drop=True) for x in (one, df.groupBy("g").agg(*aggs, *exact)))
     pd.testing.assert_frame_equal(one[two.columns], two)
 
 
+def test_what_is_ordered_at_last_is_one_bucket(frame):
+    """Narrowing keeps about one of ``buckets`` parts of the distinct values for each rank, again and again."""
+    _, df = frame
+    values = df.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("__n")).withColumnRenamed("v", "__v")
+    distinct, rows = values.count(), values.agg(F.sum("__n")).first()[0]
+    values = values.withColumn("__path", F.lit(0).cast("long"))
+    targets = df.sparkSession.createDataFrame([(0, 0, "lo", rows // 2, 0.0)], "__path long, i int, side string, rank long, part double")
+    for step in (1, 2):
+        values, targets = _narrow(values, targets, [], 16)
+        assert values.count() <= max(2, 2 * distinct // 16**step)
+    assert values.count() >= 1
+
+
 @pytest.mark.parametrize("buckets", [2, 64])
 def test_average_ranks(frame, buckets):
     pdf, df = frame
@@ -56,10 +71,8 @@ def test_average_ranks(frame, buckets):
     assert got == want
 
 
-def test_lookup_is_the_same_with_and_without_broadcast(spark):
+def test_left_join_matches_missing_keys(spark):
     left = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("c", 4)], "k string, i int")
     right = spark.createDataFrame([("a", 10.0), (None, 30.0), ("z", 0.0)], "k string, v double")
     want = {1: 10.0, 2: 10.0, 3: 30.0, 4: None}
-    for limit in (100, 1):
-        assert {r["i"]: r["v"] for r in lookup(left, right, ["k"], limit).collect()} == want
-    assert small_side(right, 1) is right
+    assert {r["i"]: r["v"] for r in left_join(left, right, ["k"]).collect()} == want
