@@ -93,7 +93,8 @@ def line_table(docs: DataFrame) -> DataFrame:
             )
 
     made = docs.mapInArrow(run, f"doc_id long, {FILE} long, {ROW} long, whole binary, lines array<bigint>, words array<int>")
-    return write_table(numbered(made.withColumn("no_id", F.col("doc_id").isNull()), ["no_id", "doc_id", *KEY]).drop("no_id"), "lines")
+    kept = write_table(made.withColumn("no_id", F.col("doc_id").isNull()), "made")  # ranges are found by a first look at the rows
+    return write_table(numbered(kept, ["no_id", "doc_id", *KEY]).drop("no_id"), "lines")
 
 
 def candidate_pairs(texts: DataFrame) -> DataFrame:

@@ -32,11 +32,12 @@ def split(text: bytes, between: re.Pattern) -> list[tuple[int, int, int]]:
 def cut(docs: DataFrame, drops: DataFrame, pattern: bytes) -> DataFrame:
     """(doc_id, text, row key) of the rows of ``drops`` (row key, drop: array of piece numbers), without those pieces.
 
-    Only the texts that lose something move; a piece goes with the gap behind it.
+    Only the texts that lose something move, by the same join at every size: the drops grow
+    with the texts, so they are no side to broadcast. A piece goes with the gap behind it.
     """
     stored = write_table(drops.select(*[F.col(c).alias(f"cut_{c}") for c in KEY], "drop"), "drops")
     touched = marked(docs, row_bits(stored.select(*[F.col(f"cut_{c}").alias(c) for c in KEY])), "cut_here").where("cut_here")
-    joined = touched.join(stored, (F.col(f"cut_{FILE}") == F.col(FILE)) & (F.col(f"cut_{ROW}") == F.col(ROW)))
+    joined = touched.join(stored.hint("merge"), (F.col(f"cut_{FILE}") == F.col(FILE)) & (F.col(f"cut_{ROW}") == F.col(ROW)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         between = re.compile(pattern)
