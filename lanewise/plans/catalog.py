@@ -6,9 +6,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +21,7 @@ from lanewise.operators.prep import Imputer, category_codes, column_medians, col
 from lanewise.operators.scenario import scenario_inputs, scenario_rates
 from lanewise.plans import tables
 from lanewise.plans.experiment import (
+    RUN_LOG,
     RUNS,
     SELECTED,
     leaderboard,
@@ -26,7 +29,6 @@ from lanewise.plans.experiment import (
     run_final,
     run_folds,
     run_holdout,
-    run_log,
     small,
 )
 from lanewise.schema import (
@@ -48,7 +50,9 @@ from lanewise.schema import (
     Scenario,
 )
 from lanewise.session import shared_folder
+from lanewise.sources.readers import read_delivery, read_holdout, read_loads, read_predictions
 from lanewise.sources.star import table
+from lanewise.sources.writers import write_predictions, write_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -597,29 +601,181 @@ def _(spark, sf):
     )
 
 
-# Models and runs. Few trees, so that a check takes seconds; the specs default to 100.
+# Models and runs. Extra trees run as specified; the forests of the run log have few trees, so that a check takes seconds.
+
+
+def folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_fitted: dict[tuple[str, str, str], object] = {}
+
+
+def fitted(spark, sf, name: str, fit: Callable[[], object]):
+    """A run of this application, fitted once and shared by the queries on it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _fitted:
+        _fitted[key] = fit()
+    return _fitted[key]
+
+
+def selected_run(spark, sf):
+    return fitted(spark, sf, "selected", lambda: run_holdout(SELECTED, tables.labelled(spark, sf), STAR_SPLIT))
+
+
+def forest_run(spark, sf):
+    spec = replace(BY_NAME["log_rate_per_mile_forest"], trees=5, max_depth=8)
+    return fitted(spark, sf, "forest", lambda: run_holdout(spec, tables.labelled(spark, sf), STAR_SPLIT))
+
+
+def selected_folds(spark, sf):
+    def fit():
+        out = folder(spark, "folds")
+        return run_folds(SELECTED, tables.labelled(spark, sf), STAR_FOLDS, out), out
+
+    return fitted(spark, sf, "folds", fit)
+
+
+def selected_final(spark, sf):
+    def fit():
+        out = folder(spark, "final")
+        return run_final(SELECTED, tables.labelled(spark, sf), tables.holdout(spark, sf), STAR_SPLIT, out), out
+
+    return fitted(spark, sf, "final", fit)
 
 
 @query("rf_predictions")
 def _(spark, sf):
-    spec = replace(BY_NAME["log_rate_per_mile_forest"], trees=5, max_depth=8)
-    return run_holdout(spec, tables.labelled(spark, sf), STAR_SPLIT).predictions
+    return forest_run(spark, sf).predictions
 
 
 @query("extratrees_predictions")
 def _(spark, sf):
-    return run_holdout(replace(SELECTED, trees=5), tables.labelled(spark, sf), STAR_SPLIT).predictions
+    return selected_run(spark, sf).predictions
 
 
 @query("cv_extratrees")
 def _(spark, sf):
-    return run_folds(replace(SELECTED, trees=3), tables.labelled(spark, sf), STAR_FOLDS).fold_metrics
+    return selected_folds(spark, sf)[0].fold_metrics
 
 
 @query("submission_extratrees")
 def _(spark, sf):
-    spec = replace(SELECTED, trees=5)
-    return run_final(spec, tables.labelled(spark, sf), tables.holdout(spark, sf), STAR_SPLIT).submission
+    return selected_final(spark, sf)[0].submission
+
+
+def consistent() -> Column:
+    """Rate, rate per mile and log rate per mile of a prediction say the same."""
+    rate, rpm, log = F.col("predicted_rate"), F.col("predicted_rate_per_mile"), F.col("predicted_log_rate_per_mile")
+    distance = F.col("actual_rate") / F.col("actual_rate_per_mile")
+    return (rate > 0) & (F.abs(F.ln(rpm) - log) < 1e-9) & (F.abs(rate / (rpm * distance) - 1) < 1e-9)
+
+
+@query("rf_contract")
+def _(spark, sf):
+    """What must hold for any model's predictions: the ids, the actual values, one price in three forms."""
+    return forest_run(spark, sf).predictions.select("split", ID, "actual_rate", "actual_rate_per_mile", consistent().alias("consistent"))
+
+
+@query("extratrees_contract")
+def _(spark, sf):
+    return selected_run(spark, sf).predictions.select("split", ID, "actual_rate", "actual_rate_per_mile", consistent().alias("consistent"))
+
+
+@query("extratrees_trees")
+def _(spark, sf):
+    """Per tree: rows of all leaves, leaves under the minimum, inner nodes whose children do not add up to them."""
+    nodes = spark.createDataFrame(selected_run(spark, sf).model.nodes)
+    parents = nodes.where("node > 1").groupBy("tree", F.expr("node div 2").alias("node")).agg(F.sum("n").alias("below"), F.count("*").alias("children"))
+    joined = nodes.join(parents, ["tree", "node"], "left")
+    leaf = F.col("feature") < 0
+    wrong = (~leaf & ~((F.col("below") == F.col("n")) & (F.col("children") == 2))) | (leaf & F.col("below").isNotNull())
+    return joined.groupBy("tree").agg(
+        F.sum(F.when(leaf, F.col("n"))).alias("leaf_rows"),
+        F.count_if(leaf & (F.col("n") < SELECTED.min_leaf)).alias("small_leaves"),
+        F.count_if(wrong).alias("wrong_nodes"),
+        F.round(F.max(F.when(F.col("node") == 1, F.col("value"))), 6).alias("root_value"),
+    )
+
+
+@query("cv_extratrees_windows")
+def _(spark, sf):
+    """The fold results as the run wrote them: windows and rows."""
+    found = spark.read.parquet(f"{selected_folds(spark, sf)[1]}/fold_results")
+    return found.select("fold", "train_start", "train_end", "validation_start", "validation_end", "train_rows", "validation_rows")
+
+
+@query("cv_extratrees_written")
+def _(spark, sf):
+    """The pooled fold predictions as the run wrote them."""
+    found = spark.read.parquet(f"{selected_folds(spark, sf)[1]}/predictions")
+    return found.select(F.col("fold").cast("string").alias("fold"), ID, "actual_rate", "actual_rate_per_mile", consistent().alias("consistent"))
+
+
+@query("submission_extratrees_contract")
+def _(spark, sf):
+    """The submission as the final run wrote it, read back as a delivery."""
+    found = read_delivery(spark, f"{selected_final(spark, sf)[1]}/submission", "submission")
+    return found.select(ID, (F.col("predicted_rate").cast("double") > 0).alias("priced"))
+
+
+@query("final_record")
+def _(spark, sf):
+    """The final run's record as written, less its times and prices, and whether the saved model still agrees."""
+    final, out = selected_final(spark, sf)
+    saved = load_model(spark, SELECTED, f"{out}/model")
+    rows = quality.repair_weight(tables.holdout(spark, sf))
+    again = saved.transform(rows).select(ID, (F.exp("prediction") * F.col("distance")).alias("again"))
+    differences = again.join(final.submission, ID).agg(F.count_if(F.abs(F.col("again") / F.col("predicted_rate") - 1) > 1e-9)).scalar()
+    kept = ["run", "labelled_rows", "labelled_weights_repaired", "holdout_rows", "holdout_weights_repaired"]
+    return spark.read.json(f"{out}/record").select(*kept, differences.alias("differences"))
+
+
+@query("extratrees_error_by_distance")
+def _(spark, sf):
+    """The error report by distance on the selected ensemble's predictions: what does not depend on the model."""
+    later = selected_run(spark, sf).predictions.where("split = 'validation'").drop("split")
+    loads = quality.repair_weight(splits.validation_rows(tables.labelled(spark, sf), STAR_SPLIT))
+    report = analysis.error_by_bin(analysis.annotate(analysis.join_predictions(loads, later)), DISTANCE_BINS)
+    return rounded(report.select("bin", "label", "rows", "actual_rate_mean"))
+
+
+# Files
+
+
+@query("csv_roundtrip")
+def _(spark, sf):
+    """Labelled loads written as CSV and read by the strict reader."""
+    out = folder(spark, "loads-csv")
+    tables.labelled(spark, sf).write.option("header", True).csv(out)
+    return read_loads(spark, out)
+
+
+@query("csv_roundtrip_holdout")
+def _(spark, sf):
+    out = folder(spark, "holdout-csv")
+    tables.holdout(spark, sf).write.option("header", True).csv(out)
+    return read_holdout(spark, out)
+
+
+@query("predictions_roundtrip")
+def _(spark, sf):
+    """The five-column layout written as CSV and read back."""
+    out = folder(spark, "predictions-csv")
+    write_predictions(tables.predictions(spark, sf), out, 5, "csv")
+    return rounded(read_predictions(spark, out, "csv", 5), 4, exact=("actual_rate", "actual_rate_per_mile"), predicted_rate_per_mile=8)
+
+
+REPORTS = ["error_summary", "error_by_equipment", "error_by_distance", "error_by_rate", "error_by_weight", "error_by_route", "worst_100", "error_contribution"]
+
+
+@query("report_set")
+def _(spark, sf):
+    """The eight analysis tables written by one call, read back and counted."""
+    out = folder(spark, "reports")
+    write_reports({name: QUERIES[name](spark, sf) for name in REPORTS}, out)
+    counts = [spark.read.parquet(f"{out}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name in REPORTS]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("model_roundtrip")
@@ -645,11 +801,15 @@ def _(spark, sf):
 
 
 def small_runs(spark, sf) -> DataFrame:
-    def build() -> DataFrame:
-        loads = tables.labelled(spark, sf)
-        return run_log([run_holdout(small(s), loads, STAR_SPLIT) for s in RUNS])
+    """The log that the eleven runs append to, read back."""
 
-    return tables.once(spark, sf, "runs", build)
+    def fit() -> str:
+        loads, out = tables.labelled(spark, sf), folder(spark, "run-log")
+        for spec in RUNS:
+            run_holdout(small(spec), loads, STAR_SPLIT, out)
+        return out
+
+    return spark.read.schema(RUN_LOG).json(fitted(spark, sf, "run-log", fit))
 
 
 @query("run_log")
@@ -657,6 +817,23 @@ def _(spark, sf):
     return small_runs(spark, sf)
 
 
+@query("run_log_contract")
+def _(spark, sf):
+    """What the log must say of each run, whatever the models predict."""
+    return small_runs(spark, sf).select(
+        "run", "target", "estimator", "min_leaf", "weights_repaired", "train_rows", "validation_rows", "negative_weights", F.size("numeric").alias("numeric"), F.size("categorical").alias("categorical")
+    )
+
+
 @query("leaderboard")
 def _(spark, sf):
     return leaderboard(small_runs(spark, sf))
+
+
+@query("leaderboard_contract")
+def _(spark, sf):
+    """Every run has one place, and no better run stands below a worse one."""
+    board = leaderboard(small_runs(spark, sf))
+    below = W.orderBy("validation_mae", "run")  # one row for each run
+    gap = F.col("validation_mae") - F.col("train_mae") - F.col("mae_gap")
+    return board.select("run", (F.abs(gap) < 1e-9).alias("gap_holds"), (F.col("validation_mae") >= F.coalesce(F.lag("validation_mae").over(below), F.lit(0.0))).alias("in_order"))

@@ -15,7 +15,7 @@ from lanewise.functions.columns import calendar_columns, route, with_targets
 from lanewise.operators.extratrees import ExtraTrees
 from lanewise.operators.forest import Forest
 from lanewise.operators.history import expanding_history, frozen_history
-from lanewise.operators.metrics import fold_statistics, generalization_gap, regression_metrics
+from lanewise.operators.metrics import fold_statistics, generalization_gap, prediction_summary, regression_metrics
 from lanewise.operators.quality import (
     check_submission,
     duplicates,
@@ -42,6 +42,7 @@ from lanewise.schema import (
     Split,
 )
 from lanewise.session import write_table
+from lanewise.sources.writers import append_runs, write_fold_predictions, write_submission
 
 
 @dataclass(frozen=True)
@@ -166,8 +167,8 @@ class Run:
     record: DataFrame  # one row of RUN_LOG
 
 
-def run_holdout(spec: Spec, loads: DataFrame, split: Split) -> Run:
-    """Fit before ``split.train_end``, score both sides, log the run."""
+def run_holdout(spec: Spec, loads: DataFrame, split: Split, log_path: str | None = None) -> Run:
+    """Fit before ``split.train_end``, score both sides, log the run; ``log_path`` is the log to append to."""
     spark = loads.sparkSession
     enforce(guard_report(loads), spec.name)
     rows = require_both_sides(loads, split)
@@ -211,6 +212,8 @@ def run_holdout(spec: Spec, loads: DataFrame, split: Split) -> Run:
         ],
         RUN_LOG,
     )
+    if log_path:
+        append_runs(record, log_path)
     return Run(spec, model, scored, record)
 
 
@@ -237,10 +240,15 @@ class CrossValidation:
     predictions: DataFrame  # fold, role + the seven prediction columns
     fold_metrics: DataFrame
     summary: DataFrame
+    total_seconds: float  # fits and scoring of all folds
 
 
-def run_folds(spec: Spec, loads: DataFrame, folds: Sequence[Fold]) -> CrossValidation:
-    """Expanding-window validation: one distributed fit per fold, one aggregate for all metrics."""
+def run_folds(spec: Spec, loads: DataFrame, folds: Sequence[Fold], folder: str | None = None) -> CrossValidation:
+    """Expanding-window validation: one distributed fit per fold, one aggregate for all metrics.
+
+    With ``folder``, the fold results and the pooled validation predictions are written there.
+    """
+    began = time.perf_counter()
     spark = loads.sparkSession
     enforce(guard_report(loads), spec.name)
     parts, times = [], []
@@ -270,7 +278,11 @@ def run_folds(spec: Spec, loads: DataFrame, folds: Sequence[Fold]) -> CrossValid
     )
     metrics = generalization_gap(regression_metrics(predictions, ["fold", "role"]), "role", ["fold"])
     metrics = write_table(F.broadcast(windows).join(metrics, "fold"), "fold-metrics")  # one row per fold
-    return CrossValidation(predictions, metrics, fold_statistics(metrics))
+    seconds = time.perf_counter() - began
+    if folder:
+        write_fold_predictions(predictions.where("role = 'validation'").drop("role"), f"{folder}/predictions")
+        metrics.write.mode("overwrite").parquet(f"{folder}/fold_results")
+    return CrossValidation(predictions, metrics, fold_statistics(metrics), seconds)
 
 
 @dataclass
@@ -278,10 +290,14 @@ class Final:
     model: object
     submission: DataFrame
     report: DataFrame
+    record: DataFrame  # one row: what was fitted on, what was repaired, what was predicted
+
 
+def run_final(spec: Spec, labelled: DataFrame, holdout: DataFrame, split: Split, folder: str | None = None) -> Final:
+    """Refit on every labelled row, score the held-out rows, hold the result to the contract.
 
-def run_final(spec: Spec, labelled: DataFrame, holdout: DataFrame, split: Split) -> Final:
-    """Refit on every labelled row, score the held-out rows, hold the result to the contract."""
+    With ``folder``, the model, the submission and the record are saved there.
+    """
     if spec.history:
         labelled_ready = expanding_history(prepare(labelled, spec, split))
     else:
@@ -292,7 +308,9 @@ def run_final(spec: Spec, labelled: DataFrame, holdout: DataFrame, split: Split)
             raise ContractError(f"{label} loads repeat a load id")
     if not holdout.where(F.col("distance") <= 0).isEmpty():
         raise ContractError("held-out loads have a distance that is not positive")
+    start = time.perf_counter()
     model = spec.model().fit(labelled_ready)
+    seconds = time.perf_counter() - start
     later = prepare(holdout.withColumn(TARGET, F.lit(None).cast("double")), spec, split)
     if spec.history:
         later = frozen_history(prepare(labelled, spec, split), later)
@@ -302,7 +320,18 @@ def run_final(spec: Spec, labelled: DataFrame, holdout: DataFrame, split: Split)
     enforce(prediction_report(submission), "submission")
     report = check_submission(submission, holdout)
     enforce(report, "submission")
-    return Final(model, submission, report)
+    negative = F.count_if(F.col("weight") < 0)
+    facts = {"run": spec.name, "fit_seconds": seconds}
+    for side, df in (("labelled", labelled), ("holdout", holdout)):
+        row = df.agg(F.count("*"), negative).first()
+        facts |= {f"{side}_rows": row[0], f"{side}_weights_repaired": row[1]}
+    facts |= {f"prediction_{k}": v for k, v in prediction_summary(submission).drop("rows").first().asDict().items()}
+    record = submission.sparkSession.createDataFrame([facts])
+    if folder:
+        model.save(submission.sparkSession, f"{folder}/model")
+        write_submission(submission, f"{folder}/submission")
+        record.write.mode("overwrite").json(f"{folder}/record")
+    return Final(model, submission, report, record)
 
 
 def small(spec: Spec, trees: int = 3, max_depth: int = 8) -> Spec:

@@ -654,3 +654,56 @@ LEFT JOIN codes e ON e.column_name = 'equipment' AND e.category = f.equipment"""
         )
     ),
 }
+
+# What holds for the ensembles whatever they predict.
+_BOTH = "(SELECT 'train' AS split, * FROM train UNION ALL SELECT 'validation' AS split, * FROM validation)"
+_PRICES = "load_id, posted_rate AS actual_rate, posted_rate_per_mile AS actual_rate_per_mile, TRUE AS consistent"
+_RUNS = """(VALUES
+  ('raw_target_forest', 'posted_rate', 'forest', 1, FALSE, 8, 3), ('repaired_weight_forest', 'posted_rate', 'forest', 1, TRUE, 8, 3),
+  ('leaf_5_forest', 'posted_rate', 'forest', 5, TRUE, 8, 3), ('rate_per_mile_forest', 'posted_rate_per_mile', 'forest', 5, TRUE, 8, 3),
+  ('log_rate_per_mile_forest', 'log_posted_rate_per_mile', 'forest', 5, TRUE, 8, 3),
+  ('history_forest', 'posted_rate_per_mile', 'forest', 5, TRUE, 17, 3), ('calendar_forest', 'posted_rate_per_mile', 'forest', 5, TRUE, 13, 3),
+  ('route_forest', 'log_posted_rate_per_mile', 'forest', 5, TRUE, 8, 4),
+  ('leaf_5_extra_trees', 'log_posted_rate_per_mile', 'extra_trees', 5, TRUE, 8, 3),
+  ('leaf_10_extra_trees', 'log_posted_rate_per_mile', 'extra_trees', 10, TRUE, 8, 3),
+  ('leaf_20_extra_trees', 'log_posted_rate_per_mile', 'extra_trees', 20, TRUE, 8, 3)) AS r(run, target, estimator, min_leaf, repaired, numeric, categorical)"""
+REPORTS = ["error_summary", "error_by_equipment", "error_by_distance", "error_by_rate", "error_by_weight", "error_by_route", "worst_100", "error_contribution"]
+
+ORACLE |= {
+    "rf_contract": _with(f"SELECT split, {_PRICES} FROM {_BOTH}"),
+    "extratrees_contract": _with(f"SELECT split, {_PRICES} FROM {_BOTH}"),
+    "extratrees_trees": _with(
+        """SELECT CAST(t.tree AS INTEGER) AS tree, CAST(x.n AS BIGINT) AS leaf_rows, CAST(0 AS BIGINT) AS small_leaves,
+  CAST(0 AS BIGINT) AS wrong_nodes, ROUND(x.m, 6) AS root_value
+FROM range(100) AS t(tree), (SELECT COUNT(*) AS n, AVG(log_posted_rate_per_mile) AS m FROM train) AS x"""
+    ),
+    "cv_extratrees_windows": _with(
+        """SELECT f.fold, f.a AS train_start, f.b AS train_end, f.c AS validation_start, f.d AS validation_end,
+  COUNT(*) FILTER (a.role = 'train') AS train_rows, COUNT(*) FILTER (a.role = 'validation') AS validation_rows
+FROM folds f JOIN assigned a ON a.fold = f.fold GROUP BY ALL""",
+        FOLDS,
+    ),
+    "cv_extratrees_written": _with(f"SELECT fold, {_PRICES} FROM assigned WHERE role = 'validation'", FOLDS),
+    "submission_extratrees_contract": _with("SELECT load_id, TRUE AS priced FROM holdout"),
+    "final_record": _with(
+        """SELECT 'leaf_20_extra_trees' AS run, (SELECT COUNT(*) FROM labelled) AS labelled_rows,
+  (SELECT COUNT(*) FROM labelled WHERE weight < 0) AS labelled_weights_repaired, (SELECT COUNT(*) FROM holdout) AS holdout_rows,
+  (SELECT COUNT(*) FROM holdout WHERE weight < 0) AS holdout_weights_repaired, CAST(0 AS BIGINT) AS differences"""
+    ),
+    "extratrees_error_by_distance": f"SELECT bin, label, rows, actual_rate_mean FROM ({ORACLE['error_by_distance']})",
+    "csv_roundtrip": _with("SELECT * FROM labelled"),
+    "csv_roundtrip_holdout": _with("SELECT * FROM holdout"),
+    "predictions_roundtrip": _with(
+        """SELECT load_id, actual_rate, ROUND(predicted_rate, 4) AS predicted_rate, actual_rate_per_mile,
+  ROUND(predicted_rate_per_mile, 8) AS predicted_rate_per_mile FROM scored""",
+        MODEL,
+    ),
+    "report_set": _union([f"SELECT '{name}' AS name, COUNT(*) AS rows FROM ({ORACLE[name]})" for name in REPORTS]),
+    "run_log_contract": _with(
+        f"""SELECT run, target, estimator, CAST(min_leaf AS INTEGER) AS min_leaf, repaired AS weights_repaired,
+  (SELECT COUNT(*) FROM train) AS train_rows, (SELECT COUNT(*) FROM validation) AS validation_rows,
+  (SELECT COUNT(*) FROM labelled WHERE weight < 0) AS negative_weights, CAST(numeric AS INTEGER) AS numeric, CAST(categorical AS INTEGER) AS categorical
+FROM {_RUNS}"""
+    ),
+    "leaderboard_contract": f"SELECT run, TRUE AS gap_holds, TRUE AS in_order FROM {_RUNS}",
+}
