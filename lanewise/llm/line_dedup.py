@@ -107,7 +107,8 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
     """
     each = texts.select("number", F.inline(F.arrays_zip("lines", "words"))).where(F.col("words") >= ANCHOR_WORDS).select("number", F.col("lines").alias("line")).distinct()
     shared = each.groupBy("line").agg(F.count("*").alias("n"), F.min("number").alias("first")).where("n > 1")
-    met = write_table(each.join(shared, "line"), "anchors")
+    # Stored, so that the join shuffles both sides and Spark can split a line that very many texts share.
+    met = write_table(each.join(write_table(shared, "shared"), "line"), "anchors")
     star = met.where("number <> first").select(F.col("number").alias("later"), F.col("first").alias("earlier"))
     few = met.where(f"n > 2 AND n <= {RARE}").groupBy("line").agg(F.sort_array(F.collect_list("number")).alias("all"))
     rest = few.select("all", F.posexplode("all").alias("at", "later")).select("later", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("earlier"))

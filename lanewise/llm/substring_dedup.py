@@ -90,7 +90,9 @@ def repeated_passages(
 
 def _passages(found: DataFrame) -> DataFrame:
     order = F.coalesce("doc_id", F.lit(_LAST))
-    repeated = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(order).alias("first_doc")).where("n > 1").drop("n")
+    # Stored, so that the join shuffles both sides and Spark can split a hash that very many texts share.
+    counted = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(order).alias("first_doc")).where("n > 1").drop("n")
+    repeated = write_table(counted, "counted")
     met = write_table(found.join(repeated, ["a", "b"]), "repeated")
     # Within the first document the first row and place stay; only that document's runs are compared.
     here = met.where(order == F.col("first_doc"))
