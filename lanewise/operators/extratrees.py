@@ -10,6 +10,7 @@ changes the trees.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,22 +23,24 @@ from pyspark.sql import functions as F
 from lanewise.operators.forest import load_fill, save_fill
 from lanewise.operators.prep import Imputer, ImputerModel, code, indexer
 from lanewise.operators import tree_nodes
-from lanewise.operators.tree_nodes import NODE_COLUMNS, cut_points, draw, grow, pack, route
+from lanewise.operators.tree_nodes import LEAST_GAIN, NODE_COLUMNS, centred, child, cut_points, draw, grow, pack, route
 from lanewise.schema import SEED
 
 # Tasks get these helpers with the closure, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(tree_nodes)
 
 LABEL = "__y"
-NODE_SCHEMA = "tree int, node long, feature int, is_category boolean, cut double, n long, value double"
+NODE_SCHEMA = "tree int, node long, parent long, feature int, is_category boolean, cut double, n long, value double"
 DENSE_CELLS = 8_000_000
 
 
 class ExtraTrees:
     """All rows in every tree, one random cut per number, one-against-rest per category.
 
-    ``max_depth`` bounds the model where the original grows without limit; ``max_nodes`` keeps
-    the node table, which lives on the driver and is broadcast for prediction, to a known size.
+    Trees grow without a limit of depth unless ``max_depth`` (levels of splits) sets one.
+    ``max_nodes`` keeps the node table, which lives on the driver and is broadcast for
+    prediction, to a known size: a forest beyond it raises. Labels are put on a grid on which
+    sums are exact, so the trees are the same bit for bit under any partitioning.
     """
 
     def __init__(
@@ -47,7 +50,7 @@ class ExtraTrees:
         label: str,
         trees: int = 100,
         min_leaf: int = 20,
-        max_depth: int = 60,
+        max_depth: int | None = None,
         seed: int = SEED,
         finish_rows: int = 20_000,
         nodes_per_pass: int = 20_000,
@@ -77,9 +80,12 @@ class ExtraTrees:
         return ExtraTreesModel(imputer, codes, columns, nodes)
 
     def _grow(self, ready: DataFrame, columns: list[str], widths: list[int]) -> pd.DataFrame:
-        n, mean, variance = ready.agg(F.count("*"), F.avg(LABEL), F.var_pop(LABEL)).first()
+        n, mean, low, high = ready.agg(F.count("*"), F.avg(LABEL), F.min(LABEL), F.max(LABEL)).first()
         if not n:
             raise ValueError("no labelled rows to fit on")
+        widest = max(high - mean, mean - low)
+        grid = 2.0 ** math.floor(51 - math.log2(n * widest)) if widest > 0 else 1.0
+        total = ready.agg(F.sum(F.rint((F.col(LABEL) - F.lit(mean)) * F.lit(grid))) / F.lit(grid)).first()[0]
         spec = dict(
             numeric=len(self.numeric),
             widths=widths,
@@ -87,19 +93,19 @@ class ExtraTrees:
             max_depth=self.max_depth,
             seed=self.seed,
             mean=mean,
-            scale=variance or 1.0,
+            grid=grid,
         )
         finish_rows = min(self.finish_rows, n // 4)
         # Node table so far; ``total`` is the sum of the centred label.
         done = pd.DataFrame(columns=NODE_COLUMNS)
-        level = pd.DataFrame({"tree": np.arange(self.trees), "node": np.int64(1), "n": n, "total": 0.0})
-        small = []
+        level = pd.DataFrame({"tree": np.arange(self.trees), "node": np.int64(1), "parent": np.int64(0), "n": n, "total": total})
+        small, depth = [], -1
         while len(level):
-            fits = (level["n"] <= finish_rows) & (level["n"] >= 2 * self.min_leaf)
-            fits &= level["node"] < 2**self.max_depth
-            small.append(level[fits])
-            level = level[~fits]
-            wide = (level["n"] >= 2 * self.min_leaf) & (level["node"] < 2**self.max_depth)
+            depth += 1
+            wide = (level["n"] >= 2 * self.min_leaf) & (self.max_depth is None or depth < self.max_depth)
+            fits = wide & (level["n"] <= finish_rows)
+            small.append(level[fits].assign(depth=depth))
+            level, wide = level[~fits], wide[~fits]
             done = self._add(done, self._leaves(level[~wide], mean))
             level = level[wide]
             children = []
@@ -112,18 +118,19 @@ class ExtraTrees:
                 inner = split.assign(value=mean + split["total"] / split["n"])
                 done = self._add(done, inner[NODE_COLUMNS])
                 children += [
-                    split.assign(node=2 * split["node"], n=split["n_left"], total=split["s_left"]),
+                    split.assign(node=child(split["node"], 0), parent=split["node"], n=split["n_left"], total=split["s_left"]),
                     split.assign(
-                        node=2 * split["node"] + 1,
+                        node=child(split["node"], 1),
+                        parent=split["node"],
                         n=split["n"] - split["n_left"],
                         total=split["total"] - split["s_left"],
                     ),
                 ]
-            level = pd.concat(children)[["tree", "node", "n", "total"]] if children else level.iloc[:0]
+            level = pd.concat(children)[["tree", "node", "parent", "n", "total"]] if children else level.iloc[:0]
         small = pd.concat(small)
         if len(small):
             done = self._add(done, self._finish(ready, columns, spec, done, small))
-        return done.astype({"tree": "int32", "node": "int64", "feature": "int32", "is_category": bool, "n": "int64"})
+        return done.astype({"tree": "int32", "node": "int64", "parent": "int64", "feature": "int32", "is_category": bool, "n": "int64"})
 
     def _add(self, done: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
         if len(done) + len(more) > self.max_nodes:
@@ -144,12 +151,15 @@ class ExtraTrees:
         shape = ["node", "feature", "is_category", "cut", "value"]
         for tree, wanted in targets.groupby("tree"):
             ends = wanted["node"].to_numpy(np.int64)
-            above, up = [], np.unique(ends >> 1)
-            while len(up) and up[-1]:
+            above, up = [], np.setdiff1d(wanted["parent"].to_numpy(np.int64), [0])
+            if len(up):
+                known = inner[tree].sort_values("node")
+                ids, parents = known["node"].to_numpy(np.int64), known["parent"].to_numpy(np.int64)
+            while len(up):
                 above.append(up)
-                up = np.unique(up >> 1)
+                up = np.setdiff1d(parents[np.searchsorted(ids, up)], [0])
             path = np.unique(np.concatenate(above)) if above else ends[:0]
-            tips = np.setdiff1d(np.concatenate([2 * path, 2 * path + 1, [1]]), path)
+            tips = np.setdiff1d(np.concatenate([child(path, 0), child(path, 1), [1]]), path)
             tips = pd.DataFrame({"node": tips, "feature": -1, "is_category": False, "cut": 0.0, "value": 0.0})
             if len(path):
                 kept = inner[tree]
@@ -169,7 +179,7 @@ class ExtraTrees:
 
         def rows_by_slot(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
             """Per tree: slot of each row in slot order, where each slot starts, features, labels."""
-            x, y = pdf[columns].to_numpy(np.float64), pdf[LABEL].to_numpy(np.float64) - spec["mean"]
+            x, y = pdf[columns].to_numpy(np.float64), centred(pdf[LABEL].to_numpy(np.float64), spec)
             for packed, number in router.value:
                 slot = number[route(packed, x)]
                 order = np.argsort(slot, kind="stable")
@@ -262,16 +272,14 @@ class ExtraTrees:
             .agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
         )
         rest_n, rest_s = F.col("all_n") - F.col("n"), F.col("all_s") - F.col("s")
-        gain = (
-            F.col("s") * F.col("s") / F.col("n")
-            + rest_s * rest_s / rest_n
-            - F.col("all_s") * F.col("all_s") / F.col("all_n")
-        )
+        # The same operations in the same order as in a task, on exact sums: the same gains.
+        parts = F.col("s") * F.col("s") / F.col("n") + rest_s * rest_s / rest_n
+        gain = parts - F.col("all_s") * F.col("all_s") / F.col("all_n")
         best = (
             added.join(F.broadcast(totals), F.col("slot") == F.col("slot_t"))  # at most nodes_per_pass rows
             .where((F.col("n") >= self.min_leaf) & (rest_n >= self.min_leaf))
-            .withColumn("gain", F.round(gain / (F.col("all_n") * F.lit(spec["scale"])), 9))
-            .where(F.col("gain") > 0)
+            .withColumn("gain", gain)
+            .where(F.col("gain") > parts * LEAST_GAIN)
             .groupBy("slot")
             .agg(
                 F.max(
@@ -304,12 +312,12 @@ class ExtraTrees:
         spark, width = ready.sparkSession, len(columns) + 1
         small = small.sort_values(["tree", "node"]).reset_index(drop=True)
         router = spark.sparkContext.broadcast(self._router(done, small))
-        address = spark.sparkContext.broadcast(small[["tree", "node"]].to_numpy(np.int64))
+        address = spark.sparkContext.broadcast(small[["tree", "node", "parent", "depth"]].to_numpy(np.int64))
 
         def blocks(batches):
             """Rows of one node in one batch, packed into one cell."""
             for pdf in batches:
-                data = np.column_stack([pdf[columns].to_numpy(np.float64), pdf[LABEL].to_numpy(np.float64) - spec["mean"]])
+                data = np.column_stack([pdf[columns].to_numpy(np.float64), centred(pdf[LABEL].to_numpy(np.float64), spec)])
                 for packed, number in router.value:
                     slot = number[route(packed, data)]
                     order = np.argsort(slot, kind="stable")
@@ -322,8 +330,8 @@ class ExtraTrees:
 
         def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
             data = np.frombuffer(b"".join(pdf["rows"]), dtype=np.float64).reshape(-1, width)
-            tree, node = address.value[pdf["slot"].iloc[0]]
-            return grow(data[:, :-1], data[:, -1], int(tree), int(node), spec)
+            tree, node, parent, depth = map(int, address.value[pdf["slot"].iloc[0]])
+            return grow(data[:, :-1], data[:, -1], tree, node, parent, depth, spec)
 
         grown = (
             ready.mapInPandas(blocks, "slot long, rows binary").groupBy("slot").applyInPandas(leaves, NODE_SCHEMA).toPandas()

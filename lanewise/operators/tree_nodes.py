@@ -5,7 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-NODE_COLUMNS = ["tree", "node", "feature", "is_category", "cut", "n", "value"]
+NODE_COLUMNS = ["tree", "node", "parent", "feature", "is_category", "cut", "n", "value"]
+
+
+#: Share of the sums of squares that a split must gain; less is rounding.
+LEAST_GAIN = 1e-12
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -24,6 +28,18 @@ def draw(seed: int, tree, node, feature) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def child(node, side) -> np.ndarray:
+    """Id of the left (0) or right (1) child: hashed from the path, so that depth has no limit. The root is 1."""
+    with np.errstate(over="ignore"):
+        x = np.asarray(node, dtype=np.uint64) * np.uint64(2) + np.asarray(side, dtype=np.uint64)
+        return (_scramble(x + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype(np.int64)
+
+
+def centred(y: np.ndarray, spec: dict) -> np.ndarray:
+    """Labels less their mean, on a grid so coarse that float sums of them are exact in any order."""
+    return np.rint((y - spec["mean"]) * spec["grid"]) / spec["grid"]
+
+
 def cut_points(lo: np.ndarray, hi: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Uniform cut in [lo, hi); a constant feature gets its own value, which separates nothing."""
     cut = lo + u * (hi - lo)
@@ -31,7 +47,7 @@ def cut_points(lo: np.ndarray, hi: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 def pack(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
-    """One tree as flat arrays. Node ids are heap numbers: the root is 1, children 2i and 2i+1."""
+    """One tree as flat arrays, by node id."""
     nodes = nodes.sort_values("node")
     ids = nodes["node"].to_numpy(np.int64)
     return {
@@ -40,16 +56,19 @@ def pack(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
         "is_category": nodes["is_category"].to_numpy(bool),
         "cut": nodes["cut"].to_numpy(np.float64),
         "value": nodes["value"].to_numpy(np.float64),
-        "left": np.searchsorted(ids, ids * 2).astype(np.int32),  # only read for inner nodes
+        "root": int(np.searchsorted(ids, 1)),
+        # Places of the children, only read for inner nodes.
+        "left": np.searchsorted(ids, child(ids, 0)).astype(np.int32),
+        "right": np.searchsorted(ids, child(ids, 1)).astype(np.int32),
     }
 
 
 def route(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Position of each row's terminal node. The right child follows the left one in id order."""
+    """Position of each row's terminal node."""
     cells, width = np.ascontiguousarray(x).ravel(), x.shape[1]
     at = np.zeros(len(x), dtype=np.int32)
     rows = np.arange(len(x))
-    here, base = at, rows * width
+    here, base = np.full(len(x), tree["root"], dtype=np.int32), rows * width
     while True:
         feature = tree["feature"].take(here)
         live = np.flatnonzero(feature >= 0)
@@ -60,22 +79,22 @@ def route(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
             return at
         v, cut = cells.take(base + feature), tree["cut"].take(here)
         right = np.where(tree["is_category"].take(here), v == cut, v > cut)
-        here = tree["left"].take(here) + right
+        here = np.where(right, tree["right"].take(here), tree["left"].take(here))
 
 
-def grow(x: np.ndarray, y: np.ndarray, tree: int, node: int, spec: dict) -> pd.DataFrame:
+def grow(x: np.ndarray, y: np.ndarray, tree: int, node: int, parent: int, depth: int, spec: dict) -> pd.DataFrame:
     """Split one bounded node down to its leaves; returns the rows of the node table below it."""
     k, widths = spec["numeric"], spec["widths"]
-    min_leaf, scale = spec["min_leaf"], spec["scale"]
+    min_leaf = spec["min_leaf"]
     features = np.arange(k)
     out = []
-    stack = [(node, np.arange(len(y)))]
+    stack = [(node, parent, depth, np.arange(len(y)))]
     while stack:
-        node, rows = stack.pop()
+        node, parent, depth, rows = stack.pop()
         n, yy = len(rows), y[rows]
         total = yy.sum()
         best = None
-        if n >= 2 * min_leaf and node.bit_length() <= spec["max_depth"]:
+        if n >= 2 * min_leaf and (spec["max_depth"] is None or depth < spec["max_depth"]):
             xx = x[rows]
             num = xx[:, :k]
             cuts = cut_points(num.min(0), num.max(0), draw(spec["seed"], tree, node, features)) if k else num[0]
@@ -90,13 +109,14 @@ def grow(x: np.ndarray, y: np.ndarray, tree: int, node: int, spec: dict) -> pd.D
             legal = (c >= min_leaf) & (n - c >= min_leaf)
             if legal.any():
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = s * s / c + (total - s) ** 2 / (n - c) - total * total / n
-                gain = np.where(legal, np.round(gain / (n * scale), 9), -1.0)
+                    parts = s * s / c + (total - s) * (total - s) / (n - c)
+                    gain = parts - total * total / n
+                gain = np.where(legal & (gain > parts * LEAST_GAIN), gain, -1.0)
                 top = int(gain.argmax())
                 if gain[top] > 0:
                     best = top
         if best is None:
-            out.append((tree, node, -1, False, 0.0, n, spec["mean"] + total / n))
+            out.append((tree, node, parent, -1, False, 0.0, n, spec["mean"] + total / n))
             continue
         if best < k:
             feature, is_category, cut = best, False, float(cuts[best])
@@ -109,7 +129,7 @@ def grow(x: np.ndarray, y: np.ndarray, tree: int, node: int, spec: dict) -> pd.D
                 at -= width
             feature, is_category, cut = k + j, True, float(at)
             right = xx[:, feature] == at
-        out.append((tree, node, feature, is_category, cut, n, spec["mean"] + total / n))
-        stack.append((2 * node, rows[~right]))
-        stack.append((2 * node + 1, rows[right]))
+        out.append((tree, node, parent, feature, is_category, cut, n, spec["mean"] + total / n))
+        for side, part in ((0, rows[~right]), (1, rows[right])):
+            stack.append((int(child(node, side)), node, depth + 1, part))
     return pd.DataFrame(out, columns=NODE_COLUMNS)

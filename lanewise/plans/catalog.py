@@ -608,12 +608,12 @@ def folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_fitted: dict[tuple[str, str, str], object] = {}
+_fitted: dict[tuple, object] = {}
 
 
 def fitted(spark, sf, name: str, fit: Callable[[], object]):
     """A run of this application, fitted once and shared by the queries on it."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, tables.input_state(spark, sf), name)
     if key not in _fitted:
         _fitted[key] = fit()
     return _fitted[key]
@@ -686,7 +686,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Per tree: rows of all leaves, leaves under the minimum, inner nodes whose children do not add up to them."""
     nodes = spark.createDataFrame(selected_run(spark, sf).model.nodes)
-    parents = nodes.where("node > 1").groupBy("tree", F.expr("node div 2").alias("node")).agg(F.sum("n").alias("below"), F.count("*").alias("children"))
+    parents = nodes.where("parent > 0").groupBy("tree", F.col("parent").alias("node")).agg(F.sum("n").alias("below"), F.count("*").alias("children"))
     joined = nodes.join(parents, ["tree", "node"], "left")
     leaf = F.col("feature") < 0
     wrong = (~leaf & ~((F.col("below") == F.col("n")) & (F.col("children") == 2))) | (leaf & F.col("below").isNotNull())

@@ -31,19 +31,30 @@ from lanewise.schema import (
 from lanewise.session import write_table
 from lanewise.sources.star import star_loads
 
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple, DataFrame] = {}
+
+
+def input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, size and time of each input table: what was stored from others is not served again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in listed))
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], cluster_by: Sequence[str] = ()) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, input_state(spark, sf_dir), name)
     if key not in _written or _written[key].sparkSession is not spark:
         _written[key] = write_table(build(), name, list(cluster_by) or None)
     return _written[key]
 
 
 def all_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every load as delivered, clustered by day; the id splits a hot day over many files."""
-    return once(spark, sf_dir, "loads", lambda: star_loads(spark, sf_dir), [DATE, ID])
+    """Every load as delivered, clustered by day; the id splits a hot day over many files.
+
+    The joined rows are stored before they are clustered: ranges are found by a first look at
+    the rows, which would run the joins twice.
+    """
+    return once(spark, sf_dir, "loads", lambda: write_table(star_loads(spark, sf_dir), "joined"), [DATE, ID])
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

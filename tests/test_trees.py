@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lanewise.operators.extratrees import ExtraTrees, ExtraTreesModel
 from lanewise.operators.forest import Forest, ForestModel
 from lanewise.operators.metrics import regression_metrics
-from lanewise.operators.tree_nodes import draw, pack, route
+from lanewise.operators.tree_nodes import child, draw, pack, route
 from lanewise.plans import tables
 from lanewise.schema import CATEGORICAL, LOG_RPM, NUMERIC
 
@@ -16,8 +16,9 @@ def same(a, b):
     return (
         (both["_merge"] == "both").all()
         and (both["feature_x"] == both["feature_y"]).all()
-        and np.allclose(both["cut_x"], both["cut_y"], rtol=0, atol=1e-12)
-        and np.allclose(both["value_x"], both["value_y"])
+        and (both["parent_x"] == both["parent_y"]).all()
+        and (both["cut_x"] == both["cut_y"]).all()
+        and (both["value_x"] == both["value_y"]).all()
     )
 
 
@@ -41,9 +42,36 @@ def test_partitioning_does_not_change_the_trees(train, model):
 
 
 def test_finishing_size_and_pass_size_do_not_change_the_trees(train, model):
+    """At full depth, bit for bit."""
+    for finish_rows, nodes_per_pass in ((0, 20_000), (60, 17), (300, 20_000)):
+        assert same(model, fit(train, finish_rows=finish_rows, nodes_per_pass=nodes_per_pass))
     shallow = fit(train, max_depth=5)
     assert same(shallow, fit(train, max_depth=5, finish_rows=0, nodes_per_pass=3))
-    assert int(shallow.nodes["node"].max()).bit_length() <= 6
+    assert max(depths(shallow)) == 5 and max(depths(model)) > 5
+
+
+def depths(model):
+    parent = dict(zip(zip(model.nodes["tree"], model.nodes["node"]), model.nodes["parent"]))
+    for tree, node in parent:
+        depth = 0
+        while node != 1:
+            node, depth = parent[(tree, node)], depth + 1
+        yield depth
+
+
+@pytest.mark.parametrize("finish_rows", [0, 10**9])
+def test_a_chain_grows_to_its_end(spark, finish_rows):
+    """Every category has its own label, far apart: one leaves at each level."""
+    df = spark.range(400).selectExpr("0D AS x", "concat('k', id % 100) AS c", "cast(id % 100 AS double) AS y")
+    model = ExtraTrees(["x"], ["c"], "y", trees=1, min_leaf=1, finish_rows=finish_rows).fit(df)
+    assert max(depths(model)) > 70
+    assert (model.nodes["feature"] < 0).sum() > 70
+
+
+def test_ties_are_broken_alike(spark):
+    df = spark.range(200).selectExpr("0D AS x", "concat('k', id % 4) AS c", "cast(id % 4 >= 2 AS double) AS y")
+    fits = [ExtraTrees(["x"], ["c"], "y", trees=3, min_leaf=5, finish_rows=f).fit(df.repartition(p)) for f, p in ((0, 1), (10**9, 7), (60, 3))]
+    assert same(fits[0], fits[1]) and same(fits[0], fits[2])
 
 
 def test_leaves(train, model):
@@ -53,7 +81,7 @@ def test_leaves(train, model):
     assert model.nodes["tree"].nunique() == 2
     inner = model.nodes[model.nodes["feature"] >= 0]
     children = set(zip(model.nodes["tree"], model.nodes["node"]))
-    assert all((t, 2 * n) in children and (t, 2 * n + 1) in children for t, n in zip(inner["tree"], inner["node"]))
+    assert all((t, int(child(n, 0))) in children and (t, int(child(n, 1))) in children for t, n in zip(inner["tree"], inner["node"]))
 
 
 def test_seed_changes_the_trees(train, model):
@@ -83,7 +111,7 @@ def test_root_split_is_the_best_of_the_drawn_cuts(spark):
         best = min(options, key=lambda o: spread(o[0]))
         root = nodes[nodes["node"] == 1].iloc[0]
         assert root["feature"] == best[1] and root["cut"] == pytest.approx(best[2])
-        right = nodes[nodes["node"] == 3].iloc[0]
+        right = nodes[nodes["node"] == child(1, 1)].iloc[0]
         assert right["n"] == best[0].sum() and right["value"] == pytest.approx(pdf["y"][best[0]].mean())
 
 
