@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from lanewise.session import write_table
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)
-CACHED_WORDS = 100_000
+CACHED_WORDS = 300_000
 EULER = 0.5772156649015329
 LIMIT = 16.0
 _BINS, _BIN, _LOW = 80, 0.25, -4.0
@@ -37,21 +38,28 @@ def words_of(text: bytes) -> list[str]:
 
 def units_of(word: str) -> list[int]:
     """Hash buckets of a token: the word itself and its beginnings, which catch inflected forms."""
-    units = [crc32(word.encode()) % BUCKETS]
-    return units + [crc32((word[:n] + "*").encode()) % BUCKETS for n in PREFIXES if len(word) > n]
+    units, at, so_far = [], 0, 0
+    for n in PREFIXES:  # each beginning goes on from the checksum of the shorter one
+        if len(word) <= n:
+            break
+        so_far, at = crc32(word[at:n].encode(), so_far), n
+        units.append((so_far ^ 0x5BD1E995) % BUCKETS)  # apart from the words of the same letters
+    units.append(crc32(word[at:].encode(), so_far) % BUCKETS)
+    return units
 
 
 class WordScores(dict):
     """Word -> best log-odds of its units less the drift, computed once per word in a task."""
 
-    def __init__(self, weights: np.ndarray, drift: float):
+    def __init__(self, weights: np.ndarray, drift: float, cached: int = CACHED_WORDS):
         super().__init__()
-        self.weights, self.drift = weights, drift
+        # Five single reads are far cheaper from an array than from an ndarray.
+        self.weight_of, self.drift, self.cached = array("f", weights.tobytes()).__getitem__, drift, cached
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= self.cached:
             self.clear()
-        score = self[word] = float(self.weights[units_of(word)].max()) - self.drift
+        score = self[word] = max(map(self.weight_of, units_of(word))) - self.drift
         return score
 
 
@@ -115,9 +123,10 @@ class Toxicity:
     intercept: float = -3.0
     slope: float = 1.0
 
-    def bits(self, score, words):
-        """Normalised score: ln of 1 over the expected number of such segments in clean text."""
-        return self.rate * score - np.log(self.scale * np.maximum(words, 1))
+    def bits(self, scores: list[float], words: int) -> list[float]:
+        """Normalised scores: ln of 1 over the expected number of such segments in clean text."""
+        chance = math.log(self.scale * max(words, 1))
+        return [self.rate * s - chance for s in scores]
 
     def evidence(self, scores: list[float], words: int) -> float:
         """Sum over the segments rarer than chance; without any, the best one's (negative) value.
@@ -125,7 +134,7 @@ class Toxicity:
         Held within LIMIT: beyond it nothing becomes surer, and a few odd texts or wrong labels
         can't bend the curve that is fitted to it.
         """
-        each = [float(self.bits(s, words)) for s in scores] or [float(self.bits(0.0, words))]
+        each = self.bits(scores or [0.0], words)
         return min(max(sum(x for x in each if x > 0) or max(each), -LIMIT), LIMIT)
 
     def probability(self, evidence):
@@ -243,7 +252,7 @@ def fit(
     doubles = pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_fold = [WordScores(w, drift) for w in shared.value]
+        of_fold = [WordScores(w, drift, CACHED_WORDS // FOLDS) for w in shared.value]
         for batch in batches:
             out, count, total = [], np.zeros(_BINS), np.zeros(_BINS)
             for text, label, fold in zip(utf8(batch["text"]), batch["label"].to_pylist(), batch["fold"].to_pylist()):
@@ -284,6 +293,8 @@ def scores(docs: DataFrame, model: Toxicity, rare: float = 0.01) -> DataFrame:
     passage = "array<struct<first:int,last:int,score:double,expected:double>>"
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
+    least = -math.log(rare)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Toxicity(**shared.value)
         values_of = WordScores(model.weights, model.drift)
@@ -294,8 +305,8 @@ def scores(docs: DataFrame, model: Toxicity, rare: float = 0.01) -> DataFrame:
                 values = np.array([values_of[w] for w in words], float)
                 segments = maximal_segments(values)
                 evidence.append(model.evidence(fresh_scores(words, values, segments), len(values)))
-                expected = [(a, b, s, math.exp(-float(model.bits(s, len(values))))) for a, b, s in segments]
-                passages.append([{"first": a, "last": b, "score": s, "expected": e} for a, b, s, e in expected if e < rare])
+                rarity = model.bits([s for _, _, s in segments], len(values))
+                passages.append([{"first": a, "last": b, "score": s, "expected": math.exp(-x)} for (a, b, s), x in zip(segments, rarity) if x > least])
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch[FILE], batch[ROW], pa.array(model.probability(np.array(evidence)).astype(float)), pa.array(passages, kind)],
                 ["doc_id", *KEY, "score", "passages"],
