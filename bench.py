@@ -17,7 +17,8 @@ from lanewise.operators.forest import Forest
 from lanewise.operators.history import expanding_history, frozen_history
 from lanewise.plans import tables
 from lanewise.plans.catalog import QUERIES
-from lanewise.schema import CATEGORICAL, LOG_RPM, NUMERIC
+from lanewise.plans.experiment import SELECTED, run_final, run_folds
+from lanewise.schema import CATEGORICAL, LOG_RPM, NUMERIC, STAR_FOLDS, STAR_SPLIT
 from lanewise.session import local_session
 
 NAMED = [
@@ -78,6 +79,9 @@ def main() -> None:
         "fit_forest_20x5_depth8",
         lambda: Forest(NUMERIC, CATEGORICAL, LOG_RPM, trees=20, min_leaf=5, max_depth=8).fit(train),
     )
+    labelled, held_out = tables.labelled(spark, sf_dir), tables.holdout(spark, sf_dir)
+    timed("temporal_cv_3x100", lambda: run_folds(SELECTED, labelled, STAR_FOLDS))
+    timed("final_fit_100", lambda: run_final(SELECTED, labelled, held_out, STAR_SPLIT))
     scale = re.search(r"sf([0-9.]+)$", sf_dir)
     print(
         json.dumps(
