@@ -21,36 +21,60 @@ LONG_SENTENCE = 50
 _LAST = (1 << 63) - 1
 
 
-def runs(text: bytes, between: re.Pattern, sentences: int, words: int, long: int) -> list[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, 16-byte hash) of the run that begins at each sentence.
-
-    A run is the shortest one with at least ``sentences`` sentences and ``words`` words; a
-    sentence of ``long`` words is a run of its own. It depends on what it holds only, not on
-    what surrounds it, so a repeated passage has the same runs wherever it stands. Words are
-    compared without regard to the case of A-Z and to the blanks between them.
-    """
-    split_words = [text[a:b].lower().split() for a, b, _ in split(text, between)]
-    counts = [len(w) for w in split_words]
-    hashes = [xxhash.xxh3_128_digest(b" ".join(w)) for w in split_words]
+def _shortest(counts: list[int], sentences: int, words: int, long: int) -> list[tuple[int, int]]:
+    """(first, number of sentences) of the shortest run that begins at each sentence."""
     out, last, total = [], 0, 0  # the run is [i, last), of total words
     for i in range(len(counts)):
         if counts[i] >= long:
-            out.append((i, 1, hashes[i]))
+            out.append((i, 1))
         else:
             while last < len(counts) and (last - i < sentences or total < words):
                 total += counts[last]
                 last += 1
             if last - i < sentences or total < words:
                 break
-            out.append((i, last - i, xxhash.xxh3_128_digest(b"".join(hashes[i:last]))))
+            out.append((i, last - i))
         if last > i:
             total -= counts[i]
         else:
             last = i + 1
-    out += [(i, 1, hashes[i]) for i in range(out[-1][0] + 1 if out else 0, len(counts)) if counts[i] >= long]
+    out += [(i, 1) for i in range(out[-1][0] + 1 if out else 0, len(counts)) if counts[i] >= long]
     return out
 
 
+def _hashed(text: bytes, between: re.Pattern) -> tuple[list[int], list[bytes]]:
+    split_words = [text[a:b].lower().split() for a, b, _ in split(text, between)]
+    return [len(w) for w in split_words], [xxhash.xxh3_128_digest(b" ".join(w)) for w in split_words]
+
+
+def _digest(hashes: list[bytes], first: int, length: int) -> bytes:
+    return hashes[first] if length == 1 else xxhash.xxh3_128_digest(b"".join(hashes[first : first + length]))
+
+
+def runs(text: bytes, between: re.Pattern, sentences: int, words: int, long: int) -> list[tuple[int, int, bytes]]:
+    """(first sentence, number of sentences, 16-byte hash) of the run that begins at each sentence.
+
+    A run is the shortest one with at least ``sentences`` sentences and ``words`` words; a
+    sentence of ``long`` words is a run of its own. It depends on what it holds only, not on
+    what surrounds it, so a repeated passage has the same runs wherever it stands. Words are
+    compared without regard to the case of A-Z and to the blanks between them.
+    """
+    counts, hashes = _hashed(text, between)
+    return [(i, n, _digest(hashes, i, n)) for i, n in _shortest(counts, sentences, words, long)]
+
+
+def covering_runs(text: bytes, between: re.Pattern, sentences: int, words: int, long: int) -> list[tuple[int, int, bytes]]:
+    """``runs`` and the shortest run that ends at each sentence, each place and length once.
+
+    From a sentence of a repeated span either a run of the span begins, or too little of the
+    span follows; then the run that ends with the span holds it. So they cover whole spans.
+    """
+    counts, hashes = _hashed(text, between)
+    begun = _shortest(counts, sentences, words, long)
+    ended = [(len(counts) - i - n, n) for i, n in _shortest(counts[::-1], sentences, words, long)]
+    return [(i, n, _digest(hashes, i, n)) for i, n in sorted({*begun, *ended})]
+
+
 def all_runs(docs: DataFrame, sentences: int, words: int, long: int) -> DataFrame:
     """Every run of every text, stored: (doc_id, row key, first, length, a, b), where a and b are the hash."""
     schema = pa.schema([("doc_id", pa.int64()), (FILE, pa.int64()), (ROW, pa.int64()), ("first", pa.int32()), ("length", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
@@ -60,7 +84,7 @@ def all_runs(docs: DataFrame, sentences: int, words: int, long: int) -> DataFram
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [runs(t, between, sentences, words, long) for t in utf8(part["text"])]
+                found = [covering_runs(t, between, sentences, words, long) for t in utf8(part["text"])]
                 owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 flat = [r for f in found for r in f]
                 halves = np.frombuffer(b"".join(h for _, _, h in flat), np.int64).reshape(-1, 2)
@@ -75,7 +99,8 @@ def repeated_passages(
 ) -> DataFrame:
     """(doc_id, row key, first_sentence, last_sentence, first_doc_ids) of each passage to remove.
 
-    A run stays where it occurs first: smallest doc_id (null last), then row, then place. At
+    Runs are those of ``covering_runs``, so a repeated span of whole sentences goes to its last
+    one. A run stays where it occurs first: smallest doc_id (null last), then row, then place. At
     any other place all its sentences go, and sentences that go one after the other are one
     passage. first_doc_ids are the documents where its runs occur first.
 
@@ -96,9 +121,9 @@ def _passages(found: DataFrame) -> DataFrame:
     met = write_table(found.join(repeated, ["a", "b"]), "repeated")
     # Within the first document the first row and place stay; only that document's runs are compared.
     here = met.where(order == F.col("first_doc"))
-    places = here.groupBy("a", "b").agg(F.min(F.struct(*KEY, "first")).alias("place"))
+    places = here.groupBy("a", "b").agg(F.min(F.struct(*KEY, "first", "length")).alias("place"))
     firsts = places.select(F.col("place.*")).withColumn("stays", F.lit(True))
-    others = met.join(firsts, [*KEY, "first"], "left").where("stays IS NULL")
+    others = met.join(firsts, [*KEY, "first", "length"], "left").where("stays IS NULL")
     by_row = Window.partitionBy(*KEY).orderBy("first")
     end = F.col("first") + F.col("length")
     reached = F.max(end).over(by_row.rowsBetween(Window.unboundedPreceding, -1))
