@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lanewise.llm.pieces import LINES, cut, split
 from lanewise.llm.rows import FILE, KEY, ROW, keyed, ship, utf8
 from lanewise.llm.sharding import numbered
+from lanewise.llm.substring_dedup import shortest_runs
 from lanewise.session import write_table
 
 RARE = 4  # a line in so few different texts pairs all of them
@@ -74,38 +75,53 @@ def common_lines(later: list[int], earlier: list[int], words: list[int], smalles
     return drop
 
 
+def block_keys(lines: list[int], words: list[int], smallest: int = BLOCK_WORDS) -> list[int]:
+    """Hashes of the shortest runs of several lines with enough words that begin or that end at a line.
+
+    A common block of several lines holds such a run at both ends, whatever its lines are, or
+    a line that has the words alone; the runs and such lines cover the block.
+    """
+    begun = shortest_runs(words, 1, smallest, smallest)
+    ended = [(len(words) - i - n, n) for i, n in shortest_runs(words[::-1], 1, smallest, smallest)]
+    packed = np.array(lines, np.int64).tobytes()
+    return sorted({xxhash.xxh64_intdigest(packed[8 * i : 8 * (i + n)], 1) - (1 << 63) for i, n in {*begun, *ended} if n > 1})
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """Every row as its lines' hashes and word counts, numbered by doc_id (null last) and row; stored."""
+    """Every row as its lines' hashes, word counts and block keys, numbered by doc_id (null last) and row; stored."""
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         between = re.compile(LINES)
         for batch in batches:
-            whole, hashes, words = [], [], []
+            whole, hashes, words, blocks = [], [], [], []
             for text in utf8(batch["text"]):
                 lines = [text[a:b].split() for a, b, _ in split(text, between)]
                 whole.append(xxhash.xxh3_128_digest(text))
                 hashes.append([xxhash.xxh64_intdigest(b" ".join(w)) - (1 << 63) for w in lines])
                 words.append([len(w) for w in lines])
+                blocks.append(block_keys(hashes[-1], words[-1]))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch[FILE], batch[ROW], pa.array(whole, pa.binary()), pa.array(hashes, longs), pa.array(words, ints)],
-                ["doc_id", *KEY, "whole", "lines", "words"],
+                [batch["doc_id"], batch[FILE], batch[ROW], pa.array(whole, pa.binary()), pa.array(hashes, longs), pa.array(words, ints), pa.array(blocks, longs)],
+                ["doc_id", *KEY, "whole", "lines", "words", "blocks"],
             )
 
-    made = docs.mapInArrow(run, f"doc_id long, {FILE} long, {ROW} long, whole binary, lines array<bigint>, words array<int>")
+    made = docs.mapInArrow(run, f"doc_id long, {FILE} long, {ROW} long, whole binary, lines array<bigint>, words array<int>, blocks array<bigint>")
     kept = write_table(made.withColumn("no_id", F.col("doc_id").isNull()), "made")  # ranges are found by a first look at the rows
     return write_table(numbered(kept, ["no_id", "doc_id", *KEY]).drop("no_id"), "lines")
 
 
 def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """(later, earlier), distinct, of different texts that share a line of at least ANCHOR_WORDS words.
+    """(later, earlier), distinct, of different texts that share a line of at least ANCHOR_WORDS words or a block key.
 
-    A line in at most RARE texts pairs all of them. A more common one pairs each text with the
-    first that has it: so no text that shares a line goes without a partner, the number of
-    pairs is linear in the lines, and every line that can be deleted is one that an earlier
-    text keeps.
+    A line or key in at most RARE texts pairs all of them. A more common one pairs each text
+    with the first that has it: so each run of lines with the words of a block meets the first
+    text that holds the whole run, also if its lines are short or each of them stands first in
+    another text. The number of pairs is linear in the lines, and every line that can be
+    deleted is one that an earlier text keeps.
     """
-    each = texts.select("number", F.inline(F.arrays_zip("lines", "words"))).where(F.col("words") >= ANCHOR_WORDS).select("number", F.col("lines").alias("line")).distinct()
+    lines = texts.select("number", F.inline(F.arrays_zip("lines", "words"))).where(F.col("words") >= ANCHOR_WORDS).select("number", F.col("lines").alias("line"))
+    each = lines.unionAll(texts.select("number", F.explode("blocks"))).distinct()
     shared = each.groupBy("line").agg(F.count("*").alias("n"), F.min("number").alias("first")).where("n > 1")
     # Stored, so that the join shuffles both sides and Spark can split a line that very many texts share.
     met = write_table(each.join(write_table(shared, "shared"), "line"), "anchors")
@@ -135,8 +151,9 @@ def line_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The first frame has one row for each row of ``docs``: doc_id, class_id, links, lines,
     deleted_lines, row key. Rows of equal text are a class; its first row (smallest doc_id,
-    null last) stands for it, and class_id is that row's doc_id. links counts the other
-    classes that share a common block with it, earlier or later. Of a class's further rows
+    null last) stands for it, and class_id is that row's doc_id. links counts the candidate
+    classes (see candidate_pairs) that share a common block with it, earlier or later: of a
+    line or run in more than RARE classes only links with its first holder count. Of a class's further rows
     every line is deleted; of the first row those in blocks common with an earlier class. A
     line stays in the first text that has it.
 
@@ -147,7 +164,7 @@ def line_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     slim = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text")
     rows = line_table(slim)
     classes = write_table(rows.groupBy("whole").agg(F.min("number").alias("head")), "classes")
-    firsts = rows.join(classes.select(F.col("head").alias("number")), "number", "left_semi").select("number", "doc_id", "lines", "words")
+    firsts = rows.join(classes.select(F.col("head").alias("number")), "number", "left_semi").select("number", "doc_id", "lines", "words", "blocks")
     texts = write_table(firsts, "texts")
     found = write_table(aligned(texts), "aligned")
     drops = found.groupBy("later").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("drop")))).alias("drop"))

@@ -21,7 +21,7 @@ LONG_SENTENCE = 50
 _LAST = (1 << 63) - 1
 
 
-def _shortest(counts: list[int], sentences: int, words: int, long: int) -> list[tuple[int, int]]:
+def shortest_runs(counts: list[int], sentences: int, words: int, long: int) -> list[tuple[int, int]]:
     """(first, number of sentences) of the shortest run that begins at each sentence."""
     out, last, total = [], 0, 0  # the run is [i, last), of total words
     for i in range(len(counts)):
@@ -60,7 +60,7 @@ def runs(text: bytes, between: re.Pattern, sentences: int, words: int, long: int
     compared without regard to the case of A-Z and to the blanks between them.
     """
     counts, hashes = _hashed(text, between)
-    return [(i, n, _digest(hashes, i, n)) for i, n in _shortest(counts, sentences, words, long)]
+    return [(i, n, _digest(hashes, i, n)) for i, n in shortest_runs(counts, sentences, words, long)]
 
 
 def covering_runs(text: bytes, between: re.Pattern, sentences: int, words: int, long: int) -> list[tuple[int, int, bytes]]:
@@ -70,8 +70,8 @@ def covering_runs(text: bytes, between: re.Pattern, sentences: int, words: int,
     span follows; then the run that ends with the span holds it. So they cover whole spans.
     """
     counts, hashes = _hashed(text, between)
-    begun = _shortest(counts, sentences, words, long)
-    ended = [(len(counts) - i - n, n) for i, n in _shortest(counts[::-1], sentences, words, long)]
+    begun = shortest_runs(counts, sentences, words, long)
+    ended = [(len(counts) - i - n, n) for i, n in shortest_runs(counts[::-1], sentences, words, long)]
     return [(i, n, _digest(hashes, i, n)) for i, n in sorted({*begun, *ended})]
 
 
