@@ -29,6 +29,14 @@ def test_a_block_of_common_lines_meets_its_first_holder(frame):
     assert got == {0: 0} | every_pair(rows)
 
 
+def test_blocks_of_short_lines_go(frame):
+    menu = "\n".join(["Home", "About us", "News", "Shop", "Help", "Contact", "Log in"])
+    rows = [(k, f"own{k}\n{menu}\nlast{k}") for k in range(7)]
+    found = line_duplicates(frame(rows))[0].collect()
+    assert {r.doc_id: r.deleted_lines for r in found} == {0: 0} | {k: 7 for k in range(1, 7)}
+    assert all(r.links > 0 for r in found)
+
+
 def test_the_end_of_a_block_goes_too(frame):
     long, tail = "a b c d e f g h i", "x y"
     rows = [(0, long)] + [(k, f"start {k}\n{long}\n{tail}\nend {k}") for k in range(1, 9)]
