@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import replace
 from datetime import date
 from functools import reduce
 
@@ -29,7 +28,6 @@ from lanewise.plans.experiment import (
     run_final,
     run_folds,
     run_holdout,
-    small,
 )
 from lanewise.schema import (
     CALENDAR,
@@ -52,7 +50,7 @@ from lanewise.schema import (
 from lanewise.session import shared_folder
 from lanewise.sources.readers import read_delivery, read_holdout, read_loads, read_predictions
 from lanewise.sources.star import table
-from lanewise.sources.writers import write_predictions, write_reports
+from lanewise.sources.writers import append_runs, write_predictions, write_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -601,7 +599,7 @@ def _(spark, sf):
     )
 
 
-# Models and runs. Extra trees run as specified; the forests of the run log have few trees, so that a check takes seconds.
+# Models and runs, each as specified and fitted once for all queries on it.
 
 
 def folder(spark, name: str) -> str:
@@ -619,13 +617,16 @@ def fitted(spark, sf, name: str, fit: Callable[[], object]):
     return _fitted[key]
 
 
+def spec_run(spark, sf, name: str):
+    return fitted(spark, sf, f"run-{name}", lambda: run_holdout(BY_NAME[name], tables.labelled(spark, sf), STAR_SPLIT))
+
+
 def selected_run(spark, sf):
-    return fitted(spark, sf, "selected", lambda: run_holdout(SELECTED, tables.labelled(spark, sf), STAR_SPLIT))
+    return spec_run(spark, sf, SELECTED.name)
 
 
 def forest_run(spark, sf):
-    spec = replace(BY_NAME["log_rate_per_mile_forest"], trees=5, max_depth=8)
-    return fitted(spark, sf, "forest", lambda: run_holdout(spec, tables.labelled(spark, sf), STAR_SPLIT))
+    return spec_run(spark, sf, "log_rate_per_mile_forest")
 
 
 def selected_folds(spark, sf):
@@ -780,10 +781,10 @@ def _(spark, sf):
 
 @query("model_roundtrip")
 def _(spark, sf):
-    """Both ensembles saved, loaded and compared on the validation rows."""
+    """The models of both runs saved, loaded and compared on the validation rows."""
     out = []
-    for spec in (small(BY_NAME["log_rate_per_mile_forest"], 2, 5), small(SELECTED, 2, 6)):
-        model = spec.model().fit(tables.train(spark, sf))
+    for run in (forest_run(spark, sf), selected_run(spark, sf)):
+        spec, model = run.spec, run.model
         path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/model-{uuid.uuid4().hex[:12]}"
         model.save(spark, path)
         rows = tables.validation(spark, sf)
@@ -800,13 +801,13 @@ def _(spark, sf):
     return out[0].unionByName(out[1])
 
 
-def small_runs(spark, sf) -> DataFrame:
+def logged_runs(spark, sf) -> DataFrame:
     """The log that the eleven runs append to, read back."""
 
     def fit() -> str:
-        loads, out = tables.labelled(spark, sf), folder(spark, "run-log")
+        out = folder(spark, "run-log")
         for spec in RUNS:
-            run_holdout(small(spec), loads, STAR_SPLIT, out)
+            append_runs(spec_run(spark, sf, spec.name).record, out)
         return out
 
     return spark.read.schema(RUN_LOG).json(fitted(spark, sf, "run-log", fit))
@@ -814,26 +815,26 @@ def small_runs(spark, sf) -> DataFrame:
 
 @query("run_log")
 def _(spark, sf):
-    return small_runs(spark, sf)
+    return logged_runs(spark, sf)
 
 
 @query("run_log_contract")
 def _(spark, sf):
     """What the log must say of each run, whatever the models predict."""
-    return small_runs(spark, sf).select(
+    return logged_runs(spark, sf).select(
         "run", "target", "estimator", "min_leaf", "weights_repaired", "train_rows", "validation_rows", "negative_weights", F.size("numeric").alias("numeric"), F.size("categorical").alias("categorical")
     )
 
 
 @query("leaderboard")
 def _(spark, sf):
-    return leaderboard(small_runs(spark, sf))
+    return leaderboard(logged_runs(spark, sf))
 
 
 @query("leaderboard_contract")
 def _(spark, sf):
     """Every run has one place, and no better run stands below a worse one."""
-    board = leaderboard(small_runs(spark, sf))
+    board = leaderboard(logged_runs(spark, sf))
     below = W.orderBy("validation_mae", "run")  # one row for each run
     gap = F.col("validation_mae") - F.col("train_mae") - F.col("mae_gap")
     return board.select("run", (F.abs(gap) < 1e-9).alias("gap_holds"), (F.col("validation_mae") >= F.coalesce(F.lag("validation_mae").over(below), F.lit(0.0))).alias("in_order"))
