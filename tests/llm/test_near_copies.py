@@ -63,7 +63,7 @@ def test_stage_takes_every_near_copy(kind, spark, frame, corpus, sf):
 
 def test_ordinary_near_copies_are_further_than_four_bits_and_go(spark, frame, sf):
     words = [f"word{i}" for i in range(100)]
-    copy = words[:50] + ["other"] + words[51:]
+    copy = words[:30] + ["other"] + words[31:70] + ["another"] + words[71:]
     texts = [" ".join(words), " ".join(copy)]
     assert (fingerprint(texts[0].encode()) ^ fingerprint(texts[1].encode())).bit_count() > 4
     assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame([(1, texts[0]), (2, texts[1])]), sf).collect()] == [1]
