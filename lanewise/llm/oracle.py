@@ -66,4 +66,33 @@ SELECT doc_id, source, size, source_size, target,
 FROM k
 """
 
-ORACLE: dict[str, str] = {"op2_warc": OP2, "op5_mixing": OP5, "op9_exact_dedup": OP9}
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, CAST(count(*) AS HUGEINT) AS c FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL),
+g AS (
+  SELECT x.lang, x.source, coalesce(sum(c.c), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN c ON c.lang = x.lang AND c.source = x.source GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+    1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (g.n + 2 * l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.c + 2) // (l.n + 2 * l.v) AS q
+  FROM g JOIN l ON l.lang = g.lang JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (
+  SELECT a.lang, a.source, b.source AS other, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE c > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM f)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op2_warc": OP2, "op5_mixing": OP5, "op9_exact_dedup": OP9, "op12_source_divergence": OP12}

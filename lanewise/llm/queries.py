@@ -1,4 +1,4 @@
-"""Queries op1 to op10: each applies its operator to its whole table and returns all of it."""
+"""Queries op1 to op13: each applies its operator to its whole table and returns all of it."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewise.llm.alignment import alignment
 from lanewise.llm.decontaminate import items_of, leaks
+from lanewise.llm.divergence import divergence
 from lanewise.llm.exact_dedup import exact_duplicates
 from lanewise.llm.line_dedup import line_dedup_rows
 from lanewise.llm.mixing import mix
+from lanewise.llm.piece_codes import encoded
 from lanewise.llm.quality import quality_rows
 from lanewise.llm.sharding import shard_rows
 from lanewise.llm.simhash import near_duplicate_rows
@@ -68,6 +71,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "score", "first_word", "question_overlap", "answer_overlap")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encoded(_table(spark, sf_dir, "documents"))
+    digests = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256), F.sha2("decoded", 256)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digests[0].alias("ids_sha256"), digests[1].alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,5 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_exact_dedup,
         op10_decontamination,
+        op11_token_alignment,
+        op12_source_divergence,
+        op13_sentencepiece,
     )
 }
