@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lanewise.llm import chunks as cutting
 from lanewise.llm.chunks import Table, chunks, grouped, head, int_lists, piece_ids, pieces_of
 from lanewise.llm.rows import ship, utf8
+from lanewise.session import write_table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TABLE_ROWS, TABLE_BYTES = 1 << 17, 64  # of the corpus-wide table: chunks, bytes of a chunk
@@ -45,7 +46,7 @@ def chunk_counts(texts: DataFrame) -> DataFrame:
 def _entries(model, cut: list[str]) -> list[tuple[bytes, str]]:
     """Of each chunk its ids as int32 and the text they decode to."""
     ids = piece_ids(model, cut)
-    return [(np.array(i, np.int32).tobytes(), " " + text) for i, text in zip(ids, model.decode(ids))]
+    return [(array("i", i).tobytes(), " " + text) for i, text in zip(ids, model.decode(ids))]
 
 
 def piece_table(texts: DataFrame, model_file: str, rows: int) -> dict[str, tuple[bytes, str]]:
@@ -59,7 +60,7 @@ def piece_table(texts: DataFrame, model_file: str, rows: int) -> dict[str, tuple
             made = _entries(model, cut)
             yield pa.RecordBatch.from_arrays([batch["chunk"], pa.array([i for i, _ in made], pa.binary()), pa.array([t for _, t in made], pa.string())], ["chunk", "ids", "decoded"])
 
-    often = head(chunk_counts(texts), "n", rows).column("chunk")
+    often = head(write_table(chunk_counts(texts), "chunk-counts"), "n", rows).column("chunk")
     if not len(often):
         return {}
     table = texts.sparkSession.createDataFrame(pa.table({"chunk": often})).mapInArrow(run, "chunk string, ids binary, decoded string").toArrow()
