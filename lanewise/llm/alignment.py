@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +22,7 @@ from lanewise.llm.rows import FILE, KEY, ROW, keyed, ship, utf8
 from lanewise.session import write_table
 
 BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-TASK_ROWS = 150_000  # chunks that a task keeps aligned
+TASK_ROWS = 250_000  # chunks that a task keeps aligned
 HEAD_ROWS = 1 << 18  # id pairs whose counts are broadcast
 PAIRED = 64  # a group of more pairs than this is folded to distinct ids first
 
@@ -71,6 +73,17 @@ def group_pairs(a: np.ndarray, b: np.ndarray, span: int) -> tuple[np.ndarray, np
     return (a[:, None] * span + b[None, :]).ravel(), (m[:, None] * n[None, :]).ravel()
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all lists and how many each holds."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+def _written(ids: int, inner: str, last: str) -> np.ndarray:
+    """Each id as text, followed by one mark or the other: number 2 * id, and 2 * id + 1 for the last of its side."""
+    return np.array([f"{i}{mark}" for i in range(ids) for mark in (inner, last)], object)
+
+
 class Aligner:
     """Both tokenizers in one task."""
 
@@ -80,56 +93,69 @@ class Aligner:
         self.pieces = pieces_of(pieces)
         self.a_bytes, self.b_bytes = byte_tokens(byte_bpe), piece_tokens(self.pieces)
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_text, self.b_text = _written(len(self.a_bytes), ",", "|"), _written(len(self.b_bytes), ",", ";")
         self.span = len(self.b_bytes)
 
+    def _spelled(self, a: list[list[int]], b: list[list[int]], cut: list[str]) -> np.ndarray:
+        """Which chunks both sides spell byte by byte."""
+        spell = lambda table, lists: [b"".join([table[i] for i in ids]) for ids in lists]
+        return np.array([x == (b" " + c.encode()) == y for x, y, c in zip(spell(self.a_bytes, a), spell(self.b_bytes, b), cut)], bool)
+
     def entries(self, cut: list[str]) -> list[tuple | None]:
         """(tokens of A, of B, groups, links, groups as text, pairs, links of each pair) of each chunk, None where the bytes differ.
 
         All chunks are aligned in one go: their bytes lie one after the other.
         """
+        out: list[tuple | None] = [None] * len(cut)
         a = [e.ids for e in self.byte_bpe.encode_batch_fast([" " + c for c in cut], add_special_tokens=False)]
         b = piece_ids(self.pieces, cut)
-        want = [b" " + c.encode() for c in cut]
-        good = [k for k in range(len(cut)) if b"".join([self.a_bytes[i] for i in a[k]]) == want[k] == b"".join([self.b_bytes[i] for i in b[k]])]
-        out: list[tuple | None] = [None] * len(cut)
-        if not good:
+        good = np.flatnonzero(self._spelled(a, b, cut))
+        if not len(good):
             return out
-        a_ids, b_ids = (np.fromiter((i for k in good for i in ids[k]), np.int64) for ids in (a, b))
-        a_ends, b_ends = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids])
-        to = terminals(a_ends, b_ends)
-        heads, label = np.unique(to, return_inverse=True)  # terminals from left to right: groups in order
-        m, n = (np.bincount(x, minlength=len(heads)) for x in (label[: len(a_ids)], label[len(a_ids) :]))
-        a_stop, b_stop = np.cumsum(m), np.cumsum(n)
-        links = m * n
-        small = links <= PAIRED
-        pairs, times = self._pairs(a_ids, b_ids, label[: len(a_ids)], m, n, a_stop, b_stop, small)
-        stop = np.cumsum(np.where(small, links, 0))
-        chunk_stop = np.searchsorted(a_stop, np.cumsum([len(a[k]) for k in good]), side="left") + 1
-        a_stop, b_stop, wide = a_stop.tolist(), b_stop.tolist(), np.flatnonzero(~small)
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        first = i = j = 0
-        for k, last in zip(good, chunk_stop.tolist()):
-            texts = []
-            for g in range(first, last):
-                texts.append(",".join(a_text[i : a_stop[g]]) + "|" + ",".join(b_text[j : b_stop[g]]))
-                i, j = a_stop[g], b_stop[g]
-            own = slice(stop[first - 1] if first else 0, stop[last - 1])
-            parts = [(pairs[own], times[own])]
-            for g in wide[np.searchsorted(wide, first) : np.searchsorted(wide, last)].tolist():
-                parts.append(group_pairs(a_ids[a_stop[g] - m[g] : a_stop[g]], b_ids[b_stop[g] - n[g] : b_stop[g]], self.span))
-            p, t = (np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
-            out[k] = (len(a[k]), len(b[k]), last - first, int(links[first:last].sum()), ";".join(texts), p.tobytes(), t.tobytes())
-            first = last
-        return out
-
-    def _pairs(self, a_ids, b_ids, group, m, n, a_stop, b_stop, small) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of the groups of few links, in order."""
-        keep = small[group]
-        reps = n[group][keep]
-        start = np.repeat((b_stop - n)[group][keep], reps)
+        if len(good) < len(cut):
+            a, b = ([x[k] for k in good.tolist()] for x in (a, b))
+        (a_ids, a_counts), (b_ids, b_counts) = _flat(a), _flat(b)
+        to = terminals(np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids]))
+        ends = np.zeros(len(a_ids) + len(b_ids), bool)
+        ends[to] = True  # terminals from left to right: groups in order
+        label = (np.cumsum(ends) - 1)[to]
+        a_group, b_group = label[: len(a_ids)], label[len(a_ids) :]
+        m, n = (np.bincount(x, minlength=int(label[-1]) + 1) for x in (a_group, b_group))
+        a_stop, b_stop, links = np.cumsum(m), np.cumsum(n), m * n
+
+        # Text: the tokens in the order in which they are written, each with the mark behind it.
+        written = np.empty(len(to), object)
+        a_last, b_last = (np.r_[x[1:] != x[:-1], True] for x in (a_group, b_group))
+        written[np.arange(len(a_ids)) + (b_stop - n)[a_group]] = self.a_text[2 * a_ids + a_last]
+        written[np.arange(len(b_ids)) + a_stop[b_group]] = self.b_text[2 * b_ids + b_last]
+        written = written.tolist()
+
+        # Pairs: all of a group of few links, in order; the others by distinct ids.
+        wide = links > PAIRED
+        reps = np.where(wide, 0, n)[a_group]
+        start = np.repeat((b_stop - n)[a_group], reps)
         step = np.arange(len(start)) - np.repeat(np.cumsum(reps) - reps, reps)
-        pairs = np.repeat(a_ids[keep], reps) * self.span + b_ids[start + step]
-        return pairs, np.ones(len(pairs), np.int64)
+        pairs = (np.repeat(a_ids, reps) * self.span + b_ids[start + step]).tobytes()
+        size = 8
+
+        a_end, b_end = np.cumsum(a_counts), np.cumsum(b_counts)
+        group_end = a_group[a_end - 1] + 1
+        pair_end = np.cumsum(np.where(wide, 0, links))[group_end - 1] * size
+        link_end = np.cumsum(links)[group_end - 1]
+        late: dict[int, list[int]] = {}
+        for g in np.flatnonzero(wide).tolist():
+            late.setdefault(int(np.searchsorted(group_end, g, side="right")), []).append(g)
+        ones = np.ones(PAIRED * 4, np.int64).tobytes()
+        token = group = pair = link = 0
+        for k, (place, x, y, e, g, p, l) in enumerate(zip(good.tolist(), a_counts.tolist(), b_counts.tolist(), (a_end + b_end).tolist(), group_end.tolist(), pair_end.tolist(), link_end.tolist())):
+            own = pairs[pair:p]
+            times = ones[: p - pair] if p - pair <= len(ones) else np.ones((p - pair) // size, np.int64).tobytes()
+            for w in late.get(k, ()):
+                more = group_pairs(a_ids[a_stop[w] - m[w] : a_stop[w]], b_ids[b_stop[w] - n[w] : b_stop[w]], self.span)
+                own, times = own + more[0].tobytes(), times + more[1].tobytes()
+            out[place] = (x, y, g - group, l - link, "".join(written[token:e])[:-1], own, times)
+            token, group, pair, link = e, g, p, l
+        return out
 
 
 def _folded(pairs: bytes, times: bytes) -> tuple[bytes, bytes]:
@@ -161,6 +187,8 @@ def aligned(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, known = Aligner(byte_bpe, pieces), Table({}, TASK_ROWS)
+        gc.freeze()  # the many small entries hold no cycles, so there is nothing to look for among them
+        gc.disable()
         for batch in batches:
             at = 0
             for group in grouped(t.decode("utf-8", "replace") for t in utf8(batch["text"])):
