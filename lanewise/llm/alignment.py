@@ -22,8 +22,9 @@ from lanewise.llm.rows import FILE, KEY, ROW, keyed, ship, utf8
 from lanewise.session import write_table
 
 BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-TASK_ROWS = 250_000  # chunks that a task keeps aligned
+TASK_ROWS = 500_000  # chunks that a task keeps aligned
 HEAD_ROWS = 1 << 18  # id pairs whose counts are broadcast
+SUMMED = 500  # rows whose pairs meet the broadcast counts at once
 PAIRED = 64  # a group of more pairs than this is folded to distinct ids first
 
 
@@ -97,9 +98,16 @@ class Aligner:
         self.span = len(self.b_bytes)
 
     def _spelled(self, a: list[list[int]], b: list[list[int]], cut: list[str]) -> np.ndarray:
-        """Which chunks both sides spell byte by byte."""
-        spell = lambda table, lists: [b"".join([table[i] for i in ids]) for ids in lists]
-        return np.array([x == (b" " + c.encode()) == y for x, y, c in zip(spell(self.a_bytes, a), spell(self.b_bytes, b), cut)], bool)
+        """Which chunks both sides spell byte by byte; all of them is the usual case, and cheap to see."""
+        want = [b" " + c.encode() for c in cut]
+        sizes, whole = np.fromiter(map(len, want), np.int64, len(want)), b"".join(want)
+        good = np.ones(len(cut), bool)
+        for table, lengths, lists in ((self.a_bytes, self.a_sizes, a), (self.b_bytes, self.b_sizes, b)):
+            ids, counts = _flat(lists)
+            got = np.diff(np.concatenate([[0], np.cumsum(lengths[ids])])[np.concatenate([[0], np.cumsum(counts)])])
+            if not np.array_equal(got, sizes) or b"".join(map(table.__getitem__, chain.from_iterable(lists))) != whole:
+                good &= np.array([b"".join([table[i] for i in own]) == w for own, w in zip(lists, want)], bool)
+        return good
 
     def entries(self, cut: list[str]) -> list[tuple | None]:
         """(tokens of A, of B, groups, links, groups as text, pairs, links of each pair) of each chunk, None where the bytes differ.
@@ -145,11 +153,12 @@ class Aligner:
         late: dict[int, list[int]] = {}
         for g in np.flatnonzero(wide).tolist():
             late.setdefault(int(np.searchsorted(group_end, g, side="right")), []).append(g)
-        ones = np.ones(PAIRED * 4, np.int64).tobytes()
+        ones = [np.ones(i, np.int64).tobytes() for i in range(PAIRED + 1)]  # shared by the entries
         token = group = pair = link = 0
         for k, (place, x, y, e, g, p, l) in enumerate(zip(good.tolist(), a_counts.tolist(), b_counts.tolist(), (a_end + b_end).tolist(), group_end.tolist(), pair_end.tolist(), link_end.tolist())):
             own = pairs[pair:p]
-            times = ones[: p - pair] if p - pair <= len(ones) else np.ones((p - pair) // size, np.int64).tobytes()
+            held = (p - pair) // size
+            times = ones[held] if held <= PAIRED else np.ones(held, np.int64).tobytes()
             for w in late.get(k, ()):
                 more = group_pairs(a_ids[a_stop[w] - m[w] : a_stop[w]], b_ids[b_stop[w] - n[w] : b_stop[w]], self.span)
                 own, times = own + more[0].tobytes(), times + more[1].tobytes()
@@ -240,7 +249,7 @@ def alignment(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count, best = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, SUMMED) for b in batches for at in range(0, b.num_rows, SUMMED)):
             lists, times = batch["pairs"], batch["times"].flatten().to_numpy()
             pairs = lists.flatten().to_numpy()
             ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])

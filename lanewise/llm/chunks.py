@@ -42,9 +42,11 @@ def pieces_of(model_file: str) -> sentencepiece.SentencePieceProcessor:
 
 
 def piece_ids(model: sentencepiece.SentencePieceProcessor, cut: list[str]) -> list[list[int]]:
-    """Ids of each chunk; the model's own leading mark is the chunk's space."""
-    alone = [model.piece_to_id(MARK)]
-    return [ids if chunk else alone for chunk, ids in zip(cut, model.encode(cut, num_threads=1))]
+    """Ids of each of these distinct chunks; the model's own leading mark is the chunk's space."""
+    ids = model.encode(cut, num_threads=1)
+    if "" in cut:
+        ids[cut.index("")] = [model.piece_to_id(MARK)]
+    return ids
 
 
 def grouped(texts: Iterable[str], chars: int = GROUP_CHARS) -> Iterator[list[list[str]]]:

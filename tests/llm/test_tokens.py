@@ -38,8 +38,7 @@ def rows_of(kind, frame, corpus):
 KINDS = ["hard", "odd", "corpus", "empty"]
 
 
-@pytest.mark.parametrize("kind", KINDS)
-@pytest.mark.parametrize("table", [0, 1 << 17])
+@pytest.mark.parametrize("kind, table", [(k, 1 << 17) for k in KINDS] + [("hard", 0)])
 def test_ids_and_texts_are_the_librarys(kind, table, frame, corpus):
     df = rows_of(kind, frame, corpus)
     got = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in encoded(df, table_rows=table).collect())
@@ -95,8 +94,7 @@ def slow_alignment(rows):
         yield doc, sum(len(x) for x, _ in own), sum(len(y) for _, y in own), len(own), sum(pairs.values()), best, sum(n * count[p] for p, n in pairs.items()), sha
 
 
-@pytest.mark.parametrize("kind", KINDS)
-@pytest.mark.parametrize("head_rows", [0, 500, 1 << 18])
+@pytest.mark.parametrize("kind, head_rows", [(k, 500) for k in KINDS] + [("hard", 0), ("hard", 1 << 18)])
 def test_alignment_is_the_walk(kind, head_rows, frame, corpus):
     df = rows_of(kind, frame, corpus)
     rows = [(r.doc_id, r.text if r.text is None or len(r.text) < 20_000 else r.text[:9000]) for r in df.select("doc_id", "text").collect()]
