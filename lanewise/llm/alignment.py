@@ -10,7 +10,6 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +23,6 @@ from lanewise.session import write_table
 BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TASK_ROWS = 500_000  # chunks that a task keeps aligned
 HEAD_ROWS = 1 << 18  # id pairs whose counts are broadcast
-SUMMED = 500  # rows whose pairs meet the broadcast counts at once
 PAIRED = 64  # a group of more pairs than this is folded to distinct ids first
 
 
@@ -239,38 +237,16 @@ def alignment(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, h
     The counts of the most frequent pairs, ``head_rows`` at most, are broadcast; a row's other
     pairs are rare by that choice, and meet their counts in a join. The split changes cost only.
     """
-    spark = docs.sparkSession
     span = sentencepiece.SentencePieceProcessor(model_file=pieces).get_piece_size()
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
     rows = write_table(aligned(docs, byte_bpe, pieces).select("doc_id", *KEY, "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"), "aligned")
     counts = pair_counts(rows, span)
-    often = head(counts, "count", head_rows).sort_by("pair")
-    shared = spark.sparkContext.broadcast([often[c].to_numpy() for c in ("pair", "count", "best")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count, best = shared.value
-        for batch in (b.slice(at, SUMMED) for b in batches for at in range(0, b.num_rows, SUMMED)):
-            lists, times = batch["pairs"], batch["times"].flatten().to_numpy()
-            pairs = lists.flatten().to_numpy()
-            ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
-            if len(known):
-                at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
-                here = known[at] == pairs
-            else:
-                at, here = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
-            value = np.where(here, count[at], 0) * times if len(known) else np.zeros(len(pairs), np.int64)
-            top = np.where(here & best[at], times, 0) if len(known) else value
-            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ends])
-            rest = np.concatenate([[0], np.cumsum(~here)])[ends].astype(np.int32)
-            left = [pa.ListArray.from_arrays(pa.array(rest), pa.array(x[~here])) for x in (pairs, times)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in KEY), pa.array(total(top)), pa.array(total(value)), *left], [*KEY, "n_best", "count_sum", "pairs", "times"])
-
-    kinds = f"{FILE} long, {ROW} long, n_best long, count_sum long, pairs array<bigint>, times array<bigint>"
-    known = write_table(rows.select(*KEY, "pairs", "times").mapInArrow(run, kinds), "counted")
-    rare = known.select(*KEY, F.inline(F.arrays_zip("pairs", "times"))).withColumnsRenamed({"pairs": "pair"})
-    met = rare.join(counts, "pair").select(*KEY, F.when(F.col("best"), F.col("times")).otherwise(0).alias("n_best"), (F.col("times") * F.col("count")).alias("count_sum"))
-    sums = known.select(*KEY, "n_best", "count_sum").unionAll(met).groupBy(*KEY).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    return rows.drop("pairs", "times").join(sums, KEY).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    often = F.broadcast(head(counts, "count", head_rows))  # at most head_rows rows of 17 bytes
+    pairs = rows.select(*KEY, F.inline(F.arrays_zip("pairs", "times"))).withColumnsRenamed({"pairs": "pair"})
+    met = pairs.join(often, "pair").unionByName(pairs.join(often, "pair", "left_anti").join(counts, "pair"))
+    sums = met.groupBy(*KEY).agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")]
+    return rows.drop("pairs", "times").join(sums, KEY, "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *zero, "groups_sha256")
 
 
 ship(cutting.__name__)

@@ -78,8 +78,8 @@ class Table(dict):
         self.update(zip(new, make(new)))
 
 
-def head(table: DataFrame, count: str, limit: int) -> pa.Table:
-    """Rows with the largest counts, at most ``limit`` of them, as Arrow data on the driver.
+def head(table: DataFrame, count: str, limit: int) -> DataFrame:
+    """Rows with the largest counts, at most ``limit`` of them.
 
     Counts are classed by sixteenths of a doubling; the classes (1,024 at most) are counted, and
     the largest ones that fit together are taken. Ties stay together, so fewer rows may come.
@@ -92,7 +92,7 @@ def head(table: DataFrame, count: str, limit: int) -> pa.Table:
         if total > limit:
             break
         least = row["size"]
-    return table.where(size >= least if least is not None else F.lit(False)).toArrow()
+    return table.where(size >= least if least is not None else F.lit(False))
 
 
 def int_lists(parts: list[bytes], dtype=np.int32) -> pa.ListArray:

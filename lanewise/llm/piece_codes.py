@@ -60,7 +60,7 @@ def piece_table(texts: DataFrame, model_file: str, rows: int) -> dict[str, tuple
             made = _entries(model, cut)
             yield pa.RecordBatch.from_arrays([batch["chunk"], pa.array([i for i, _ in made], pa.binary()), pa.array([t for _, t in made], pa.string())], ["chunk", "ids", "decoded"])
 
-    often = head(write_table(chunk_counts(texts), "chunk-counts"), "n", rows).column("chunk")
+    often = head(write_table(chunk_counts(texts), "chunk-counts"), "n", rows).toArrow().column("chunk")
     if not len(often):
         return {}
     table = texts.sparkSession.createDataFrame(pa.table({"chunk": often})).mapInArrow(run, "chunk string, ids binary, decoded string").toArrow()

@@ -19,6 +19,7 @@ from lanewise.llm.queries import QUERIES
 MODEL = sentencepiece.SentencePieceProcessor(model_file=PIECES)
 BPE = Tokenizer.from_file(BYTE_BPE)
 BPE.encode_special_tokens = True
+NAMES = byte_tokens(BYTE_BPE)
 
 
 def hard_texts():
@@ -62,8 +63,7 @@ def slow_groups(text):
     if not text:
         return []
     sides = []
-    names = byte_tokens(BYTE_BPE)
-    for ids, token in ((BPE.encode(" " + text, add_special_tokens=False).ids, names.__getitem__), (MODEL.encode(text), lambda i: bytes([int(MODEL.id_to_piece(i)[3:5], 16)]) if MODEL.is_byte(i) else MODEL.id_to_piece(i).replace("▁", " ").encode())):
+    for ids, token in ((BPE.encode(" " + text, add_special_tokens=False).ids, NAMES.__getitem__), (MODEL.encode(text), lambda i: bytes([int(MODEL.id_to_piece(i)[3:5], 16)]) if MODEL.is_byte(i) else MODEL.id_to_piece(i).replace("▁", " ").encode())):
         ends, at = [], 0
         whole = b""
         for i in ids:
@@ -143,5 +143,5 @@ def test_a_model_with_pieces_over_spaces_is_refused(monkeypatch):
 def test_head_is_bounded_and_takes_the_largest(spark):
     df = spark.range(1, 2001).select("id", F.floor(F.lit(100_000) / F.col("id")).alias("n"))
     for limit in (0, 1, 50, 700, 5000):
-        got = head(df, "n", limit)["id"].to_pylist()
+        got = [r.id for r in head(df, "n", limit).collect()]
         assert len(got) <= limit and sorted(got) == list(range(1, len(got) + 1)) and (limit < 2000 or len(got) == 2000)
