@@ -21,7 +21,7 @@ from lanewise.llm.rows import FILE, KEY, ROW, keyed, ship, utf8
 from lanewise.session import write_table
 
 BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-TASK_ROWS = 500_000  # chunks that a task keeps aligned
+TASK_ROWS = 300_000  # chunks that a task keeps aligned
 HEAD_ROWS = 1 << 18  # id pairs whose counts are broadcast
 PAIRED = 64  # a group of more pairs than this is folded to distinct ids first
 
@@ -194,27 +194,30 @@ def aligned(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, known = Aligner(byte_bpe, pieces), Table({}, TASK_ROWS)
-        gc.freeze()  # the many small entries hold no cycles, so there is nothing to look for among them
-        gc.disable()
-        for batch in batches:
-            at = 0
-            for group in grouped(t.decode("utf-8", "replace") for t in utf8(batch["text"])):
-                known.learn(group, aligner.entries)
-                sums, texts, pairs, times = [], [], [], []
-                for cut in group:
-                    found = [known[c] for c in cut] if cut != [""] else []
-                    if None in found:
-                        found = []
-                    a, b, groups, links, text, p, t = zip(*found) if found else [()] * 7
-                    sums.append((sum(a), sum(b), sum(groups), sum(links)))
-                    texts.append(";".join(text))
-                    p, t = _folded(b"".join(p), b"".join(t))
-                    pairs.append(p)
-                    times.append(t)
-                own = [batch[c].slice(at, len(group)) for c in ("doc_id", *KEY)]
-                at += len(group)
-                numbers = [pa.array(x, pa.int64()) for x in zip(*sums)]
-                yield pa.RecordBatch.from_arrays([*own, *numbers, pa.array(texts, pa.string()), int_lists(pairs, np.int64), int_lists(times, np.int64)], fields)
+        gc.disable()  # the many small entries hold no cycles, so there is nothing to look for among them
+        try:
+            for batch in batches:
+                at = 0
+                for group in grouped(t.decode("utf-8", "replace") for t in utf8(batch["text"])):
+                    known.learn(group, aligner.entries)
+                    sums, texts, pairs, times = [], [], [], []
+                    for cut in group:
+                        found = [known[c] for c in cut] if cut != [""] else []
+                        if None in found:
+                            found = []
+                        a, b, groups, links, text, p, t = zip(*found) if found else [()] * 7
+                        sums.append((sum(a), sum(b), sum(groups), sum(links)))
+                        texts.append(";".join(text))
+                        p, t = _folded(b"".join(p), b"".join(t))
+                        pairs.append(p)
+                        times.append(t)
+                    own = [batch[c].slice(at, len(group)) for c in ("doc_id", *KEY)]
+                    at += len(group)
+                    numbers = [pa.array(x, pa.int64()) for x in zip(*sums)]
+                    yield pa.RecordBatch.from_arrays([*own, *numbers, pa.array(texts, pa.string()), int_lists(pairs, np.int64), int_lists(times, np.int64)], fields)
+        finally:
+            known.clear()
+            gc.enable()
 
     kinds = f"doc_id long, {FILE} long, {ROW} long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<bigint>, times array<bigint>"
     return rows.mapInArrow(run, kinds)
