@@ -21,7 +21,7 @@ from lanewise.llm.rows import FILE, KEY, ROW, keyed, ship, utf8
 from lanewise.session import write_table
 
 BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-TASK_ROWS = 300_000  # chunks that a task keeps aligned
+TASK_ROWS = 350_000  # chunks that a task keeps aligned
 HEAD_ROWS = 1 << 18  # id pairs whose counts are broadcast
 PAIRED = 64  # a group of more pairs than this is folded to distinct ids first
 

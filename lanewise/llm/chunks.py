@@ -16,6 +16,7 @@ from lanewise.llm.rows import ship
 MARK = "▁"
 BETWEEN = re.compile(rf"(?<=[^\s{MARK}]) ")
 BLANK_BEFORE = re.compile(rf" (?<=[\s{MARK}] )")  # its literal start makes this search far cheaper than the cut above
+LEARNT = 20_000  # chunks that go to a tokenizer in one call
 GROUP_CHARS = 1_000_000  # texts taken together, so that their new chunks go to a tokenizer in one call
 
 
@@ -75,7 +76,9 @@ class Table(dict):
             self.clear()
             self.update(self.fixed)
         new = list(set().union(*group).difference(self))
-        self.update(zip(new, make(new)))
+        for at in range(0, len(new), LEARNT):  # what a tokenizer returns is far larger than what is kept of it
+            part = new[at : at + LEARNT]
+            self.update(zip(part, make(part)))
 
 
 def head(table: DataFrame, count: str, limit: int) -> DataFrame:

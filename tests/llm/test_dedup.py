@@ -163,8 +163,22 @@ def slow_sentences(text):
     return [s for s in SENTENCE.split(text or "") if WORD.search(s)]
 
 
-def slow_runs(text, sentences=2, words=25, long=50):
-    parts = [" ".join(WORD.findall(s.lower() if s.isascii() else "".join(c.lower() if "A" <= c <= "Z" else c for c in s))) for s in slow_sentences(text)]
+def slow_parts(text):
+    return [" ".join(WORD.findall(s.lower() if s.isascii() else "".join(c.lower() if "A" <= c <= "Z" else c for c in s))) for s in slow_sentences(text)]
+
+
+def slow_covering(text):
+    """Runs that begin and runs that end at each sentence."""
+    parts = slow_parts(text)
+    ended = [(len(parts) - i - n, n, key[::-1]) for i, n, key in slow_runs_of(parts[::-1])]
+    return sorted({*slow_runs_of(parts), *ended})
+
+
+def slow_runs(text):
+    return slow_runs_of(slow_parts(text))
+
+
+def slow_runs_of(parts, sentences=2, words=25, long=50):
     out = []
     for i in range(len(parts)):
         if len(parts[i].split(" ")) >= long:
@@ -181,7 +195,7 @@ def slow_dropped(rows):
     first, drops = {}, defaultdict(set)
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
     for k in order:
-        for i, n, key in slow_runs(rows[k][1]):
+        for i, n, key in slow_covering(rows[k][1]):
             if first.setdefault(key, (k, i)) != (k, i):
                 drops[k] |= set(range(i, i + n))
     return drops
