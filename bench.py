@@ -76,8 +76,8 @@ def main() -> None:
     timed("fit_extra_trees_100x20", fit_extra_trees)
     timed("predict_extra_trees_100x20", lambda: drain(models["extra"].transform(later)))
     timed(
-        "fit_forest_20x5_depth8",
-        lambda: Forest(NUMERIC, CATEGORICAL, LOG_RPM, trees=20, min_leaf=5, max_depth=8).fit(train),
+        "fit_forest_100x5",
+        lambda: Forest(NUMERIC, CATEGORICAL, LOG_RPM, trees=100, min_leaf=5).fit(train),
     )
     labelled, held_out = tables.labelled(spark, sf_dir), tables.holdout(spark, sf_dir)
     timed("temporal_cv_3x100", lambda: run_folds(SELECTED, labelled, STAR_FOLDS))

@@ -20,16 +20,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.operators.forest import load_fill, save_fill
-from lanewise.operators.prep import Imputer, ImputerModel, code, indexer
+from lanewise.operators.prep import Imputer, ImputerModel, code, indexer, load_fill, save_fill
 from lanewise.operators import tree_nodes
-from lanewise.operators.tree_nodes import LEAST_GAIN, NODE_COLUMNS, centred, child, cut_points, draw, grow, pack, route
+from lanewise.operators.tree_nodes import LEAST_GAIN, NODE_COLUMNS, centred, child, cut_points, draw, drawn, grow, pack, route
 from lanewise.schema import SEED
 
 # Tasks get these helpers with the closure, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(tree_nodes)
 
-LABEL = "__y"
+LABEL, ROW = "__y", "__row"
 NODE_SCHEMA = "tree int, node long, parent long, feature int, is_category boolean, cut double, n long, value double"
 DENSE_CELLS = 8_000_000
 
@@ -43,6 +42,8 @@ class ExtraTrees:
     sums are exact, so the trees are the same bit for bit under any partitioning.
     """
 
+    bootstrap, exact, finish_share = False, False, 4
+
     def __init__(
         self,
         numeric: Sequence[str],
@@ -62,10 +63,10 @@ class ExtraTrees:
 
     def fit(self, train: DataFrame) -> "ExtraTreesModel":
         imputer = Imputer(self.numeric, self.categorical).fit(train)
-        filled = imputer.transform(train)
+        filled = imputer.transform(train.withColumn(ROW, F.xxhash64(*train.columns)))
         codes = Pipeline(stages=[indexer(self.categorical)] if self.categorical else []).fit(filled)
         columns = [*self.numeric, *[code(c) for c in self.categorical]]
-        ready = codes.transform(filled).select(*columns, F.col(self.label).alias(LABEL)).where(
+        ready = codes.transform(filled).select(*columns, *[ROW] * self.bootstrap, F.col(self.label).alias(LABEL)).where(
             F.col(LABEL).isNotNull()
         )
         cores = train.sparkSession.sparkContext.defaultParallelism
@@ -84,7 +85,7 @@ class ExtraTrees:
         if not n:
             raise ValueError("no labelled rows to fit on")
         widest = max(high - mean, mean - low)
-        grid = 2.0 ** math.floor(51 - math.log2(n * widest)) if widest > 0 else 1.0
+        grid = 2.0 ** math.floor(51 - math.log2(n * widest) - 2 * self.bootstrap) if widest > 0 else 1.0
         total = ready.agg(F.sum(F.rint((F.col(LABEL) - F.lit(mean)) * F.lit(grid))) / F.lit(grid)).first()[0]
         spec = dict(
             numeric=len(self.numeric),
@@ -94,11 +95,15 @@ class ExtraTrees:
             seed=self.seed,
             mean=mean,
             grid=grid,
+            exact=self.exact,
+            bootstrap=self.bootstrap,
         )
-        finish_rows = min(self.finish_rows, n // 4)
+        finish_rows = min(self.finish_rows, n // self.finish_share)
         # Node table so far; ``total`` is the sum of the centred label.
         done = pd.DataFrame(columns=NODE_COLUMNS)
         level = pd.DataFrame({"tree": np.arange(self.trees), "node": np.int64(1), "parent": np.int64(0), "n": n, "total": total})
+        if self.bootstrap:
+            level = level.drop(columns=["n", "total"]).merge(self._sampled(ready, spec), on="tree")
         small, depth = [], -1
         while len(level):
             depth += 1
@@ -141,8 +146,8 @@ class ExtraTrees:
     def _leaves(level: pd.DataFrame, mean: float) -> pd.DataFrame:
         return level.assign(feature=-1, is_category=False, cut=0.0, value=mean + level["total"] / level["n"])
 
-    def _router(self, done: pd.DataFrame, targets: pd.DataFrame) -> list[tuple[dict, np.ndarray]]:
-        """(arrays, target number per position or -1) for every tree with a target node.
+    def _router(self, done: pd.DataFrame, targets: pd.DataFrame) -> list[tuple[int, dict, np.ndarray]]:
+        """(tree, arrays, target number per position or -1) for every tree with a target node.
 
         Only the paths down to the targets are kept, so a row stops as soon as it leaves them.
         """
@@ -167,28 +172,52 @@ class ExtraTrees:
             packed = pack(tips)
             number = np.full(len(packed["ids"]), -1, dtype=np.int64)
             number[np.searchsorted(packed["ids"], ends)] = wanted.index.to_numpy()
-            out.append((packed, number))
+            out.append((tree, packed, number))
         return out
 
-    def _split(
-        self, ready: DataFrame, columns: list[str], spec: dict, done: pd.DataFrame, chunk: pd.DataFrame
-    ) -> pd.DataFrame:
-        """Best split of each open node; ``chunk``'s index is the slot number."""
-        spark, k, size = ready.sparkSession, spec["numeric"], len(chunk)
-        router = spark.sparkContext.broadcast(self._router(done, chunk))
+    def _sampled(self, ready: DataFrame, spec: dict) -> pd.DataFrame:
+        """(tree, n, total) of the rows that each tree's sample has; a tree without rows is left out."""
+        trees = self.trees
+
+        def run(batches):
+            for pdf in batches:
+                y = centred(pdf[LABEL].to_numpy(np.float64), spec)
+                times = [drawn(spec["seed"], t, pdf[ROW].to_numpy()) for t in range(trees)]
+                yield pd.DataFrame({"tree": np.arange(trees), "n": [int(w.sum()) for w in times], "total": [float(w @ y) for w in times]})
+
+        sums = ready.mapInPandas(run, "tree long, n long, total double").groupBy("tree").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        return sums.where("n > 0").orderBy("tree").toPandas()  # one line per tree
+
+    def _by_slot(self, router, columns: list[str], spec: dict):
+        """Function from a batch to, per tree: slot of each row in slot order, where each slot starts, features, labels.
+
+        A row comes as often as the tree's sample has it.
+        """
 
         def rows_by_slot(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
-            """Per tree: slot of each row in slot order, where each slot starts, features, labels."""
             x, y = pdf[columns].to_numpy(np.float64), centred(pdf[LABEL].to_numpy(np.float64), spec)
-            for packed, number in router.value:
+            for tree, packed, number in router.value:
                 slot = number[route(packed, x)]
                 order = np.argsort(slot, kind="stable")
                 order = order[np.searchsorted(slot[order], 0) :]
+                if spec["bootstrap"] and len(order):
+                    order = np.repeat(order, drawn(spec["seed"], tree, pdf[ROW].to_numpy())[order])
                 if len(order):
                     at = slot[order]
                     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
                     yield at, starts, x.take(order, axis=0), y.take(order)
 
+        return rows_by_slot
+
+    def _split(
+        self, ready: DataFrame, columns: list[str], spec: dict, done: pd.DataFrame, chunk: pd.DataFrame
+    ) -> pd.DataFrame:
+        """Best split of each open node; ``chunk``'s index is the slot number."""
+        spark, k, size = ready.sparkSession, spec["numeric"], len(chunk)
+        router = spark.sparkContext.broadcast(self._router(done, chunk))
+
+        rows_by_slot = self._by_slot(router, columns, spec)
+
         def ranges(batches):
             lo, hi = np.full((size, k), np.inf), np.full((size, k), -np.inf)
             for pdf in batches:
@@ -314,19 +343,14 @@ class ExtraTrees:
         router = spark.sparkContext.broadcast(self._router(done, small))
         address = spark.sparkContext.broadcast(small[["tree", "node", "parent", "depth"]].to_numpy(np.int64))
 
+        rows_by_slot = self._by_slot(router, columns, spec)
+
         def blocks(batches):
             """Rows of one node in one batch, packed into one cell."""
             for pdf in batches:
-                data = np.column_stack([pdf[columns].to_numpy(np.float64), centred(pdf[LABEL].to_numpy(np.float64), spec)])
-                for packed, number in router.value:
-                    slot = number[route(packed, data)]
-                    order = np.argsort(slot, kind="stable")
-                    order = order[np.searchsorted(slot[order], 0) :]
-                    at = slot[order]
-                    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
-                    if len(at):
-                        parts = np.split(order, starts[1:])
-                        yield pd.DataFrame({"slot": at[starts], "rows": [data[p].tobytes() for p in parts]})
+                for at, starts, x, y in rows_by_slot(pdf):
+                    parts = np.split(np.column_stack([x, y]), starts[1:])
+                    yield pd.DataFrame({"slot": at[starts], "rows": [p.tobytes() for p in parts]})
 
         def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
             data = np.frombuffer(b"".join(pdf["rows"]), dtype=np.float64).reshape(-1, width)

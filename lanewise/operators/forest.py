@@ -1,85 +1,127 @@
-"""Random forest on the sparse feature vector, by Spark ML's distributed histogram trees."""
+"""Random forest: bootstrap trees with the best of all cuts, grown by the extra trees' levels.
 
-from __future__ import annotations
+A node of more than ``finish_rows`` sampled rows is cut by Spark: its rows are folded to one line for
+each value of each feature, and prefix sums over those lines give the gain of every cut. Smaller
+nodes are grown to their leaves in one task each. Neither changes the trees.
+"""
 
-from collections.abc import Sequence
+from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lanewise.operators.prep import Imputer, ImputerModel, encoding
-from lanewise.schema import SEED
+from lanewise.operators.extratrees import ExtraTrees, ExtraTreesModel
+from lanewise.operators.tree_nodes import LEAST_GAIN
+from lanewise.session import write_table
+
+BUCKETS = 256  # parts of a feature's range whose prefix sums are taken apart
 
 
-class Forest:
-    """Bootstrap trees over all features.
+class Forest(ExtraTrees):
+    """Trees over all features, each on its own bootstrap sample, without a limit of depth or of cuts.
 
-    Cuts come from ``max_bins`` candidate values per feature and depth is bounded, where a
-    single-machine forest tries every value and grows until the leaves are pure.
+    A row is in a tree's sample as often as a Poisson(1) draw hashed from (seed, tree, row) says, the
+    row being all its columns: the same sample under any partitioning, and the same draws for rows
+    that are equal in every column. ``min_leaf`` counts sampled rows. A cut lies midway between two
+    neighbouring values; of equal gains the first feature and the lowest cut win.
     """
 
-    def __init__(
-        self,
-        numeric: Sequence[str],
-        categorical: Sequence[str],
-        label: str,
-        trees: int = 100,
-        min_leaf: int = 1,
-        max_depth: int = 16,
-        max_bins: int = 64,
-        seed: int = SEED,
-    ):
-        self.numeric, self.categorical, self.label = list(numeric), list(categorical), label
-        self.params = dict(
-            numTrees=trees,
-            minInstancesPerNode=min_leaf,
-            maxDepth=max_depth,
-            maxBins=max_bins,
-            featureSubsetStrategy="all",
-            seed=seed,
+    bootstrap, exact, finish_share = True, True, 1
+
+    def __init__(self, *args, min_leaf: int = 1, finish_rows: int = 200_000, **more):
+        super().__init__(*args, min_leaf=min_leaf, finish_rows=finish_rows, **more)
+
+    def _split(self, ready: DataFrame, columns: list[str], spec: dict, done: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+        """Best split of each open node; ``chunk``'s index is the slot number."""
+        spark, k = ready.sparkSession, spec["numeric"]
+        router = spark.sparkContext.broadcast(self._router(done, chunk))
+        rows_by_slot = self._by_slot(router, columns, spec)
+        widths = spec["widths"]
+
+        def folded(batches):
+            """Sampled rows and label sum for each slot, feature and value; a category's value is its code."""
+            for pdf in batches:
+                for at, _starts, x, y in rows_by_slot(pdf):
+                    for feature in range(x.shape[1]):
+                        order = np.lexsort((x[:, feature], at))
+                        slot, value = at[order], x[order, feature]
+                        first = np.flatnonzero(np.r_[True, (slot[1:] != slot[:-1]) | (value[1:] != value[:-1])])
+                        lines = pd.DataFrame(
+                            {
+                                "slot": slot[first],
+                                "feature": feature,
+                                "value": value[first],
+                                "n": np.diff(np.r_[first, len(order)]).astype(float),
+                                "s": np.add.reduceat(y[order], first),
+                            }
+                        )
+                        yield lines if feature < k else lines[lines["value"] < widths[feature - k]]
+
+        lines = ready.mapInPandas(folded, "slot long, feature long, value double, n double, s double")
+        lines = write_table(lines.groupBy("slot", "feature", "value").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "values")
+        router.unpersist()
+        cuts = _prefix_sums(lines.where(F.col("feature") < k)).unionByName(lines.where(F.col("feature") >= k).withColumnRenamed("value", "cut"))
+
+        totals = chunk[["n", "total"]].rename(columns={"n": "all_n", "total": "all_s"}).astype({"all_n": float})
+        totals = spark.createDataFrame(totals.rename_axis("slot").reset_index(), "slot long, all_n double, all_s double")
+        rest_n, rest_s = F.col("all_n") - F.col("n"), F.col("all_s") - F.col("s")
+        # The same operations in the same order as in a task, on exact sums: the same gains.
+        parts = F.col("s") * F.col("s") / F.col("n") + rest_s * rest_s / rest_n
+        gain = parts - F.col("all_s") * F.col("all_s") / F.col("all_n")
+        order = F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("cut")).alias("c"), "n", "s")
+        best = (
+            cuts.join(F.broadcast(totals), "slot")  # at most nodes_per_pass rows
+            .where((F.col("n") >= self.min_leaf) & (rest_n >= self.min_leaf))
+            .withColumn("gain", gain)
+            .where(F.col("gain") > parts * LEAST_GAIN)
+            .groupBy("slot")
+            .agg(F.max(order).alias("b"))
+            .select("slot", (-F.col("b.f")).alias("feature"), (-F.col("b.c")).alias("cut"), "b.n", "b.s")
+            .toPandas()  # one line per open node of this pass
+            .set_index("slot")
         )
+        is_category = best["feature"] >= k
+        n, total = chunk["n"].loc[best.index], chunk["total"].loc[best.index]
+        chosen = best[["feature", "cut"]].assign(
+            is_category=is_category,
+            cut=best["cut"] + 0.0,
+            n_left=np.where(is_category, n - best["n"], best["n"]),
+            s_left=np.where(is_category, total - best["s"], best["s"]),
+        )
+        return chunk.join(chosen)
 
-    def fit(self, train: DataFrame) -> "ForestModel":
-        imputer = Imputer(self.numeric, self.categorical).fit(train)
-        regressor = RandomForestRegressor(featuresCol="features", labelCol=self.label, **self.params)
-        stages = [*encoding(self.numeric, self.categorical).getStages(), regressor]
-        ready = imputer.transform(train).select(*self.numeric, *self.categorical, self.label)
-        return ForestModel(imputer, Pipeline(stages=stages).fit(ready))
-
-
-class ForestModel:
-    def __init__(self, imputer: ImputerModel, pipeline: PipelineModel):
-        self.imputer, self.pipeline = imputer, pipeline
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``prediction``; the feature columns keep their raw values."""
-        raw = [*self.imputer.numeric, *self.imputer.categorical]
-        kept = {f"__raw_{c}": F.col(c) for c in raw}
-        scored = self.pipeline.transform(self.imputer.transform(df.withColumns(kept)))
-        return scored.select(*[F.col(f"__raw_{c}").alias(c) if c in raw else F.col(c) for c in df.columns], "prediction")
-
-    def save(self, spark: SparkSession, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        save_fill(spark, self.imputer, path)
-
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> "ForestModel":
-        return ForestModel(load_fill(spark, path), PipelineModel.load(f"{path}/pipeline"))
-
-
-def save_fill(spark: SparkSession, imputer: ImputerModel, path: str) -> None:
-    """Imputation values as a small table: (kind, position, column_name, number, text)."""
-    rows = [("numeric", i, c, imputer.fill.get(c), None) for i, c in enumerate(imputer.numeric)]
-    rows += [("categorical", i, c, None, imputer.fill.get(c)) for i, c in enumerate(imputer.categorical)]
-    schema = "kind string, position int, column_name string, number double, text string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/imputer")
 
+def _prefix_sums(lines: DataFrame) -> DataFrame:
+    """(slot, feature, cut, n, s): rows and label sum at or below each cut between neighbouring values.
 
-def load_fill(spark: SparkSession, path: str) -> ImputerModel:
-    rows = sorted(spark.read.parquet(f"{path}/imputer").collect(), key=lambda r: r["position"])
-    numeric = [r["column_name"] for r in rows if r["kind"] == "numeric"]
-    categorical = [r["column_name"] for r in rows if r["kind"] == "categorical"]
-    fill = {r["column_name"]: r["number"] if r["kind"] == "numeric" else r["text"] for r in rows}
-    return ImputerModel(numeric, categorical, fill)
+    A feature's range is cut in equal parts; sums run within a part, over one line for each value, and
+    over the parts, so no task holds all values of a node.
+    """
+    at = ["slot", "feature"]
+    part = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
+    ranges = lines.groupBy(*at).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo < hi")
+    placed = lines.join(ranges, at).select(*at, part.cast("int").alias("part"), "value", "n", "s")
+    whole = placed.groupBy(*at, "part").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("value").alias("value"))
+    over = W.partitionBy(*at).orderBy("part")
+    below = over.rowsBetween(W.unboundedPreceding, -1)
+    before = whole.select(
+        *at,
+        "part",
+        F.coalesce(F.sum("n").over(below), F.lit(0.0)).alias("n_before"),
+        F.coalesce(F.sum("s").over(below), F.lit(0.0)).alias("s_before"),
+        F.lead("value").over(over).alias("after"),
+    )
+    inside = W.partitionBy(*at, "part").orderBy("value")
+    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = placed.select(*at, "part", "value", F.sum("n").over(upto).alias("n"), F.sum("s").over(upto).alias("s"), F.lead("value").over(inside).alias("next"))
+    joined = running.join(before, [*at, "part"]).withColumn("next", F.coalesce("next", "after")).where("next IS NOT NULL")
+    middle = F.col("value") + (F.col("next") - F.col("value")) / 2
+    cut = F.when(middle >= F.col("next"), F.col("value")).otherwise(middle)
+    return joined.select(*at, cut.alias("cut"), (F.col("n") + F.col("n_before")).alias("n"), (F.col("s") + F.col("s_before")).alias("s"))
+
+
+#: A forest predicts, and is stored, as extra trees are.
+ForestModel = ExtraTreesModel

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 
@@ -40,6 +42,38 @@ def centred(y: np.ndarray, spec: dict) -> np.ndarray:
     return np.rint((y - spec["mean"]) * spec["grid"]) / spec["grid"]
 
 
+#: Chances of at most 0, 1, 2... draws of a row, Poisson with mean 1.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+
+
+def drawn(seed: int, tree: int, rows: np.ndarray) -> np.ndarray:
+    """How often each row is in a tree's bootstrap sample: a Poisson(1) count from (seed, tree, row)."""
+    keys = np.ascontiguousarray(rows, np.int64).view(np.uint64)
+    return np.searchsorted(POISSON, draw(seed, tree, keys, 1 << 32), side="right")
+
+
+def between(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Middle of two neighbouring values; the lower one where the middle rounds up to the higher one."""
+    cut = lo + (hi - lo) / 2
+    return np.where(cut >= hi, lo, cut)
+
+
+def numeric_options(num: np.ndarray, y: np.ndarray, tree: int, node: int, spec: dict) -> tuple[np.ndarray, ...]:
+    """(feature, cut, rows left, label sum left) of the cuts to choose from, by feature, then cut.
+
+    One drawn cut for each feature, or, with ``exact``, one between any two neighbouring values.
+    """
+    features = np.arange(num.shape[1])
+    if not spec.get("exact"):
+        cuts = cut_points(num.min(0), num.max(0), draw(spec["seed"], tree, node, features)) if len(features) else num[0]
+        below = num <= cuts
+        return features, cuts, below.sum(0), y @ below
+    order = np.argsort(num, axis=0)
+    x, sums = np.take_along_axis(num, order, 0), np.cumsum(y[order], axis=0)
+    feature, at = np.nonzero((x[1:] > x[:-1]).T)
+    return feature, between(x[at, feature], x[at + 1, feature]), at + 1, sums[at, feature]
+
+
 def cut_points(lo: np.ndarray, hi: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Uniform cut in [lo, hi); a constant feature gets its own value, which separates nothing."""
     cut = lo + u * (hi - lo)
@@ -86,7 +120,6 @@ def grow(x: np.ndarray, y: np.ndarray, tree: int, node: int, parent: int, depth:
     """Split one bounded node down to its leaves; returns the rows of the node table below it."""
     k, widths = spec["numeric"], spec["widths"]
     min_leaf = spec["min_leaf"]
-    features = np.arange(k)
     out = []
     stack = [(node, parent, depth, np.arange(len(y)))]
     while stack:
@@ -97,9 +130,8 @@ def grow(x: np.ndarray, y: np.ndarray, tree: int, node: int, parent: int, depth:
         if n >= 2 * min_leaf and (spec["max_depth"] is None or depth < spec["max_depth"]):
             xx = x[rows]
             num = xx[:, :k]
-            cuts = cut_points(num.min(0), num.max(0), draw(spec["seed"], tree, node, features)) if k else num[0]
-            below = num <= cuts
-            counts, sums = [below.sum(0)], [yy @ below]
+            numbers, cuts, counts, sums = numeric_options(num, yy, tree, node, spec)
+            counts, sums = [counts], [sums]
             for j, width in enumerate(widths):
                 codes = xx[:, k + j].astype(np.int64)
                 known = codes < width
@@ -118,11 +150,11 @@ def grow(x: np.ndarray, y: np.ndarray, tree: int, node: int, parent: int, depth:
         if best is None:
             out.append((tree, node, parent, -1, False, 0.0, n, spec["mean"] + total / n))
             continue
-        if best < k:
-            feature, is_category, cut = best, False, float(cuts[best])
-            right = ~below[:, best]
+        if best < len(numbers):
+            feature, is_category, cut = int(numbers[best]), False, float(cuts[best])
+            right = num[:, feature] > cut
         else:
-            at = best - k
+            at = best - len(numbers)
             for j, width in enumerate(widths):
                 if at < width:
                     break

@@ -54,7 +54,7 @@ class Spec:
     estimator: str = "forest"
     min_leaf: int = 5
     trees: int = 100
-    max_depth: int | None = 16
+    max_depth: int | None = None
     repair: bool = True
     history: bool = False
     calendar: bool = False
@@ -86,7 +86,7 @@ class Spec:
         return {TARGET: 3, RPM: 5, LOG_RPM: 7}[self.target]
 
 
-EXTRA = dict(estimator="extra_trees", max_depth=None)
+EXTRA = dict(estimator="extra_trees")
 
 # The published sequence of runs, each a small change to an earlier one.
 RUNS = [

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lanewise.operators.extratrees import ExtraTrees, ExtraTreesModel
 from lanewise.operators.forest import Forest, ForestModel
 from lanewise.operators.metrics import regression_metrics
-from lanewise.operators.tree_nodes import child, draw, pack, route
+from lanewise.operators.tree_nodes import child, draw, drawn, pack, route
 from lanewise.plans import tables
 from lanewise.schema import CATEGORICAL, LOG_RPM, NUMERIC
 
@@ -175,5 +175,78 @@ def test_saved_models_predict_the_same(spark, train, model, tmp_path):
 
 def test_forest_respects_the_leaf_size(train):
     forest = Forest(NUMERIC, CATEGORICAL, LOG_RPM, trees=1, min_leaf=100, max_depth=10).fit(train)
-    out = forest.transform(train)
-    assert out.groupBy("prediction").count().agg(F.min("count")).first()[0] >= 50  # bootstrap weights the rows
+    assert forest.nodes[forest.nodes["feature"] < 0]["n"].min() >= 100
+
+
+def test_forest_is_the_same_however_it_is_grown(train):
+    """Cut by Spark or in tasks, over few or many partitions: the same trees, bit for bit, to any depth."""
+    fit = lambda df, **more: Forest(NUMERIC, CATEGORICAL, LOG_RPM, trees=2, min_leaf=5, **more).fit(df)
+    whole = fit(train)
+    assert same(whole, fit(train.repartition(13), finish_rows=300)) and max(depths(whole)) > 10
+
+
+def slow_forest_tree(x, codes, y, times, min_leaf):
+    """{path: (feature, cut or code or None, n, value)} by trying every cut of every feature."""
+    rows = [i for i, n in enumerate(times) for _ in range(n)]
+    out = {}
+
+    def spread(part):
+        mean = sum(y[i] for i in part) / len(part)
+        return sum((y[i] - mean) ** 2 for i in part)
+
+    def split(path, part):
+        best = None
+        for f in range(len(x[0])):
+            values = sorted({x[i][f] for i in part})
+            options = [(a + (b - a) / 2, lambda i, c=a + (b - a) / 2, f=f: x[i][f] <= c) for a, b in zip(values, values[1:])]
+            for cut, left in options:
+                sides = [i for i in part if left(i)], [i for i in part if not left(i)]
+                if min(map(len, sides)) >= min_leaf:
+                    cost = sum(map(spread, sides))
+                    if best is None or cost < best[0] - 1e-9:
+                        best = (cost, f, cut, sides)
+        for code in sorted({codes[i] for i in part}):
+            sides = [i for i in part if codes[i] != code], [i for i in part if codes[i] == code]
+            if min(map(len, sides)) >= min_leaf:
+                cost = sum(map(spread, sides))
+                if best is None or cost < best[0] - 1e-9:
+                    best = (cost, len(x[0]), float(code), sides)
+        found = best if best and spread(part) - best[0] > 1e-9 else None
+        out[path] = (found[1] if found else -1, found[2] if found else 0.0, len(part), sum(y[i] for i in part) / len(part))
+        if found:
+            for side, own in enumerate(found[3]):
+                split(path + str(side), own)
+
+    split("1", rows)
+    return out
+
+
+def test_forest_equals_a_plain_one_with_the_same_draws(spark):
+    rng = np.random.default_rng(8)
+    n = 120
+    pdf = pd.DataFrame({"a": rng.integers(0, 25, n) / 4, "b": rng.normal(size=n), "c": rng.choice(list("xyz"), n)})
+    pdf["y"] = np.sin(pdf["a"]) * 3 + pdf["b"] ** 2 + 2 * (pdf["c"] == "y") + rng.normal(0, 0.2, n)
+    df = spark.createDataFrame(pdf)
+    keys = df.select(F.xxhash64(*df.columns).alias("k")).toPandas()["k"].to_numpy()
+    for finish_rows in (0, 10**6):
+        model = Forest(["a", "b"], ["c"], "y", trees=3, min_leaf=4, finish_rows=finish_rows).fit(df)
+        for tree, nodes in model.nodes.groupby("tree"):
+            want = slow_forest_tree(pdf[["a", "b"]].to_numpy().tolist(), [ord(c) - 120 for c in pdf["c"]], pdf["y"].tolist(), drawn(42, tree, keys).tolist(), 4)
+            got = nodes.set_index("node")
+
+            def walk(path, node):
+                feature, cut, count, value = want.pop(path)
+                one = got.loc[node]
+                assert (one["feature"], one["n"]) == (feature, count) and one["value"] == pytest.approx(value)
+                assert one["cut"] == pytest.approx(cut)
+                if feature >= 0:
+                    walk(path + "0", int(child(node, 0)))
+                    walk(path + "1", int(child(node, 1)))
+
+            walk("1", 1)
+            assert not want
+
+
+def test_bootstrap_draws_have_mean_and_variance_one():
+    times = drawn(42, 3, np.arange(-50_000, 50_000))
+    assert abs(times.mean() - 1) < 0.02 and abs(times.var() - 1) < 0.03
