@@ -13,6 +13,7 @@ def test_log_asks_for_every_spec_as_written_once(monkeypatch):
     monkeypatch.setattr(catalog, "append_runs", lambda record, out: None)
     monkeypatch.setattr(catalog, "folder", lambda spark, name: name)
     monkeypatch.setattr(catalog.tables, "labelled", lambda spark, sf: None)
+    monkeypatch.setattr(catalog.tables, "all_loads", lambda spark, sf: None)
     monkeypatch.setattr(catalog.tables, "input_state", lambda spark, sf: 0)
     reader = SimpleNamespace(schema=lambda _: SimpleNamespace(json=lambda path: path))
     spark = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="app"), read=reader)
