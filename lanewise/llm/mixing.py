@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.rows import FILE, KEY, ROW, keyed
+from lanewise.llm.rows import FILE, KEY, ROW, WHOLE, keyed, packed, unpacked
 from lanewise.session import write_table
 
 WEIGHTS = (1, 2, 3)
@@ -43,18 +43,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     """One row for each row of ``docs``: doc_id, source, size, source_size, target, copies, taken, row key.
 
     Every document is taken floor(target / source_size) times. What is still missing is taken
-    once more from documents in the order of a seeded hash of their doc_id, while they fit;
+    once more from documents in the order of a seeded hash of doc_id and text, while they fit;
     then one document whose size is nearest to the rest, if it brings the sum closer. So a
     source misses its target by less than one document, at any size, and reruns agree.
 
     The order needs no sort of a whole source: sizes are summed over 65,536 ranges of the hash,
     the range in which the target falls is found from these sums, and only its documents are
     put in order. Null texts and texts without words have size 0; a source of size 0 has target
-    0; null is a source of its own. Repeated rows count each. Extra columns are ignored; an
+    0; null is a source of its own. Rows without a doc_id are spread by their texts; repeated rows count each. Extra columns are ignored; an
     empty table gives no rows.
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORDS)).cast("long")
-    order = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    order = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(F.col("text"), F.lit(""))))), 1, 15), 16, 10).cast("long")
     slim = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")), "doc_id", "source", "text")
     rows = write_table(slim.select("doc_id", "source", size.alias("size"), order.alias("order"), *KEY), "sizes")
 
@@ -105,8 +105,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it is taken, with its columns."""
-    rows = keyed(docs, *docs.columns)
-    counts = write_table(mix(rows).where("copies > 0").select(*[F.col(c).alias(f"mix_{c}") for c in KEY], F.col("copies").alias("mix_copies")), "copies")
-    joined = rows.join(counts, (F.col(f"mix_{FILE}") == F.col(FILE)) & (F.col(f"mix_{ROW}") == F.col(ROW)))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
+    """``docs`` as the mix takes them: each row as often as it is taken, with its columns, whatever their names."""
+    rows = packed(docs, "doc_id", "source", "text")
+    counts = write_table(mix(rows.drop(WHOLE)).where("copies > 0").select(*[F.col(c).alias(f"mix_{c}") for c in KEY], F.col("copies").alias("mix_copies")), "copies")
+    joined = rows.select(WHOLE, *KEY).join(counts, (F.col(f"mix_{FILE}") == F.col(FILE)) & (F.col(f"mix_{ROW}") == F.col(ROW)))
+    return joined.select(WHOLE, F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*unpacked(docs.columns))

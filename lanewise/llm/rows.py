@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.session import write_table
@@ -17,6 +17,7 @@ from lanewise.session import write_table
 FILE, ROW = "lanewise_file", "lanewise_row"
 KEY = [FILE, ROW]
 _BLOCK, _BITS = "lanewise_block", "lanewise_bits"
+WHOLE = "lanewise_row_as_given"
 _SCAN_NODES = {"Project", "Filter", "Relation", "SubqueryAlias", "View"}
 
 
@@ -67,13 +68,34 @@ def marked(docs: DataFrame, bits: DataFrame, name: str) -> DataFrame:
     return joined.withColumn(name, bit).drop("lanewise_other", _BLOCK, _BITS)
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``docs``, the whole row as the struct WHOLE, and the row's key.
+
+    Inside the struct the caller's columns may have any name, also one that is used here.
+    """
+    frame = docs.select(F.struct(*map(_quoted, docs.columns)).alias(WHOLE), *columns)
+    if any(c.lower() == "_metadata" for c in docs.columns):
+        frame = write_table(frame, "rows")
+    return keyed(frame, WHOLE, *columns)
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    """These columns of the packed row."""
+    return [F.col(WHOLE).getField(c).alias(c) for c in columns]
+
+
 def without(docs: DataFrame, pick) -> DataFrame:
-    """``docs`` less the rows whose keys ``pick`` selects; every column is kept as it is.
+    """``docs`` less the rows whose keys ``pick`` selects; every column is kept as it is, whatever its name.
 
-    ``pick`` gets the keyed rows and returns the keys to drop.
+    ``pick`` gets doc_id, text and key of the rows and returns the keys to drop.
     """
-    rows = keyed(docs, *docs.columns)
-    return marked(rows, row_bits(pick(rows)), "lanewise_drop").where("NOT lanewise_drop").select(*docs.columns)
+    rows = packed(docs, "doc_id", "text")
+    bits = row_bits(pick(rows.drop(WHOLE)))
+    return marked(rows.select(WHOLE, *KEY), bits, "lanewise_drop").where("NOT lanewise_drop").select(*unpacked(docs.columns))
 
 
 def utf8(column: pa.Array) -> Iterator[bytes]:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.rows import KEY, keyed, ship
+from lanewise.llm.rows import KEY, WHOLE, keyed, packed, ship, unpacked
 from lanewise.session import write_table
 
 SHARDS = 16
@@ -118,11 +118,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with all its columns, then shard and slot; own columns of these names are replaced."""
-    rows = keyed(docs, *docs.columns)
-    places = shard(rows, shards).select(*[F.col(c).alias(f"shard_{c}") for c in KEY], F.struct("shard", "slot").alias("shard_place"))
-    joined = rows.join(places, reduce(and_, (F.col(f"shard_{c}") == F.col(c) for c in KEY)))
+    rows = packed(docs, "doc_id", "text")
+    places = shard(rows.drop(WHOLE), shards).select(*[F.col(c).alias(f"shard_{c}") for c in KEY], "shard", "slot")
+    joined = rows.select(WHOLE, *KEY).join(places, reduce(and_, (F.col(f"shard_{c}") == F.col(c) for c in KEY)))
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    return joined.select(*kept, F.col("shard_place.shard").alias("shard"), F.col("shard_place.slot").alias("slot"))
+    return joined.select(*unpacked(kept), "shard", "slot")
 
 
 def shard_rows(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from compare import connection, difference
 from conftest import odd_rows
+from pyspark.sql import functions as F
 from test_near_copies import slow_kept
 
 import corpus_pipeline
@@ -89,6 +90,31 @@ def test_run_agrees_with_its_stages(spark, sf, corpus):
     assert pick(corpus_pipeline.run(spark, sf)) == pick(final)
 
 
+CLASHING = (
+    "lanewise_file lanewise_row lanewise_block lanewise_bits lanewise_drop lanewise_other lanewise_row_as_given _metadata "
+    "mix_copies mix_copy mix_lanewise_row shard_place shard_lanewise_row a.b tick`ed"
+).split()
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
+def test_stages_keep_columns_of_any_name(spark, frame, sf, stage):
+    named = frame(odd_rows()).withColumns({c.replace("`", "``"): F.lit(c) for c in CLASHING if "." not in c and "`" not in c})
+    named = named.select("*", *[F.lit(c).alias(c) for c in CLASHING if "." in c or "`" in c])
+    plain_rows = Counter(stage(spark, frame(odd_rows()), sf).select("doc_id", "text").collect())
+    out = stage(spark, write_table(named, "named"), sf)
+    assert out.columns[: len(named.columns)] == named.columns
+    rows = out.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(tuple(r) for r in plain_rows.elements())
+    assert all(r[c] == c for r in rows for c in CLASHING)
+
+
+def test_rows_without_ids_spread_over_hash_ranges(spark, frame):
+    rows = [(None, f"word number {i} of the text", "s") for i in range(400)] + [(i, "x y z", "t") for i in range(900)]
+    out = mix(frame(rows)).where("source = 's'").collect()
+    assert {r.copies for r in out} <= {0, 1, 2, 3}
+    assert abs(sum(r.taken for r in out) - out[0].target) < 6
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(name, spark, sf):
     assert difference(QUERIES[name](spark, sf), connection(sf), ORACLE[name]) is None
