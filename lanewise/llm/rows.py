@@ -98,6 +98,16 @@ def without(docs: DataFrame, pick) -> DataFrame:
     return marked(rows.select(WHOLE, *KEY), bits, "lanewise_drop").where("NOT lanewise_drop").select(*unpacked(docs.columns))
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``write_table`` stored, once all that reads them is stored itself."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            if f"/{context.applicationId}/" in folder:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(column: pa.Array) -> Iterator[bytes]:
     """Each value's bytes, one at a time; null is empty."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

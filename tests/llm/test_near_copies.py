@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from conftest import odd_rows
 
+from lanewise.llm.near_copies import _parity_bits
 from lanewise.llm.simhash import fingerprint
 
 
@@ -67,3 +68,13 @@ def test_ordinary_near_copies_are_further_than_four_bits_and_go(spark, frame, sf
     texts = [" ".join(words), " ".join(copy)]
     assert (fingerprint(texts[0].encode()) ^ fingerprint(texts[1].encode())).bit_count() > 4
     assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame([(1, texts[0]), (2, texts[1])]), sf).collect()] == [1]
+
+
+def test_parity_bits_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 30, 700, 9000):
+        x = np.unique(rng.integers(-(2**63), 2**63 - 1, size))
+        for other in (0, 3, size // 5):
+            y = np.unique(np.concatenate([x[other:], rng.integers(-(2**63), 2**63 - 1, other)]))
+            differ = sum(int(a ^ b).bit_count() for a, b in zip(_parity_bits(x).view(np.uint64).tolist(), _parity_bits(y).view(np.uint64).tolist()))
+            assert differ <= len(np.setxor1d(x, y))
