@@ -54,30 +54,39 @@ class Index:
         return len(self.rest)
 
 
-def build_index(rows: list[tuple[int, str, str]], threshold: float, shortest: int = SHINGLE) -> Index:
-    """Index of (item_id, question, answer); items of fewer than ``shortest`` words are left out.
+def item_words(question: str, answer: str) -> tuple[list[str], list[str]]:
+    """Words of both parts; an item too short for a shingle is a question as a whole."""
+    q, a = words_of(question), words_of(answer)
+    return (q, a) if len(q) + len(a) >= SHINGLE else (q + a, [])
 
+
+def entries_of(words: list[str]) -> list[list[str]]:
+    """An item's words in entries of at most PART."""
+    pieces = -(-len(words) // PART)
+    return [words[len(words) * p // pieces : len(words) * (p + 1) // pieces] for p in range(pieces)]
+
+
+def build_index(rows: list[tuple[int, str, str]], threshold: float, known: tuple[dict[str, int], int, float] | None = None) -> Index:
+    """Index of (item_id, question, answer); items without words are left out.
+
+    ``known`` has the entries of each term, all entries and their mean length, over the items
+    of all shards; without it these rows are all there are.
     Terms of more than an eighth of the entries are frequent. Where they make up half the
     threshold of an entry, its weightiest ones count as rare, so that no entry can reach the
     threshold without a rare term.
     """
-    texts = {i: (words_of(q), words_of(a)) for i, q, a in rows}
-    texts = {i: qa for i, qa in texts.items() if sum(map(len, qa)) >= shortest}
-    parts = []
-    for i in sorted(texts):
-        words = texts[i][0] + texts[i][1]
-        pieces = -(-len(words) // PART)
-        parts += [(i, words[len(words) * p // pieces : len(words) * (p + 1) // pieces]) for p in range(pieces)]
+    texts = {i: item_words(q, a) for i, q, a in rows}
+    parts = [(i, entry) for i in sorted(texts) for entry in entries_of(texts[i][0] + texts[i][1])]
     index = Index([i for i, _ in parts], texts)
     counts = [Counter(words) for _, words in parts]
-    found = Counter(t for c in counts for t in c)
-    mean = sum(len(w) for _, w in parts) / max(len(parts), 1)
-    for t in sorted(found):
+    own_terms = Counter(t for c in counts for t in c)
+    found, total, mean = known or (own_terms, len(parts), sum(len(w) for _, w in parts) / max(len(parts), 1))
+    for t in sorted(own_terms):
         index.vocabulary[t] = len(index.vocabulary)
-    postings: list[list[tuple[int, float]]] = [[] for _ in found]
+    postings: list[list[tuple[int, float]]] = [[] for _ in own_terms]
     for e, c in enumerate(counts):
         length = K1 * (1 - B + B * sum(c.values()) / mean)
-        weight = {t: math.log(1 + (len(parts) - found[t] + 0.5) / (found[t] + 0.5)) * n * (K1 + 1) / (n + length) for t, n in c.items()}
+        weight = {t: math.log(1 + (total - found[t] + 0.5) / (found[t] + 0.5)) * n * (K1 + 1) / (n + length) for t, n in c.items()}
         whole = sum(weight.values())
         for t, w in weight.items():
             postings[index.vocabulary[t]].append((e, w / whole))
@@ -216,6 +225,25 @@ def question_and_answer(text: Column) -> tuple[Column, Column]:
     return F.when(question == "", body).otherwise(question), F.regexp_extract(body, split, 2)
 
 
+def term_counts(items: DataFrame) -> DataFrame:
+    """(shard, term, entries, words): entries with the term; a null term counts all entries and their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met: Counter = Counter()
+            words: Counter = Counter()
+            for shard, question, answer in zip(*(batch[c].to_pylist() for c in ("shard", "question", "answer"))):
+                for entry in entries_of(sum(item_words(question, answer), [])):
+                    met.update((shard, t) for t in set(entry))
+                    met[shard, None] += 1
+                    words[shard, None] += len(entry)
+            out = [{"shard": s, "term": t, "entries": n, "words": words[s, t]} for (s, t), n in met.items()]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("shard", pa.int64()), ("term", pa.string()), ("entries", pa.int64()), ("words", pa.int64())]))
+
+    counted = items.select("shard", "question", "answer").mapInArrow(run, "shard long, term string, entries long, words long")
+    return counted.groupBy("shard", "term").agg(F.sum("entries").alias("entries"), F.sum("words").alias("words"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: float = 0.8, answer: float = 0.5) -> DataFrame:
     """One row for each document and test item in it: (doc_id, item_id, score, first_word, overlaps, row key).
 
@@ -223,19 +251,29 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: f
     every whole text is a query; all items at or above ``threshold`` are retrieved, and stay if
     shares ``question`` and ``answer`` of their five-word shingles occur in the document. The
     documents are scanned where they lie and nothing is shuffled. The index is broadcast in
-    shards of a bounded size: more items mean more scans, never a larger broadcast. Null and
-    empty texts hold nothing; items under five words, null ones included, can't be found;
-    repeated rows are reported each. Extra columns are ignored.
+    shards of a bounded size: more items mean more scans, never a larger broadcast. Frequencies
+    and lengths are those of all items, so scores do not depend on the shards. Null and
+    empty texts hold nothing. Of an item under five words, all words must follow each other in
+    the document; items without words, null ones included, can't be found. Repeated rows are
+    reported each. Extra columns are ignored.
     """
     slim = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text")
     known = items.select(F.col("item_id").cast("long").alias("item_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("question", "answer")])
     known = known.where("item_id IS NOT NULL").groupBy("item_id").agg(F.max(F.struct("question", "answer")).alias("qa")).select("item_id", "qa.*")
     size = known.agg(F.sum(F.octet_length("question") + F.octet_length("answer") + 16)).first()[0] or 0
     shards = -(-size // SHARD_BYTES) or 1
+    known = known.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
+    counts = write_table(term_counts(known), "terms")
+    entries, words = counts.where("term IS NULL").agg(F.sum("entries"), F.sum("words")).first()
+    of_term = counts.where("term IS NOT NULL").groupBy("term").agg(F.sum("entries").alias("found"))
     found = []
     for shard in range(shards):
-        rows = known.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()
-        index = docs.sparkSession.sparkContext.broadcast(vars(build_index([tuple(r) for r in rows], threshold)))
+        own = F.col("shard") == shard
+        rows = known.where(own).drop("shard").collect()
+        terms = counts.where(own & F.col("term").isNotNull()).select("term").join(of_term, "term").toArrow()  # of SHARD_BYTES of text
+        frequency = dict(zip(terms["term"].to_pylist(), terms["found"].to_pylist()))
+        numbers = (frequency, entries or 0, (words or 0) / max(entries or 0, 1))
+        index = docs.sparkSession.sparkContext.broadcast(vars(build_index([tuple(r) for r in rows], threshold, numbers)))
         found.append(_scan(slim, index, threshold, question, answer))
     return reduce(DataFrame.unionAll, found)
 
