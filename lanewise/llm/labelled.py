@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.llm.rows import KEY
+
 
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the doc_id as text, modulo ``divisor``; a null doc_id is null."""
@@ -12,7 +14,10 @@ def remainder(doc_id: str, divisor: int) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, limit: int) -> DataFrame:
-    """(doc_id, label): at most ``limit`` labelled rows of distinct texts, marked for broadcast.
+    """(row key, label): at most ``limit`` labelled rows of distinct doc_ids and texts, marked for broadcast.
+
+    ``docs`` has doc_id, text and row key; only the rows of the keys returned are to be learnt from,
+    however many others have their doc_ids.
 
     Rows come in the order of a hash of their doc_id, so the sample is the same at every run.
     Only ids that ``allowed`` admits are read; labels that contradict each other count as 1. Of
@@ -26,6 +31,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, allowed: Co
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
-    distinct = texts.join(F.broadcast(chosen), "doc_id").groupBy("hash").agg(F.min(F.struct("doc_id", "label")).alias("one"))
-    return F.broadcast(distinct.groupBy("one.doc_id").agg(F.max("one.label").alias("label")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), *KEY)
+    distinct = texts.join(F.broadcast(chosen), "doc_id").groupBy("hash").agg(F.min(F.struct("doc_id", "label", *KEY)).alias("one"))
+    rows = distinct.groupBy("one.doc_id").agg(F.min(F.struct("hash", "one")).alias("first"))
+    return F.broadcast(rows.select(*[f"first.one.{c}" for c in (*KEY, "label")]))

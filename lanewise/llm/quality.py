@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm.labelled import remainder, training_sample
-from lanewise.llm.rows import ship, utf8
+from lanewise.llm.rows import KEY, keyed, ship, utf8
 
 DIMENSIONS = 1 << 18
 _tokens = re.compile(r"\w+|[^\w\s]+").findall
@@ -73,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 12_000, epochs: int = 4
     every run. It reads a stream and holds the model only. The driver gets DIMENSIONS numbers.
     Without labels all weights are 0, and every score is a half.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text")
     sample = training_sample(slim, labels, "quality", remainder("doc_id", 5) != 0, limit)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 12_000, epochs: int = 4
                 leader.learn(np.frombuffer(at, np.int32), np.frombuffer(value, np.float32).astype(float), float(label))
         yield pa.RecordBatch.from_arrays([pa.array([leader.weights().astype(np.float32).tobytes()], pa.binary())], ["weights"])
 
-    rows = slim.join(sample, "doc_id").select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, at binary, value binary")
+    rows = slim.join(sample, KEY).select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, at binary, value binary")
     passes = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("order", F.xxhash64("epoch", "doc_id"))
     sequence = passes.repartition(1).sortWithinPartitions("epoch", "order", "doc_id").select("label", "at", "value")
     learnt = sequence.mapInArrow(learn, "weights binary").collect()

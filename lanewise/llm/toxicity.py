@@ -194,7 +194,7 @@ def unit_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
         at = np.flatnonzero(corpus)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(x[at]) for x in (corpus, *classes))], ["bucket", *names])
 
-    labelled = docs.join(sample, "doc_id", "left").selectExpr("text", "label", _FOLD)
+    labelled = docs.join(sample, KEY, "left").selectExpr("text", "label", _FOLD)
     kinds = ", ".join(f"{n} {'int' if n[-1].isdigit() else 'long'}" for n in names)
     return write_table(labelled.mapInArrow(run, f"bucket int, {kinds}").groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]), "units")
 
@@ -227,7 +227,7 @@ def fit(
     rarity of a segment. Without labels of both classes in two folds nothing is known: no unit
     has weight and every text gets the same low score.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text")
     sample = training_sample(slim, labels, "toxic", remainder("doc_id", 3) != 1, limit)
     counts = unit_counts(slim, sample)
     of = lambda kind, out: [f"{kind}{f}" for f in range(FOLDS) if f != out]
@@ -262,22 +262,30 @@ def fit(
                     bins = np.clip(((values - _LOW) / _BIN).round().astype(int), 0, _BINS - 1)
                     count += np.bincount(bins, minlength=_BINS)
                     total += np.bincount(bins, weights=values, minlength=_BINS)
-                best = sorted(fresh_scores(words, values, maximal_segments(values)), reverse=True)[:64]
-                out.append({"label": label, "words": len(values), "best": best})
+                own = fresh_scores(words, values, maximal_segments(values))
+                out.append({"label": label, "words": len(values), "segments": [float(s) for s in own]})
             out.append({"count": count.tolist(), "sum": total.tolist()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("label", pa.int32()), ("words", pa.int64()), ("best", doubles), ("count", doubles), ("sum", doubles)]))
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("label", pa.int32()), ("words", pa.int64()), ("segments", doubles), ("count", doubles), ("sum", doubles)]))
 
-    seen = slim.join(sample, "doc_id").selectExpr("text", "label", _FOLD)
-    seen = seen.mapInArrow(run, "label int, words long, best array<double>, count array<double>, sum array<double>").toArrow().to_pylist()
-    bins, seen = [r for r in seen if r["label"] is None], [r for r in seen if r["label"] is not None]
+    seen = slim.join(sample, KEY).selectExpr("text", "label", _FOLD)
+    seen = write_table(seen.mapInArrow(run, "label int, words long, segments array<double>, count array<double>, sum array<double>"), "segments")
+    bins, seen = seen.where("label IS NULL").select("count", "sum").collect(), seen.where("label IS NOT NULL")
     share, value = (np.sum([r[c] for r in bins], axis=0) for c in ("count", "sum"))
-    clean = [r for r in seen if r["label"] == 0]
     model.rate = _solve_rate(share / max(share.sum(), 1), value / np.maximum(share, 1))
-    top = np.array([max(r["best"], default=0.0) for r in clean])
-    size = np.maximum([r["words"] for r in clean], 1)
+    clean = seen.where("label = 0").select(F.coalesce(F.array_max("segments"), F.lit(0.0)).alias("top"), "words").toArrow()
+    top, size = clean["top"].to_numpy(), np.maximum(clean["words"].to_numpy(), 1)
     model.scale = float(np.exp(np.mean(model.rate * top - np.log(size)) - EULER))
-    x = np.array([model.evidence(r["best"], r["words"]) for r in seen])
-    model.intercept, model.slope = _logistic(x, np.array([r["label"] for r in seen], float))
+    constants = vars(model) | {"weights": None}
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Toxicity(**constants)
+        for batch in batches:
+            found = [own.evidence(s, n) for s, n in zip(batch["segments"].to_pylist(), batch["words"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(found, pa.float64())], ["label", "evidence"])
+
+    # One line for each row of the sample; all segments of a text count, as they do in ``scores``.
+    points = seen.select("label", "words", "segments").mapInArrow(weigh, "label int, evidence double").toArrow()
+    model.intercept, model.slope = _logistic(points["evidence"].to_numpy(), points["label"].to_numpy().astype(float))
     return model
 
 

@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lanewise.llm import decontaminate, quality, toxicity
-from lanewise.llm.labelled import remainder
+from lanewise.llm.labelled import remainder, training_sample
+from lanewise.llm.rows import KEY, keyed
 
 BIG = "/root/testdata/sf0.1"
 
@@ -153,16 +154,24 @@ def test_leaks_of_odd_rows(frame, spark):
         "item_id long, question string, answer string",
     )
     docs = [*odd_rows(), (20, f"so {question} then {answer} end"), (21, question + " and nothing else"), (22, "t1 " * 300)]
-    docs += [(23, " ".join(f"t{i}" for i in range(500)).upper())]
+    docs += [(23, " ".join(f"t{i}" for i in range(500)).upper()), (24, "the visit was Too short, they said"), (25, "too long or short")]
     got = decontaminate.leaks(frame(docs), items)
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(20, 1), (23, 4)}
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(20, 1), (23, 4), (24, 3)}
     assert decontaminate.leaks(frame(docs), items.limit(0)).count() == 0
     assert decontaminate.leaks(frame([]), items).count() == 0
 
 
 def test_index_in_shards_finds_the_same(frame, spark, corpus, sf, monkeypatch):
     bench = decontaminate.items_of(spark.read.parquet(f"{sf}/benchmark.parquet"))
-    pairs = lambda: {(r.doc_id, r.item_id) for r in decontaminate.leaks(corpus, bench).collect()}
+    pairs = lambda: {(r.doc_id, r.item_id, round(r.score, 12)) for r in decontaminate.leaks(corpus, bench).collect()}
     whole = pairs()
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 2_000)
     assert pairs() == whole
+
+
+def test_training_sample_is_bounded_when_ids_repeat(spark, frame):
+    docs = keyed(frame([(i % 5, f"text {i}") for i in range(200)] + [(7, "same")] * 50), "doc_id", "text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    sample = training_sample(docs, labels, "quality", F.lit(True), 100)
+    rows = docs.join(sample, KEY).select("doc_id", "label").collect()
+    assert sorted(map(tuple, rows)) == [(0, 0), (1, 1), (2, 0), (3, 1), (4, 0), (7, 1)]
