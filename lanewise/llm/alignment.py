@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import json
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,7 +22,7 @@ from lanewise.llm.rows import FILE, KEY, ROW, keyed, ship, utf8
 from lanewise.session import write_table
 
 BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-TASK_ROWS = 350_000  # chunks that a task keeps aligned
+TASK_ROWS = 200_000  # chunks that a task keeps aligned
 HEAD_ROWS = 1 << 18  # id pairs whose counts are broadcast
 PAIRED = 64  # a group of more pairs than this is folded to distinct ids first
 
@@ -87,6 +88,7 @@ class Aligner:
     """Both tokenizers in one task."""
 
     def __init__(self, byte_bpe: str, pieces: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each further thread keeps memory of its own
         self.byte_bpe = Tokenizer.from_file(byte_bpe)
         self.byte_bpe.encode_special_tokens = True
         self.pieces = pieces_of(pieces)
@@ -218,6 +220,7 @@ def aligned(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) ->
         finally:
             known.clear()
             gc.enable()
+            pa.default_memory_pool().release_unused()
 
     kinds = f"doc_id long, {FILE} long, {ROW} long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<bigint>, times array<bigint>"
     return rows.mapInArrow(run, kinds)
