@@ -1,23 +1,27 @@
 """Exact quantiles and average ranks that no single task has to hold.
 
 Spark's own ``percentile`` is exact, but it keeps every distinct value of a group in one
-task's memory. Here values are folded to one row each, bucketed by approximate splitters, and
-bucket counts locate the bucket of each wanted rank, and only those buckets are put in order.
-The splitters only balance the buckets: the result is exact whatever they are, and the plan is
-the same at every size.
+task's memory. Here only counts move: each round scans the input once for all columns, groups
+and ranks, counts the rows of each cell on the map side, and keeps the cells that hold a wanted
+rank. Cells are cut again until one holds at most ``CELL_ROWS`` rows or a single value; only
+then are its values put in order. The plan is the same at every size, only the rounds differ.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lanewise.functions.sizing import null_safe
+from lanewise.session import write_table
 
 BUCKETS = 4096
+CELL_ROWS = 100_000  # rows of a cell that one task may put in order
+CELLS_PER_E = 256  # cells of the first round while a value grows e-fold
+FIRST_CELLS = 1_000_000  # beyond the number of any finite value's cell (some 182,000)
 
 
 def _doubles(values: Iterable[float]) -> Column:
@@ -44,77 +48,135 @@ def _running(groups: list[str], order: str):
     return window.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def exact_quantiles(
+def _first_cell(v: Column) -> Column:
+    """Cell of a value, never falling as the value grows: logarithmic, infinities and NaN apart."""
+    size = F.signum(v) * F.log1p(F.abs(v)) * CELLS_PER_E
+    bounded = F.least(F.greatest(size, F.lit(-float(FIRST_CELLS))), F.lit(float(FIRST_CELLS)))
+    return F.when(F.isnan(v), FIRST_CELLS + 1).otherwise(F.floor(bounded).cast("int"))
+
+
+def _locate(counts: DataFrame, at: list[str], ranks: Column) -> DataFrame:
+    """One row for each wanted rank of the counted parts of a cell: its part, and its rank in there."""
+    before = F.col("__upto") - F.col("__n")
+    held = F.filter(ranks, lambda r: (r["rank"] >= before) & (r["rank"] < F.col("__upto")))
+    upto = counts.withColumn("__upto", F.sum("__n").over(_running(at, "__from")))
+    return upto.select("*", F.inline(held)).withColumn("rank", F.col("rank") - before)
+
+
+def _inside(facts: DataFrame, cells: DataFrame, at: list[str]) -> DataFrame:
+    """The values in ``cells``, which is a small stored table: Spark broadcasts it as far as its size allows."""
+    cells = cells.withColumnsRenamed({k: f"{k}t" for k in [*at, "__cell"]})
+    same = null_safe(facts, cells, {k: f"{k}t" for k in [*at, "__cell"]})
+    return facts.join(cells, same & F.col("__v").between(F.col("__from"), F.col("__to"))).select(*at, "__cell", "__from", "__to", "__v")
+
+
+def _cells(located: DataFrame, at: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The cells of the wanted ranks, and with each cell the ranks it holds (two for each probability at most)."""
+    cells = located.select(*at, "__cell", "__from", "__to").distinct()
+    ranks = located.groupBy(*at, "__from").agg(F.collect_list(F.struct("i", "side", "rank", "part")).alias("__ranks"))
+    return cells, ranks.withColumnsRenamed({k: f"{k}t" for k in [*at, "__from"]})
+
+
+def _narrow(facts: DataFrame, located: DataFrame, at: list[str], buckets: int) -> DataFrame:
+    """The same ranks in cells of about ``1 / buckets`` of the width; both ends of a cell part at least."""
+    cells, ranks = _cells(located, at)
+    step = F.least(F.floor((F.col("__v") - F.col("__from")) / (F.col("__to") - F.col("__from")) * buckets), F.lit(buckets - 1))
+    parts = _inside(facts, cells, at).groupBy(*at, "__cell", F.col("__from").alias("__whole"), step.alias("__step")).agg(
+        F.count("*").alias("__n"), F.min("__v").alias("__from"), F.max("__v").alias("__to")
+    )
+    return _ranked(parts, ranks, [*at, "__whole"])
+
+
+def _ranked(parts: DataFrame, ranks: DataFrame, at: list[str]) -> DataFrame:
+    """Ranks of whole cells located in their parts; ``__whole`` is the lowest value of the cell."""
+    keys = {k: "__fromt" if k == "__whole" else f"{k}t" for k in at}
+    return _locate(parts.join(ranks, null_safe(parts, ranks, keys)).drop(*keys.values()), at, F.col("__ranks"))
+
+
+def column_quantiles(
     df: DataFrame,
-    value: str,
-    probs: Sequence[float],
+    wanted: Mapping[str, Sequence[float]],
     by: Sequence[str] = (),
     buckets: int = BUCKETS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """(by..., quantiles: array<double>), linearly interpolated, aligned with ``probs``.
+    """(by..., one array<double> for each column of ``wanted``), linearly interpolated, aligned with its probabilities.
 
-    Missing values are ignored; a group without values has no row. A missing group key is a
-    group of its own. Of d distinct values of a group the last ordering sees about d / buckets
-    for each rank.
+    Missing values are ignored; a group without values has no row, a column without values in a
+    group is null. A missing group key is a group of its own, NaN the largest value. The input is
+    scanned once a round, so give a stored table where computing it is dear. Between rounds the
+    located ranks are stored: a row for each group, column and rank.
     """
-    by, probs = list(by), [float(p) for p in probs]
+    by, columns = list(by), list(wanted)
     keys = [f"__g{i}" for i in range(len(by))]
-    facts = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("__v"))
-    values = facts.where("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
-
-    sizes = values.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    at = [*keys, "__c"]
+    entries = [F.struct(F.lit(c).alias("__c"), F.col(name).cast("double").alias("__v")) for c, name in enumerate(columns)]
+    facts = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.inline(F.array(*entries))).where("__v IS NOT NULL")
+    facts = facts.withColumn("__cell", _first_cell(F.col("__v")))
+
+    counts = facts.groupBy(*at, "__cell").agg(F.count("*").alias("__n"), F.min("__v").alias("__from"), F.max("__v").alias("__to"))
+    sized = counts.withColumn("__all", F.sum("__n").over(W.partitionBy(*at)))
+    fields = [*at, "__cell", "__n", "__from", "__to", "i", "side", "rank", "part"]
+    located = write_table(_locate(sized, at, _wanted_ranks([wanted[c] for c in columns])).select(*fields), "quantile-cells")
+    wide = F.col("__from") < F.col("__to")
+    open_ = wide & (F.col("__n") > cell_rows)
+    largest = _largest(located, wide)
+    while largest > cell_rows:
+        finer = _narrow(facts, located.where(open_), at, buckets).select(*fields)
+        located = write_table(located.where(~open_).unionByName(finer), "quantile-cells")
+        largest = _largest(located, wide)
+
+    points = located.where(~wide).select(*at, "i", "side", "part", F.col("__from").alias("__v"))
+    if largest:
+        cells, ranks = _cells(located.where(wide), at)
+        whole = _inside(facts, cells, at).groupBy(*at, F.col("__from").alias("__whole"), "__v").agg(F.count("*").alias("__n"))
+        found = _ranked(whole.withColumn("__from", F.col("__v")), ranks, [*at, "__whole"])
+        points = points.unionByName(found.select(*at, "i", "side", "part", "__v"))
+
+    # Two entries for each column and probability, the lower first.
+    all_points = F.array_sort(F.collect_list(F.struct("__c", "i", "side", "__v", "part")))
+    grouped = points.groupBy(*keys).agg(all_points.alias("__points")).where(F.size("__points") > 0)
+    return grouped.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *[_interpolated(c, len(wanted[name])).alias(name) for c, name in enumerate(columns)])
+
+
+def _largest(located: DataFrame, wide: Column) -> int:
+    """Rows of the largest cell of several values; 0 if there is none."""
+    return located.where(wide).agg(F.coalesce(F.max("__n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def _wanted_ranks(probs: list[Sequence[float]]) -> Column:
+    """Both neighbours of each wanted position among the ``__all`` values of column ``__c``."""
     ranks = []
-    for i, p in enumerate(probs):
-        position = F.lit(p) * (F.col("__all") - 1)
-        part = position - F.floor(position)
-        ranks += [F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.cast("long").alias("rank"), part.alias("part")) for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position)))]
-    # All start in bucket 0; a literal would be folded away, and the joins on it would pair rows.
-    targets = sizes.where("__all IS NOT NULL").select(*keys, F.shiftright("__all", 63).alias("__path"), F.inline(F.array(*ranks)))
-    values = values.withColumn("__path", F.shiftright("__n", 63))
-    values, targets = _narrow(values, targets, keys, buckets)
-
-    upto = F.sum("__n").over(_running([*keys, "__path"], "__v"))
-    wanted = _renamed(targets, keys)
-    ordered = values.withColumn("__upto", upto)
-    inside = (F.col("rank") >= F.col("__upto") - F.col("__n")) & (F.col("rank") < F.col("__upto"))
-    found = ordered.join(wanted, _same(ordered, wanted, keys) & inside)
-    side = lambda name: F.max(F.when(F.col("side") == name, F.col("__v"))).alias(name)
-    points = found.groupBy(*keys, "i").agg(side("lo"), side("hi"), F.max("part").alias("part"))
-    point = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
-    in_order = F.array_sort(F.collect_list(F.struct("i", point.alias("q"))))  # len(probs) entries
-    return points.groupBy(*keys).agg(F.transform(in_order, lambda s: s["q"]).alias("quantiles")).select(
-        *[F.col(k).alias(c) for c, k in zip(by, keys)], "quantiles"
-    )
-
+    for i in range(max(map(len, probs))):
+        of_column = [F.when(F.col("__c") == c, float(p[i])) for c, p in enumerate(probs) if i < len(p)]
+        position = F.coalesce(*of_column) * (F.col("__all") - 1)
+        for side, rank in enumerate((F.floor(position), F.ceil(position))):
+            part = position - F.floor(position)
+            ranks.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.cast("long").alias("rank"), part.alias("part")))
+    return F.array(*ranks)
 
-def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.withColumnsRenamed({k: f"{k}t" for k in [*keys, "__path"]})
 
+def _interpolated(column: int, probs: int) -> Column:
+    own = F.filter("__points", lambda x: x["__c"] == column)
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return null_safe(left, right, {k: f"{k}t" for k in keys}) & (left["__path"] == right["__patht"])
+    def value(i: Column) -> Column:
+        lower, upper = F.get(own, i * 2), F.get(own, i * 2 + 1)
+        return F.when(lower["__v"] == upper["__v"], lower["__v"]).otherwise(lower["__v"] + (upper["__v"] - lower["__v"]) * lower["part"])
 
+    return F.when(F.size(own) > 0, F.transform(F.sequence(F.lit(0), F.lit(probs - 1)), value))
 
-def _narrow(values: DataFrame, targets: DataFrame, keys: list[str], buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Split every group into buckets; keep the buckets that hold a wanted rank.
 
-    A group's splitters are one bounded sketch of its distinct values, its counts are at most
-    ``buckets`` rows.
-    """
-    at = [*keys, "__path"]
-    splits = _renamed(values.groupBy(*at).agg(_splitters("__v", buckets).alias("__s")), keys)
-    split = values.join(splits, _same(values, splits, keys))
-    placed = split.select(*keys, (F.col("__path") * buckets + _bucket(F.col("__v"), F.col("__s"), buckets)).alias("__at"), "__path", "__v", "__n")
-    counts = placed.groupBy(*at, "__at").agg(F.sum("__n").alias("__n"))
-    upto = _renamed(counts.withColumn("__upto", F.sum("__n").over(_running(at, "__at"))), keys)
-    before = F.col("__upto") - F.col("__n")
-    inside = (F.col("rank") >= before) & (F.col("rank") < F.col("__upto"))
-    located = targets.join(upto, _same(targets, upto, keys) & inside).select(
-        *keys, F.col("__at").alias("__path"), "i", "side", (F.col("rank") - before).alias("rank"), "part"
-    )
-    kept = placed.drop("__path").withColumnRenamed("__at", "__path")
-    wanted = _renamed(located.select(*at).distinct(), keys)
-    return kept.join(wanted, _same(kept, wanted, keys), "left_semi"), located
+def exact_quantiles(
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    buckets: int = BUCKETS,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """(by..., quantiles: array<double>) of one column, as ``column_quantiles`` gives them."""
+    found = column_quantiles(df.select(*by, F.col(value).alias("quantiles")), {"quantiles": list(probs)}, by, buckets, cell_rows)
+    return found.select(*by, "quantiles")
 
 
 def grouped_stats(
@@ -125,25 +187,20 @@ def grouped_stats(
 ) -> DataFrame:
     """Aggregates plus exact quantiles, ``{alias: (column, probability)}``.
 
-    The quantiles come from ``exact_quantiles`` and are joined to the other aggregates, one
-    row per group on both sides.
+    The quantiles of all columns come from one ``column_quantiles`` and are joined to the other
+    aggregates, one row per group on both sides.
     """
     by = list(by)
-    columns = {c: {a: p for a, (d, p) in quantiles.items() if d == c} for c, _ in quantiles.values()}
+    columns = {c: [p for d, p in quantiles.values() if d == c] for c, _ in quantiles.values()}
+    inputs = df.select(*[F.col(k).alias(f"__{k}") for k in by], *[F.col(c).alias(f"__q{i}") for i, c in enumerate(columns)])
+    q = column_quantiles(inputs, {f"__q{i}": p for i, p in enumerate(columns.values())}, [f"__{k}" for k in by])
+    place = {c: iter(range(len(p))) for c, p in columns.items()}
+    values = [F.get(f"__q{list(columns).index(c)}", F.lit(next(place[c]))).alias(a) for a, (c, _) in quantiles.items()]
     out = df.groupBy(*by).agg(*aggs)
-    for column, wanted in columns.items():
-        q = exact_quantiles(df, column, list(wanted.values()), by)
-        q = q.select(
-            *[F.col(k).alias(f"__{k}") for k in by],
-            *[F.get("quantiles", F.lit(i)).alias(a) for i, a in enumerate(wanted)],
-        )
-        if by:
-            out = out.join(q, null_safe(out, q, {k: f"__{k}" for k in by}), "left").drop(
-                *[f"__{k}" for k in by]
-            )
-        else:
-            out = out.select("*", *[q.select(a).scalar().alias(a) for a in wanted])
-    return out
+    if not by:
+        return out.withColumn("__q", q.select(F.struct(*values)).scalar()).select("*", *[F.col("__q")[a].alias(a) for a in quantiles]).drop("__q")
+    q = q.select(*[f"__{k}" for k in by], *values)
+    return out.join(q, null_safe(out, q, {k: f"__{k}" for k in by}), "left").drop(*[f"__{k}" for k in by])
 
 
 def average_ranks(counts: DataFrame, value: str, count: str = "n", buckets: int = BUCKETS) -> DataFrame:

@@ -1,11 +1,12 @@
-"""The bucketed paths against numpy and pandas, with ties, gaps and hot groups."""
+"""Quantiles and ranks against numpy and pandas, with ties, gaps and hot groups."""
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.functions.quantiles import _narrow, average_ranks, exact_quantiles, grouped_stats
+from lanewise.functions import quantiles
+from lanewise.functions.quantiles import average_ranks, column_quantiles, exact_quantiles, grouped_stats
 from lanewise.functions.sizing import left_join
 
 PROBS = [0, 0.1, 0.25, 0.5, 0.9, 0.99, 0.999, 1]
@@ -24,11 +25,11 @@ def frame(spark):
     return pdf, spark.createDataFrame(pdf, "g string, v double")
 
 
-@pytest.mark.parametrize("buckets", [2, 64])
+@pytest.mark.parametrize("buckets,cell_rows", [(2, 1), (64, 1), (64, 50), (4096, 100_000)])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_bucketed_quantiles_are_exact(frame, buckets, by):
+def test_quantiles_are_exact_however_often_cells_are_cut(frame, buckets, cell_rows, by):
     pdf, df = frame
-    out = exact_quantiles(df, "v", PROBS, by, buckets=buckets)
+    out = exact_quantiles(df, "v", PROBS, by, buckets, cell_rows)
     plan = out._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     got = out.collect()
@@ -48,17 +49,46 @@ def test_grouped_stats_agree_with_percentile(frame):
     pd.testing.assert_frame_equal(one[two.columns], two)
 
 
-def test_what_is_ordered_at_last_is_one_bucket(frame):
-    """Narrowing keeps about one of ``buckets`` parts of the distinct values for each rank, again and again."""
-    _, df = frame
-    values = df.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("__n")).withColumnRenamed("v", "__v")
-    distinct, rows = values.count(), values.agg(F.sum("__n")).first()[0]
-    values = values.withColumn("__path", F.lit(0).cast("long"))
-    targets = df.sparkSession.createDataFrame([(0, 0, "lo", rows // 2, 0.0)], "__path long, i int, side string, rank long, part double")
-    for step in (1, 2):
-        values, targets = _narrow(values, targets, [], 16)
-        assert values.count() <= max(2, 2 * distinct // 16**step)
-    assert values.count() >= 1
+def test_what_is_ordered_at_last_is_bounded(spark, monkeypatch):
+    """However close the values lie, no cell of more than ``cell_rows`` rows is left, unless it is one value."""
+    stored = []
+    keep = quantiles.write_table
+    monkeypatch.setattr(quantiles, "write_table", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    df = spark.range(20_000).select((1e6 + F.col("id") / 1e7).alias("v")).unionAll(spark.range(3000).select(F.lit(1e6).alias("v")))
+    values = np.r_[1e6 + np.arange(20_000) / 1e7, np.full(3000, 1e6)]
+    got = exact_quantiles(df, "v", PROBS, buckets=8, cell_rows=100).first()["quantiles"]
+    assert got == pytest.approx(list(np.quantile(values, PROBS)), abs=1e-9)
+    assert len(stored) > 2
+    assert stored[-1].where("__from < __to").agg(F.max("__n")).first()[0] <= 100
+    assert stored[-1].where("__from = __to").agg(F.max("__n")).first()[0] >= 3000
+
+
+def test_columns_share_their_rounds(frame, monkeypatch):
+    """Several columns with probabilities of their own take as many rounds as one; a column without values is null."""
+    pdf, df = frame
+    stored = []
+    keep = quantiles.write_table
+    monkeypatch.setattr(quantiles, "write_table", lambda df, name: stored.append(name) or keep(df, name))
+    wide = df.select("g", "v", (-F.col("v")).alias("w"), F.lit(None).cast("double").alias("none"))
+    got = column_quantiles(wide, {"v": PROBS, "w": [0.5], "none": [0.1, 0.2]}, ["g"]).collect()
+    assert len(stored) == 1
+    for r in got:
+        values = pdf["v"][pdf["g"].isna() if r["g"] is None else pdf["g"] == r["g"]].dropna().astype(float)
+        assert r["v"] == pytest.approx(list(np.quantile(values, PROBS)), abs=1e-9)
+        assert r["w"] == pytest.approx([-np.quantile(values, 0.5)], abs=1e-9)
+        assert r["none"] is None
+
+
+def test_extreme_values_and_empty_input(spark):
+    values = [float("-inf"), -1.7e308, -1.0, -5e-324, 0.0, -0.0, 5e-324, 1.0, 1.7e308, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    probs = [i / 10 for i in range(11)]
+    for cell_rows in (1, 100):
+        got = exact_quantiles(df, "v", probs, buckets=2, cell_rows=cell_rows).first()["quantiles"]
+        assert got[:10] == values[:10] and np.isnan(got[10])
+    assert exact_quantiles(df.where("v IS NULL"), "v", [0.5]).collect() == []
+    stats = grouped_stats(df.where("v IS NULL"), [], [F.count("*").alias("n")], {"q": ("v", 0.5), "r": ("v", 0.9)})
+    assert [tuple(r) for r in stats.collect()] == [(1, None, None)]
 
 
 @pytest.mark.parametrize("buckets", [2, 64])
