@@ -19,9 +19,8 @@ from lanewise.operators import analysis, history, metrics, quality, splits
 from lanewise.operators.grouped_mean import GroupedMean
 from lanewise.operators.prep import Imputer, category_codes, column_medians, column_modes, encoding, melt
 from lanewise.operators.scenario import scenario_inputs, scenario_rates
-from lanewise.plans import tables
+from lanewise.plans import run_store, tables
 from lanewise.plans.experiment import (
-    RUN_LOG,
     RUNS,
     SELECTED,
     leaderboard,
@@ -51,7 +50,7 @@ from lanewise.schema import (
 from lanewise.session import shared_folder
 from lanewise.sources.readers import read_delivery, read_holdout, read_loads, read_predictions
 from lanewise.sources.star import table
-from lanewise.sources.writers import append_runs, write_predictions, write_reports
+from lanewise.sources.writers import write_predictions, write_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -619,7 +618,13 @@ def fitted(spark, sf, name: str, fit: Callable[[], object]):
 
 
 def spec_run(spark, sf, name: str):
-    return fitted(spark, sf, f"run-{name}", lambda: run_holdout(BY_NAME[name], tables.labelled(spark, sf), STAR_SPLIT))
+    """A run of the shared folder's store, fitted by the first application that asks for it."""
+    spec, state = BY_NAME[name], (sf, tables.input_state(spark, sf))
+
+    def fit():
+        return run_holdout(spec, tables.labelled(spark, sf), STAR_SPLIT)
+
+    return fitted(spark, sf, f"run-{name}", lambda: run_store.stored_run(spark, spec, STAR_SPLIT, state, fit))
 
 
 def selected_run(spark, sf):
@@ -802,22 +807,15 @@ def _(spark, sf):
     return out[0].unionByName(out[1])
 
 
-RUNS_AT_ONCE = 6
+RUNS_AT_ONCE = 4  # fewer would leave cores idle, more would leave more runs unpublished when an application ends
 
 
 def logged_runs(spark, sf) -> DataFrame:
-    """The log that the eleven runs append to, read back."""
-
-    def fit() -> str:
-        out = folder(spark, "run-log")
-        tables.all_loads(spark, sf)  # stored before the runs, which share it
-        with ThreadPoolExecutor(RUNS_AT_ONCE) as pool:  # the runs are independent; Spark shares its cores among their jobs
-            list(pool.map(lambda spec: spec_run(spark, sf, spec.name), RUNS))
-        for spec in RUNS:
-            append_runs(spec_run(spark, sf, spec.name).record, out)
-        return out
-
-    return spark.read.schema(RUN_LOG).json(fitted(spark, sf, "run-log", fit))
+    """The records of the eleven runs. Each is published once it is fitted, so a log that was cut short goes on where it stopped."""
+    tables.all_loads(spark, sf)  # stored before the runs, which share it
+    with ThreadPoolExecutor(RUNS_AT_ONCE) as pool:  # the runs are independent; Spark shares its cores among their jobs
+        runs = list(pool.map(lambda spec: spec_run(spark, sf, spec.name), RUNS))
+    return run_store.run_log(spark, runs)
 
 
 @query("run_log")
