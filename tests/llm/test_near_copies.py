@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from conftest import odd_rows
 
+from lanewise.llm import near_copies
 from lanewise.llm.near_copies import _parity_bits
 from lanewise.llm.simhash import fingerprint
 
@@ -78,3 +79,44 @@ def test_parity_bits_never_differ_more_than_the_sets():
             y = np.unique(np.concatenate([x[other:], rng.integers(-(2**63), 2**63 - 1, other)]))
             differ = sum(int(a ^ b).bit_count() for a, b in zip(_parity_bits(x).view(np.uint64).tolist(), _parity_bits(y).view(np.uint64).tolist()))
             assert differ <= len(np.setxor1d(x, y))
+
+
+def test_stage_takes_the_links_of_simhash_first(spark, frame, monkeypatch):
+    """A long text and its copy are linked by their fingerprints, a short pair of one component is checked and stays."""
+    words = [f"word{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join(words[:1500] + ["other"] + words[1501:]), "something else"]
+    assert (fingerprint(texts[0].encode()) ^ fingerprint(texts[1].encode())).bit_count() <= 4
+    seen, plain = [], near_copies.simhash_pairs
+    monkeypatch.setattr(near_copies, "simhash_pairs", lambda *args: seen.append(plain(*args)) or seen[-1])
+    rows = near_copies.near_copies(frame(list(enumerate(texts)))).collect()
+    assert sorted(r["first"] for r in rows) == [False, True, True]
+    assert seen[0].count() == 1
+
+
+def test_a_common_passage_makes_no_pairs_of_unlike_texts(spark, frame, monkeypatch):
+    """Texts of one passage and as many own words leave the join in no rows, however many there are."""
+    rng = np.random.default_rng(4)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(doc, " ".join(passage + [f"o{doc}z{i}" for i in rng.permutation(60)])) for doc in range(80)]
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)  # so that the passage's shingles are not known to be common
+    made, plain = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *args: made.append(pairs.count()) or plain(pairs, *args))
+    assert near_copies.near_copies(frame(rows)).where("first").count() == 80
+    assert made[-1] == 0
+
+
+def test_a_group_of_near_copies_folds_without_all_its_pairs(spark, frame, monkeypatch):
+    """Copies of one text, each with its own changes, nearer to each other than to be told apart by one hub."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for doc in range(150):
+        words = [f"base{i}" for i in range(200)]
+        for k in rng.choice(200, 3 if doc else 9, replace=False):
+            words[k] = f"x{doc}y{k}"
+        rows.append((doc, " ".join(words)))
+    made, plain = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *args: made.append(pairs.count()) or plain(pairs, *args))
+    got = near_copies.near_copies(frame(rows))
+    want = slow_kept(rows)
+    assert got.where("first").count() == sum(want.values()) < 150
+    assert max(made) <= 150 * 40  # rows of the prefixes: no more than 40 of each set
