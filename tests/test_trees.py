@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lanewise.operators import extratrees
 from lanewise.operators.extratrees import ExtraTrees, ExtraTreesModel
 from lanewise.operators.forest import Forest, ForestModel
 from lanewise.operators.metrics import regression_metrics
@@ -143,6 +144,21 @@ def test_prediction_is_the_mean_of_the_leaves(spark, train, model):
     assert [got[i] for i in coded["load_id"]] == pytest.approx(list(want))
 
 
+def test_a_forest_never_comes_to_the_driver_whole(train, model, monkeypatch, tmp_path, spark):
+    """Fitted, scored in batches of one tree, saved and loaded without its node table being collected."""
+    want = sorted(model.transform(train).select("load_id", "prediction").collect())
+    sent, plain = [], ExtraTreesModel._added
+    monkeypatch.setattr(extratrees, "BATCH_NODES", 10)
+    monkeypatch.setattr(ExtraTreesModel, "_added", lambda self, df, trees: sent.append(trees) or plain(self, df, trees))
+    one = fit(train)
+    one.save(spark, str(tmp_path / "model"))
+    two = ExtraTreesModel.load(spark, str(tmp_path / "model"))
+    for fitted in (one, two):
+        assert sorted(fitted.transform(train).select("load_id", "prediction").collect()) == want
+        assert "nodes" not in vars(fitted)
+    assert sent == [[0], [1]] * 2
+
+
 def test_raw_values_survive_and_unknown_categories_score(spark, train, model):
     odd = train.limit(20).withColumn("pickup", F.lit("nowhere")).withColumn("weight", F.lit(None).cast("double"))
     out = model.transform(odd)
