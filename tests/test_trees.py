@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.operators import extratrees
+from lanewise.operators import extratrees, tree_nodes
 from lanewise.operators.extratrees import ExtraTrees, ExtraTreesModel
 from lanewise.operators.forest import Forest, ForestModel
 from lanewise.operators.metrics import regression_metrics
@@ -266,3 +266,14 @@ def test_forest_equals_a_plain_one_with_the_same_draws(spark):
 def test_bootstrap_draws_have_mean_and_variance_one():
     times = drawn(42, 3, np.arange(-50_000, 50_000))
     assert abs(times.mean() - 1) < 0.02 and abs(times.var() - 1) < 0.03
+
+
+def test_all_nodes_of_a_level_are_split_together(monkeypatch):
+    """The cuts of one feature are drawn for a whole level at once, not for each node."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(2000, 3)), rng.integers(-100, 100, 2000).astype(float)
+    calls, plain = [], tree_nodes.cut_points
+    monkeypatch.setattr(tree_nodes, "cut_points", lambda *args: calls.append(len(args[0])) or plain(*args))
+    spec = dict(numeric=3, widths=[], min_leaf=1, max_depth=None, seed=42, mean=0.0)
+    nodes = tree_nodes.grow(x, y, 0, 1, 0, 0, spec)
+    assert len(nodes) > 3000 and len(calls) < 300
