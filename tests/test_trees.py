@@ -277,3 +277,59 @@ def test_all_nodes_of_a_level_are_split_together(monkeypatch):
     spec = dict(numeric=3, widths=[], min_leaf=1, max_depth=None, seed=42, mean=0.0)
     nodes = tree_nodes.grow(x, y, 0, 1, 0, 0, spec)
     assert len(nodes) > 3000 and len(calls) < 300
+
+
+def test_rows_travel_as_short_records_without_loss():
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 90, 500), rng.integers(0, 9000, 500), 150.0 * rng.integers(1, 10**5, 500), rng.normal(size=500), np.full(500, -0.0)])
+    x[0, 3] = np.nan
+    y = rng.normal(size=500)
+    rows = tree_nodes.narrowed(x, y)
+    assert tree_nodes.kinds_of(rows) == "|i1,<i2,<f4,<f8,<f4,<f8"
+    other = tree_nodes.narrowed(x[:9] * 1000 + 0.1, y[:9])
+    got, label = tree_nodes.widened([tree_nodes.kinds_of(r) for r in (rows, other)], [rows.tobytes(), other.tobytes()])
+    assert got.tobytes() == np.concatenate([x, x[:9] * 1000 + 0.1]).tobytes() and label.tobytes() == np.r_[y, y[:9]].tobytes()
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_a_row_with_its_number_of_draws_counts_as_its_repeats(exact):
+    rng = np.random.default_rng(4)
+    x, times = np.column_stack([rng.integers(0, 50, 2000), rng.normal(size=2000), rng.integers(0, 6, 2000)]).astype(float), rng.integers(1, 5, 2000)
+    spec = dict(numeric=2, widths=[5], min_leaf=3, max_depth=None, seed=5, mean=0.0, grid=2.0**20, exact=exact, bootstrap=True)
+    y = tree_nodes.centred(rng.normal(size=2000), spec)
+    once = tree_nodes.grow(x, y, 0, 1, 0, 0, spec, times.astype(np.uint8))
+    again = tree_nodes.grow(np.repeat(x, times, axis=0), np.repeat(y, times), 0, 1, 0, 0, spec)
+    assert len(once) > 100 and once.equals(again)
+
+
+def test_a_table_that_fits_a_task_is_not_cut_by_passes_over_all_rows(train, model, monkeypatch):
+    monkeypatch.setattr(ExtraTrees, "_split", lambda *_: pytest.fail("a pass over all rows"))
+    assert same(model, ExtraTrees(NUMERIC, CATEGORICAL, LOG_RPM, trees=2).fit(train))
+
+
+def test_codes_are_counted_alike_however_many_cells_there_are():
+    rng = np.random.default_rng(6)
+    node, value, y, times = rng.integers(0, 40, 900), rng.integers(0, 9, 900).astype(float), rng.integers(-9, 9, 900).astype(float), rng.integers(1, 4, 900)
+    for t in (None, times):
+        few, many = (tree_nodes._cells(node, value, 8, size, y, t) for size in (40, 10**9))
+        order = np.lexsort((value, node))
+        kept = order[value[order] < 8]
+        for got in (few, many):
+            assert all(np.array_equal(a, b) for a, b in zip(got, tree_nodes._sums(node[kept], value[kept], y[kept], None if t is None else t[kept])))
+
+
+def test_a_batch_passes_through_the_driver_in_pieces_and_leaves_it(train, monkeypatch):
+    fitted = fit(train, trees=5)
+    want = sorted(fitted.transform(train).select("load_id", "prediction").collect())
+    size, gone = max(fitted._sizes.values()), []
+    monkeypatch.setattr(extratrees, "BATCH_NODES", 2 * size)
+    monkeypatch.setattr(extratrees, "PIECE_NODES", 1)
+    from pyspark.core.broadcast import Broadcast
+
+    plain = Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *more: gone.append(len(self.value)) or plain(self, *more))
+    scored = fitted.transform(train)
+    again = fitted.transform(train)
+    assert gone and set(gone) == {1}
+    for got in (scored, again):
+        assert sorted(got.select("load_id", "prediction").collect()) == want
