@@ -333,3 +333,28 @@ def test_a_batch_passes_through_the_driver_in_pieces_and_leaves_it(train, monkey
     assert gone and set(gone) == {1}
     for got in (scored, again):
         assert sorted(got.select("load_id", "prediction").collect()) == want
+
+
+def test_a_task_sends_one_line_for_each_value_of_a_node_and_numbers_values_once_for_all_trees(monkeypatch):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.integers(0, 30, 900) / 4, "c": rng.integers(0, 4, 900).astype(float), "__y": rng.integers(-9, 9, 900).astype(float)})
+    slots, times = [np.sort(rng.integers(0, 3, 900)) + first for first in (0, 3)], rng.integers(1, 4, 900)
+    spec = dict(numeric=1, widths=[3], mean=0.0, grid=1.0, bootstrap=True)
+    places = lambda batch, x: ((s[: len(batch)], np.arange(len(batch)), times[: len(batch)]) for s in slots)
+    monkeypatch.setattr(np, "lexsort", lambda *_: pytest.fail("an order for each tree"))
+    got = pd.concat(Forest._folded(places, ["a", "c"], spec)([pdf[:300], pdf[300:]]))
+    assert not got.duplicated(["slot", "feature", "value"]).any()
+    want = {}
+    for s in slots:
+        for i, slot in enumerate(s.tolist()):
+            for feature, name in enumerate("ac"):
+                if feature == 0 or pdf[name][i] < 3:
+                    n, total = want.get(at := (slot, feature, pdf[name][i]), (0, 0))
+                    want[at] = n + times[i], total + times[i] * pdf["__y"][i]
+    assert {(r.slot, r.feature, r.value): (r.n, r.s) for r in got.itertuples()} == want
+
+
+def test_batches_are_joined_up_to_a_number_of_rows():
+    parts = [pd.DataFrame({"a": np.arange(n)}) for n in (3, 4, 2, 0)]
+    assert [len(p) for p in tree_nodes.together(parts, 6)] == [7, 2]
+    assert list(tree_nodes.together([], 6)) == []
