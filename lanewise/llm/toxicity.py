@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm.labelled import remainder, training_sample
-from lanewise.llm.rows import FILE, KEY, ROW, keyed, ship, utf8
+from lanewise.llm.rows import FILE, KEY, ROW, keyed, ship, text_batches, utf8
 from lanewise.session import write_table
 
 BUCKETS = 1 << 20
@@ -337,7 +337,8 @@ def toxic_rows(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFram
 
 def rejected(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
     """Row keys of the documents to drop, stored."""
-    return write_table(scores(docs, fit(docs, labels)).where(F.col("score") >= cut).select(*KEY), "toxic")
+    with text_batches(docs.sparkSession):
+        return write_table(scores(docs, fit(docs, labels)).where(F.col("score") >= cut).select(*KEY), "toxic")
 
 
 ship(__name__)

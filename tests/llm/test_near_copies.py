@@ -120,3 +120,13 @@ def test_a_group_of_near_copies_folds_without_all_its_pairs(spark, frame, monkey
     want = slow_kept(rows)
     assert got.where("first").count() == sum(want.values()) < 150
     assert max(made) <= 150 * 40  # rows of the prefixes: no more than 40 of each set
+
+
+def test_texts_pass_to_tasks_in_small_batches_and_the_setting_comes_back(spark, frame, monkeypatch):
+    key, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, near_copies.write_table
+    monkeypatch.setattr(near_copies, "write_table", lambda df, name, *more: seen.update({name: int(spark.conf.get(key))}) or plain(df, name, *more))
+    before = spark.conf.get(key)
+    docs = frame([(i, f"one two three four five {i % 3}") for i in range(9)])
+    assert near_copies.near_copies(docs).where("first").count() == 3
+    assert spark.conf.get(key) == before and int(before) > 1_000
+    assert {seen[name] for name in ("shingles", "texts", "near")} == {1_000}
