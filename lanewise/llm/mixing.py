@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.rows import FILE, KEY, ROW, WHOLE, keyed, packed, unpacked
+from lanewise.llm.rows import FILE, KEY, ROW, WHOLE, counted, keyed, packed, row_counts, unpacked
 from lanewise.session import write_table
 
 WEIGHTS = (1, 2, 3)
@@ -107,6 +107,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it is taken, with its columns, whatever their names."""
     rows = packed(docs, "doc_id", "source", "text")
-    counts = write_table(mix(rows.drop(WHOLE)).where("copies > 0").select(*[F.col(c).alias(f"mix_{c}") for c in KEY], F.col("copies").alias("mix_copies")), "copies")
-    joined = rows.select(WHOLE, *KEY).join(counts, (F.col(f"mix_{FILE}") == F.col(FILE)) & (F.col(f"mix_{ROW}") == F.col(ROW)))
-    return joined.select(WHOLE, F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*unpacked(docs.columns))
+    counts = row_counts(mix(rows.drop(WHOLE)).where("copies > 0"), "copies", EPOCHS)
+    taken = counted(rows.select(WHOLE, *KEY), counts, "mix_copies").where("mix_copies > 0")
+    return taken.select(WHOLE, F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*unpacked(docs.columns))

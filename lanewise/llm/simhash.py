@@ -87,7 +87,9 @@ def print_components(prints: DataFrame, distance: int = 4) -> DataFrame:
 
     keys = _keys(distinct, masks)
     hubs = keys.groupBy("mask", "block").agg(F.max_by("print", "weight").alias("b"), F.count("*").alias("n")).where("n > 1")
-    spokes = keys.select("mask", "block", F.col("print").alias("a")).join(hubs, ["mask", "block"]).where((F.col("a") != F.col("b")) & close)
+    hubs = write_table(hubs, "print-hubs")
+    # A print has many keys, which Spark does not see: it would broadcast those of a small table of prints.
+    spokes = keys.select("mask", "block", F.col("print").alias("a")).hint("merge").join(hubs, ["mask", "block"]).where((F.col("a") != F.col("b")) & close)
     folded = components(spokes.select("a", "b"))
     rooted = write_table(_rooted(distinct.select("print"), folded), "folded")
 

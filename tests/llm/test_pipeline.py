@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_near_copies import slow_kept
 
 import corpus_pipeline
-from lanewise.llm import decontaminate, toxicity
+from lanewise.llm import decontaminate, mixing, rows, toxicity
 from lanewise.llm.mixing import mix
 from lanewise.llm.oracle import ORACLE
 from lanewise.llm.queries import QUERIES
@@ -75,6 +75,18 @@ def test_mixing_stage_repeats_what_the_operator_takes(spark, corpus, sf):
     assert {k[0]: n for k, n in out.items()} == {r.doc_id: r.copies for r in mix(corpus).collect() if r.copies}
 
 
+def test_mixing_stage_joins_texts_to_marks_of_64_rows(spark, corpus, sf, monkeypatch):
+    """What the texts meet has a row for 64 documents of a file, not one for each."""
+    seen = []
+    for module in (mixing, rows):
+        monkeypatch.setattr(module, "write_table", lambda df, name, plain=module.write_table: seen.append((name, plain(df, name))) or seen[-1][1])
+    docs = write_table(corpus.coalesce(1), "corpus")
+    out = corpus_pipeline.mix_sources(spark, docs, sf)
+    name, marks = seen[-1]
+    assert marks.count() <= docs.count() / 64 + 1
+    assert keys(out) == keys(corpus_pipeline.mix_sources(spark, docs, sf))
+
+
 def test_stages_take_odd_rows(spark, frame, sf):
     for rows in (odd_rows(), []):
         docs = frame(rows)
