@@ -11,6 +11,7 @@ from conftest import odd_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lanewise.llm import components as llm_components
 from lanewise.llm.components import components
 from lanewise.llm.exact_dedup import exact_duplicates, golomb_decode, golomb_encode
 from lanewise.llm.line_dedup import line_duplicates, patience
@@ -111,6 +112,20 @@ def test_components_of_long_paths_and_stars(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_few_edges_are_finished_by_one_task_as_by_the_steps(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    ends = rng.integers(-(2**62), 2**62, 400)[rng.integers(0, 400, (300, 2))].tolist()
+    ends += [(i, i + 1) for i in range(60, 0, -1)] + [(7, 7)] + [(-5, i) if i % 2 else (i, -5) for i in range(900, 960)]
+    df = spark.createDataFrame(ends, "a long, b long").repartition(5)
+    seen, plain = [], llm_components.write_table
+    monkeypatch.setattr(llm_components, "write_table", lambda out, name, *more: seen.append(name) or plain(out, name, *more))
+    got = {r.node: r.root for r in components(df).collect()}
+    assert seen == ["edges", "roots"]
+    monkeypatch.setattr(llm_components, "FINISH_EDGES", 0)
+    assert got == {r.node: r.root for r in components(df).collect()}
+    assert seen.count("edges") > 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 2**48 - 1), max_size=300))
 def test_golomb_round_trip(values):
