@@ -358,3 +358,21 @@ def test_batches_are_joined_up_to_a_number_of_rows():
     parts = [pd.DataFrame({"a": np.arange(n)}) for n in (3, 4, 2, 0)]
     assert [len(p) for p in tree_nodes.together(parts, 6)] == [7, 2]
     assert list(tree_nodes.together([], 6)) == []
+
+
+def test_labels_of_a_level_are_taken_once_and_finished_rows_stay_behind(monkeypatch):
+    """All categories of a level count the same array of labels, which has the rows of nodes that may be split only."""
+    rng = np.random.default_rng(12)
+    x = np.column_stack([rng.integers(0, 40, 900), rng.integers(0, 6, 900), rng.integers(0, 3, 900)]).astype(float)
+    y = np.rint(rng.normal(0, 50, 900) + 30 * x[:, 0])
+    spec = dict(numeric=1, widths=[6, 3], min_leaf=9, max_depth=None, seed=4, mean=0.0, grid=1.0)
+    seen, plain = [], tree_nodes._cells
+    monkeypatch.setattr(tree_nodes, "_cells", lambda node, value, width, size, y, times: seen.append((len(node), y)) or plain(node, value, width, size, y, times))
+    nodes = tree_nodes.grow(x, y, 0, 1, 0, 0, spec)
+    levels = list(zip(seen[::2], seen[1::2]))
+    assert len(levels) > 4 and all(a[1] is b[1] for a, b in levels)
+    assert all(rows == len(labels) for level in levels for rows, labels in level)
+    leaf = nodes["feature"] < 0
+    assert nodes.loc[leaf, "n"].sum() == 900 and nodes.loc[leaf, "n"].min() >= 9
+    sizes = [level[0][0] for level in levels]
+    assert sizes[0] == 900 and sizes[-1] < 200
