@@ -7,6 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from conftest import odd_rows
+from pyspark.sql import functions as F
 
 from lanewise.llm import near_copies, simhash
 from lanewise.llm.near_copies import _parity_bits
@@ -170,3 +171,12 @@ def test_texts_pass_to_tasks_in_small_batches_and_the_setting_comes_back(spark,
     assert near_copies.near_copies(docs).where("first").count() == 3
     assert spark.conf.get(key) == before and int(before) > 1_000
     assert {seen[name] for name in ("shingles", "texts", "near")} == {1_000}
+
+
+def test_a_link_that_the_least_set_of_a_simhash_component_does_not_show_is_found(spark, frame, monkeypatch):
+    """One SimHash component of everything, and none at all: what is near, however far from the least set, goes all the same."""
+    rows = made_rows()
+    want = sum(slow_kept(rows).values())
+    for root in (F.lit(0).cast("long"), F.col("print")):
+        monkeypatch.setattr(near_copies, "print_components", lambda of, root=root: of.select("print").distinct().select("print", root.alias("root")))
+        assert near_copies.near_copies(frame(rows)).where("first").count() == want < len(rows) - 20
